@@ -13,6 +13,15 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    out = langid.predicted(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm import quality_classifier as q
 
@@ -36,4 +45,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_classifier, op9_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
