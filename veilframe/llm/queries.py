@@ -22,6 +22,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm import quality_rules
+
+    out = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm import quality_classifier as q
 
@@ -45,4 +52,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_quality_rules, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
