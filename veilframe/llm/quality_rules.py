@@ -8,6 +8,8 @@ are judged alike; further columns stay."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 8
 LOST = 0.5  # share of the words' characters that may go with failing lines
 LEAST_WORDS = 20
+END = tuple(".!?…:;\"'»”’)")
 # Fixed phrases of lines that belong to a site or a licence, not to a text.
 BOILERPLATE = (
     "all rights reserved",
@@ -39,11 +42,12 @@ def line_fails(line: Column) -> Column:
     n = F.size(F.split(F.trim(line), GAP))
     noisy = F.regexp_count(line, F.lit(r"[#*$%&<>]{2,}(?=$|[\x20\x09-\x0D])|!!(?=$|[\x20\x09-\x0D])"))
     bars = F.regexp_count(line, F.lit(r"(?:^|[\x20\x09-\x0D])[|»>•](?=$|[\x20\x09-\x0D])"))
-    unfinished = ~F.regexp_like(line, F.lit(r"[.!?…:;\"'»”’)][\x20\x09-\x0D]*$"))
-    site = F.regexp_like(line, F.lit("(?i)" + "|".join(BOILERPLATE)))
+    end = F.substring(F.rtrim(line, F.lit(" \t\r\x0b\x0c")), -1, 1)
+    low = F.lower(line)
+    site = reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in BOILERPLATE))
     stutter = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+) \1(?![^\x20\x09-\x0D])"))
     return F.regexp_like(line, F.lit(WORD)) & (
-        (noisy * 4 >= n) | (bars * 4 >= n) | (unfinished & (n < 4)) | site | (stutter * 3 >= n)
+        (noisy * 4 >= n) | (bars * 4 >= n) | (~end.isin(*END) & (n < 4)) | site | (stutter * 3 >= n)
     )
 
 
