@@ -13,6 +13,12 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm import pii
+
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm import langid
 
@@ -29,6 +35,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm import secrets
+
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm import quality_classifier as q
 
@@ -52,4 +64,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_quality_rules, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op4_quality_rules, op6_secrets, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
