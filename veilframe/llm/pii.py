@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -173,16 +173,15 @@ def boosted(n: int = 600, depth: int = 3) -> tuple[tuple[Node, ...], dict[str, f
     return tuple(trees), cuts
 
 
-def _case(t: Node, f: list[Column]) -> Column:
+def _case(t: Node, of: str) -> str:
     if t.feature < 0:
-        return F.lit(t.value)
-    return F.when(f[t.feature] <= F.lit(t.cut), _case(t.low, f)).otherwise(_case(t.high, f))
+        return f"double({t.value!r})"
+    return f"case when {of}.{FEATURES[t.feature]} <= {t.cut!r} then {_case(t.low, of)} else {_case(t.high, of)} end"
 
 
-def margin(features: Column) -> Column:
-    """Sum of the trees over a struct of features."""
-    f = [features[n] for n in FEATURES]
-    return reduce(lambda a, b: a + b, (_case(t, f) for t in boosted()[0]))
+def margin(of: str) -> str:
+    """SQL of the sum of the trees over a struct of features."""
+    return " + ".join(_case(t, of) for t in boosted()[0])
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -204,11 +203,12 @@ def scanned(docs: DataFrame) -> DataFrame:
     d = d.withColumns({f"_c_{k}": gate(find_all(F.col("_text"), p)) for k, p in MORE.items()})
     cuts = boosted()[1]
 
-    def chosen(k: str) -> Column:
-        rows = F.transform(F.col(f"_c_{k}"), lambda m: F.struct(m.alias("m"), F.struct(*(c.alias(n) for n, c in described(F.col("_text"), m, k).items())).alias("f")))
-        return F.transform(F.filter(rows, lambda r: margin(r["f"]) >= F.lit(cuts[k])), lambda r: r["m"])
+    def candidates(k: str) -> Column:
+        return F.transform(F.col(f"_c_{k}"), lambda m: F.struct(m.alias("m"), F.struct(*(c.alias(n) for n, c in described(F.col("_text"), m, k).items())).alias("f")))
 
-    d = d.withColumns({f"_m_{k}": F.when(F.size(f"_c_{k}") > 0, chosen(k)).otherwise(none) for k in MORE})
+    d = d.withColumns({f"_f_{k}": candidates(k) for k in MORE})
+    chosen = "transform(filter(_f_{k}, r -> {margin} >= double('{cut}')), r -> r.m)"
+    d = d.withColumns({f"_m_{k}": F.when(F.size(f"_c_{k}") > 0, F.expr(chosen.format(k=k, margin=margin("r.f"), cut=cuts[k]))).otherwise(none) for k in MORE})
     kept = F.array_sort(F.concat(*(of_kind(F.col(f"_b_{k}"), k, i) for i, k in enumerate(KINDS))))
     added = F.concat(*(of_kind(F.col(f"_m_{k}"), k, ALL.index(k)) for k in MORE))
     d = d.withColumns({f"n_{k}": F.size(f"_b_{k}").cast("bigint") for k in KINDS} | {"_base": kept, "_added": added})

@@ -154,9 +154,9 @@ def candidates(docs: DataFrame, rules: dict[str, Terms]) -> DataFrame:
     """_key and _rules (names) of the rows that may match the rules, from the index over docs(doc_id, text)."""
     grams = sorted({g for q in rules.values() for t in q for g in t})
     blocks = max(1, -(-docs.count() // BLOCK_DOCS))
-    low = docs.select(_row_key().alias("_key"), F.lower("text").alias("_low"))
-    held = low.select("_key", F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("_low"), g)).alias("_g"))
-    lists = held.select("_key", F.explode("_g").alias("gram")).groupBy(F.pmod("_key", F.lit(blocks)).alias("_block"), "gram").agg(F.collect_set("_key").alias("keys"))
+    # the one-element array lowers a text once; the outer explode keeps the list from being made again for a filter
+    held = F.transform(F.array(F.lower("text")), lambda low: F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(low, g)))[0]
+    lists = docs.select(_row_key().alias("_key"), F.explode_outer(held).alias("gram")).filter("gram is not null").groupBy(F.pmod("_key", F.lit(blocks)).alias("_block"), "gram").agg(F.collect_set("_key").alias("keys"))
     index = lists.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("post"))
     post = {g: F.coalesce(F.try_element_at("post", F.lit(g)), F.expr("cast(array() as array<bigint>)")) for g in grams}
 
