@@ -41,6 +41,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm import setsketch
+
+    return setsketch.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm import quality_classifier as q
 
@@ -64,4 +70,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op4_quality_rules, op6_secrets, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op4_quality_rules, op6_secrets, op7_near_dedup, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
