@@ -28,6 +28,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm import lattice
+
+    return lattice.groups(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm import quality_rules
 
@@ -70,4 +76,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op4_quality_rules, op6_secrets, op7_near_dedup, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_embedding_dedup, op4_quality_rules, op6_secrets, op7_near_dedup, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
