@@ -44,7 +44,7 @@ def strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"" if pa.types.is_binary(col.type) else "")
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     _, offs, data = col.buffers()
     if not len(col) or data is None:

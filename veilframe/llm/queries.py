@@ -41,6 +41,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm import suffix_dedup
+
+    return suffix_dedup.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm import secrets
 
@@ -76,4 +82,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_embedding_dedup, op4_quality_rules, op6_secrets, op7_near_dedup, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_embedding_dedup, op4_quality_rules, op5_suffix_dedup, op6_secrets, op7_near_dedup, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
