@@ -55,3 +55,50 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
 def rewrite(text: Column, rules: list[tuple[str, str]], passes: int = 1) -> Column:
     """The rules' replacements one after the other, the whole chain `passes` times."""
     return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules * passes, text)
+
+
+def sentences(text: Column) -> Column:
+    return F.split(F.trim(text), r"(?<=[.!?])\s+")
+
+
+def telling(text: Column, stop: tuple[str, ...], brackets: bool) -> Column:
+    """The sentences of a text that hold two words of three letters or more outside `stop`, or a bracket where that counts."""
+
+    def has(s: Column) -> Column:
+        words = F.filter(F.regexp_extract_all(F.lower(s), F.lit(r"\b[a-zA-Z]{3,}\b"), F.lit(0)), lambda w: ~w.isin(*stop))
+        return (F.contains(s, F.lit("[")) | (F.size(words) >= 2)) if brackets else F.size(words) >= 2
+
+    kept = F.filter(F.transform(sentences(text), lambda s: F.trim(s)), lambda s: (F.length(s) > 0) & has(s))
+    return F.trim(F.array_join(kept, " "))
+
+
+def cleaned(text: Column) -> Column:
+    """Artefacts of empty slots rewritten, sentences without content dropped."""
+    from veilframe import constants as c
+
+    return telling(rewrite(text, c.CLEAN_RULES, 3), c.STOP, True)
+
+
+def cloud_ready(text: Column) -> Column:
+    """Placeholders of direct identifiers and the fragments around them removed."""
+    from veilframe import constants as c
+
+    marks = "|".join(rf"\[{f.upper()}\]" for f in c.DIRECT_FIELDS)
+    t = F.regexp_replace(text, marks, "")
+    for _ in range(3):
+        t = F.regexp_replace(rewrite(t, c.CLOUD_RULES), r"^\s+|\s+$", "")
+    return telling(t, c.CLOUD_STOP, False)
+
+
+def low_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]+\b"), F.lit(0))
+
+
+def any_word(words: Column, lexicon: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(words, F.array(*map(F.lit, lexicon))) if lexicon else F.lit(False)
+
+
+def proper_noun(text: Column) -> Column:
+    """Whether a text has purely alphabetic words and all of them begin with a capital."""
+    alpha = F.filter(F.split(F.trim(text), r"\s+"), lambda w: F.regexp_like(w, F.lit(r"^\p{L}+$")))
+    return (F.size(alpha) > 0) & F.forall(alpha, lambda w: F.regexp_like(w, F.lit(r"^\p{Lu}")))
