@@ -146,6 +146,10 @@ def trigram_query(pattern: str) -> Terms:
     return _walk(list(re._parser.parse(pattern)))[1]
 
 
+def _long(found: Column, least: int) -> Column:
+    return F.filter(found, lambda m: F.length(m["group"]) >= least)
+
+
 def _row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
@@ -181,7 +185,7 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for i, r in enumerate(rules):
         found = find_all(F.col("_text"), r.pattern, r.group)
         if r.least:
-            found = F.filter(found, lambda m, n=r.least: F.length(m["group"]) >= n)
+            found = _long(found, r.least)
         spans = of_kind(found, r.kind, i)
         if r.kind in indexed:
             spans = F.when(F.array_contains(F.col("_rules"), r.kind), spans).otherwise(F.expr(EMPTY))
