@@ -47,10 +47,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def through_parquet(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
+    """df written as Parquet to the shared folder and read again. The shuffle files of the writing go at once."""
+    spark, free = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(free, "false")
+    spark.conf.set(free, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(free, before)
     return spark.read.parquet(path)
 
 
