@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from veilframe import schemas
 from veilframe.operators.payload import form_fields
 
-ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
 
 
 def read_json(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
@@ -23,10 +22,10 @@ def read_json(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-
 
 
 def read_text_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document of a file of unknown encoding: UTF-8 with or without a mark, else Windows-1252."""
+    """One JSON document of a file of unknown encoding: UTF-8 with or without a mark, else ISO-8859-1."""
     raw = spark.read.format("binaryFile").load(path).select(F.col("content"))
     utf = F.try_validate_utf8(F.expr("cast(content as string)"))
-    text = F.regexp_replace(F.coalesce(utf, F.decode("content", "windows-1252")), "^﻿", "")
+    text = F.regexp_replace(F.coalesce(utf, F.decode("content", "ISO-8859-1")), "^﻿", "")
     return raw.select(F.from_json(text, schema).alias("r")).select("r.*")
 
 
