@@ -69,13 +69,13 @@ def described(text: Column, m: Column, kind: str) -> dict[str, Column]:
     return {
         "n_digits": F.length(d),
         "n_marks": F.length(F.regexp_replace(s, "[A-Za-z0-9]", "")),
-        "groups": F.size(F.split(s, "[^A-Za-z0-9]+")),
+        "groups": F.size(F.array_remove(F.split(s, "[^A-Za-z0-9]+"), "")),
         "length": F.length(s),
         "luhn": F.when(F.length(d) > 0, luhn(d)).otherwise(False).cast("int"),
         "context": F.regexp_like(before, F.lit(CONTEXT[kind])).cast("int"),
         "against": F.regexp_like(before, F.lit(AGAINST)).cast("int"),
         "kind": F.lit(ALL.index(kind)),
-        "distinct": F.size(F.array_distinct(F.split(d, ""))),
+        "distinct": F.size(F.array_remove(F.array_distinct(F.split(d, "")), "")),
         "paren": F.contains(s, F.lit("(")).cast("int"),
     }
 
@@ -169,7 +169,7 @@ def boosted(n: int = 600, depth: int = 3) -> tuple[tuple[Node, ...], dict[str, f
     for k, kind in enumerate(ALL):
         m = x[n:, 7] == k
         order = np.sort(held[m])
-        cuts[kind] = next((float(c) for c in order if y[n:][m][held[m] >= c].mean() >= PRECISION), float("inf"))
+        cuts[kind] = next((float(c) - 1e-9 for c in order if y[n:][m][held[m] >= c].mean() >= PRECISION), float("inf"))
     return tuple(trees), cuts
 
 
