@@ -186,7 +186,8 @@ def mixed(docs: DataFrame, seed: int = 0, shards: int = 64) -> DataFrame:
     """The mix itself: docs' columns with the taken texts, a row for each draw, and _m_shard and _m_order (a seeded shuffle
     within the shard). A text that is cut gets its new n_chars where docs has that column."""
     sizes = checkpointed(sized(docs.select("doc_id", "source", "text")))
-    rows, _ = drawn(sized(docs, drop_text=False), seed, shards, sizes)
+    own = {k: f"_m_own_{k}" for k in docs.columns if k == "size"}  # a column of that name is kept aside
+    rows, _ = drawn(sized(docs.withColumnsRenamed(own), drop_text=False), seed, shards, sizes)
     full = rows.withColumn("_m_pass", F.explode(F.sequence(F.lit(0), F.size("_m_shards") - 1))).filter("size(_m_shards) > 0")
     partial = (F.col("_m_pass") >= F.col("_m_whole")) & (F.col("_m_extra") < F.col("size"))
     cut = _cut(full.filter(partial & (F.col("_m_extra") > 0)))
@@ -194,7 +195,7 @@ def mixed(docs: DataFrame, seed: int = 0, shards: int = 64) -> DataFrame:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     out = full.filter(~partial).unionByName(cut)
     return out.select(
-        *docs.columns,
+        *(F.col(own[k]).alias(k) if k in own else F.col(k) for k in docs.columns),
         F.col("_m_shards")[F.col("_m_pass")].alias("_m_shard"),
         _salted(seed + 2, F.col("doc_id"), F.col("_m_pass")).alias("_m_order"),
     )

@@ -175,7 +175,7 @@ def candidates(docs: DataFrame, rules: dict[str, Terms]) -> DataFrame:
 
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with n_<kind> of the base kinds, and _base and _spans (sorted arrays of start, rank, end, kind)."""
+    """docs with _n_<kind> of the base kinds, and _base and _spans (sorted arrays of start, rank, end, kind)."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q != TRUE}
     own = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_row", _row_key())
@@ -195,7 +195,7 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     out = rows.select(
         *docs.columns,
         "_text",
-        *(F.size(f"_s_{r.kind}").cast("bigint").alias(f"n_{r.kind}") for r in rules if r in BASE),
+        *(F.size(f"_s_{r.kind}").cast("bigint").alias(f"_n_{r.kind}") for r in rules if r in BASE),
         F.array_sort(F.concat(*base)).alias("_base"),
         F.array_sort(F.concat(*(f"_s_{k}" for k in by))).alias("_spans"),
     )
@@ -205,7 +205,7 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     s = scanned(docs.select("doc_id", "text"))
-    return s.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+    return s.select("doc_id", *(F.col(f"_n_{r.kind}").alias(f"n_{r.kind}") for r in BASE), F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
