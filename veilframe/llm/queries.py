@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm.oracle import ORACLE as ORACLE
 from veilframe.session import table
 
 
