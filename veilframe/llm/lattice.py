@@ -80,7 +80,7 @@ def keys(unit: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     y[rows, c] += STEP * np.where(gap[rows, c] >= 0, 1, -1)
             points.append(e8(y))
         for k, p in enumerate(points):
-            h = salt + np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15)
+            h = salt + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64)
             for c in range(8):
                 h = mix(h ^ p[:, c].astype(np.uint64)) + np.uint64(c)
             seen[:, t, k] = h.view(np.int64)
