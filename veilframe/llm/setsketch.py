@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.bytesview import chunks, mix, strings, word_hashes, words
 from veilframe.llm.graph import components, in_blocks
-from veilframe.session import checkpointed
+from veilframe.session import through_parquet
 
 SHINGLE = 5
 THRESHOLD = (75, 100)
@@ -71,6 +71,14 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _bands(band: np.ndarray) -> np.ndarray:
+    """Bucket of each band (texts x bands x rows)."""
+    key = np.broadcast_to(np.arange(band.shape[1], dtype=np.uint64), band.shape[:2]).copy()
+    for k in range(band.shape[2]):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + band[:, :, k].astype(np.uint64))
+    return key.view(np.int64)
+
+
 def estimated(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Most likely similarity of each pair of sketches, the sets' sizes being known."""
     above, below = (ra > rb).sum(1), (ra < rb).sum(1)
@@ -101,13 +109,11 @@ def sketched(docs: DataFrame) -> DataFrame:
                 regs = registers(full)
                 s1 = np.array([mix(s).sum() for s in sets], np.uint64) if sets else np.zeros(0, np.uint64)
                 s2 = np.array([mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum() for s in sets], np.uint64) if sets else s1
-                band = regs.reshape(len(full), M // ROWS, ROWS).astype(np.uint64)
-                key = np.broadcast_to(np.arange(M // ROWS, dtype=np.uint64), band.shape[:2]).copy()
-                for k in range(ROWS):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + band[:, :, k])
+                band = regs.reshape(len(full), M // ROWS, ROWS)
+                key = _bands(band)
                 r, k, at = [None] * len(sets), [None] * len(sets), np.flatnonzero(n).tolist()
                 for x, row in enumerate(at):
-                    r[row], k[row] = regs[x].tobytes(), key[x].view(np.int64)
+                    r[row], k[row] = regs[x].tobytes(), key[x]
                 cols = [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(r, pa.binary()), pa.array(k, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "regs", "bands"])
 
@@ -138,10 +144,9 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs(a, b) whose full sets reach the threshold. Texts are read again for the classes in pairs only."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("shuffle_hash"), "doc_id", "semi")
+def _sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, set (sorted hashes) of the classes in nodes(doc_id). Texts are read again for these only."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(nodes.hint("shuffle_hash"), "doc_id", "semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +155,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
                 s = [x.tobytes() for x in shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(s, pa.binary())], ["node", "set"])
 
-    own = texts.mapInArrow(sets, "node bigint, set binary").dropDuplicates(["node", "set"])
+    return texts.mapInArrow(sets, "node bigint, set binary").dropDuplicates(["node", "set"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs(a, b) whose full sets reach the threshold."""
+    own = _sets(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), docs)
     a, b = own.select(F.col("node").alias("a"), F.col("set").alias("sa")), own.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     full = pairs.join(a, "a").join(b, "b")
     least, of = THRESHOLD
@@ -168,47 +178,92 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _across(t: pa.Table) -> pa.Table:
-    """Pairs of different components in one group of a bucket whose estimate may reach the threshold."""
-    t = t.combine_chunks()
+def _pairs(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For one pair of blocks of a bucket: a member and those of the other block, of other components, with which it may
+    reach the threshold and whose first common band this bucket is."""
     node, comp, n, block = (t.column(c).to_numpy() for c in ("node", "component", "n", "_block"))
     regs = _regs(t.column("regs").combine_chunks() if isinstance(t.column("regs"), pa.ChunkedArray) else t.column("regs"))
+    band = regs.reshape(len(regs), M // ROWS, ROWS)
+    keys, bucket = _bands(band), t.column("bucket")[0].as_py()
     i, j = t.column("_i")[0].as_py(), t.column("_j")[0].as_py()
     left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j))
-    out: list[np.ndarray] = []
+    least, of = THRESHOLD
     for x in left:
         y = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if i == j else True)]
-        lo, hi = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
-        y = y[THRESHOLD[1] * lo >= THRESHOLD[0] * hi]
+        y = y[of * np.minimum(n[y], n[x]) >= least * np.maximum(n[y], n[x])]
+        if len(y):
+            first = (band[y] == band[x]).all(2).argmax(1)
+            y = y[keys[x, first] == bucket]
         if len(y):
-            ok = estimated(np.broadcast_to(regs[x], (len(y), M)), regs[y], np.full(len(y), float(n[x])), n[y].astype(float)) >= THRESHOLD[0] / THRESHOLD[1] - MARGIN
-            out.append(np.stack([np.full(ok.sum(), node[x]), node[y[ok]]], 1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs.max(1) if len(pairs) else pairs[:, 0], pa.int64()), "b": pa.array(pairs.min(1) if len(pairs) else pairs[:, 1], pa.int64())})
+            y = y[estimated(np.broadcast_to(regs[x], (len(y), M)), regs[y], np.full(len(y), float(n[x])), n[y].astype(float)) >= least / of - MARGIN]
+        if len(y):
+            yield int(x), y
+
+
+def _across(t: pa.Table) -> pa.Table:
+    """The members of one pair of blocks that have such a partner."""
+    t = t.combine_chunks()
+    some = np.zeros(len(t), bool)
+    for x, y in _pairs(t):
+        some[x] = True
+        some[y] = True
+    return t.select(["bucket", "_i", "_j", "_block", "node"]).filter(pa.array(some))
+
+
+def _settled(t: pa.Table) -> pa.Table:
+    """Links between the members of one pair of blocks, verified on their sets; enough of them to join components."""
+    t = t.combine_chunks()
+    node, sets = t.column("node").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+    up = {c: c for c in t.column("component").to_pylist()}
+    comp = t.column("component").to_pylist()
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    (least, of), out = THRESHOLD, []
+    for x, ys in _pairs(t):
+        for y in ys.tolist():
+            p, q = root(comp[x]), root(comp[y])
+            if p == q:
+                continue
+            union = len(np.unique(np.concatenate([sets[x], sets[y]])))
+            if of * (len(sets[x]) + len(sets[y]) - union) >= least * union:
+                out.append((max(node[x], node[y]), min(node[x], node[y])))
+                up[max(p, q)] = min(p, q)
+    return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of docs(doc_id, text)."""
-    every = checkpointed(sketched(docs))
+    every = through_parquet(sketched(docs))
     rows = every.select("doc_id", "n", "s1", "s2")
     held = every.filter("n > 0 and doc_id is not null")
-    classes = checkpointed(held.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
+    classes = through_parquet(held.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
     member = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("p1"), F.min(F.xxhash64("node")).alias("h")).filter("_n > 1")
-    at = checkpointed(member.join(shared, "bucket").select("bucket", "node", "_n", "p1", (F.xxhash64("node") == F.col("h")).alias("pivot")))
-    second = at.filter("pivot").groupBy("bucket").agg(F.min("node").alias("p2"))
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("p1")).filter("_n > 1")
+    at = through_parquet(member.join(shared, "bucket").select("bucket", "node", "_n", "p1"))
+    # the class that shares bands with most others stands at the middle of its copies
+    middle = at.groupBy("node").agg(F.sum("_n").alias("w"))
+    second = at.join(middle, "node").groupBy("bucket").agg(F.max(F.struct("w", (-F.col("node")).alias("m"))).alias("best")).select("bucket", (-F.col("best.m")).alias("p2"))
     star = at.select("node", F.col("p1").alias("p")).unionByName(at.join(second, "bucket").select("node", F.col("p2").alias("p"))).filter("node <> p")
     pairs = star.select(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b")).distinct()
     slim = classes.select("node", "n", "regs")
-    links = checkpointed(_verified(checkpointed(_promising(pairs, slim)), docs, slim))
+    links = through_parquet(_verified(through_parquet(_promising(pairs, slim)), docs))
     comp = components(links)
     # buckets in which more than one component is left
     named = at.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("_n")).filter("lo <> hi").select("bucket", "_n")
     left = named.join(mixed, "bucket").join(slim, "node").select("bucket", "node", "component", "n", "regs", "_n")
-    rest = checkpointed(in_blocks(left, "bucket", "node", BLOCK, _across, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "anti"))
-    if not rest.isEmpty():
-        links = checkpointed(links.unionByName(_verified(rest, docs, slim)))
+    some = through_parquet(in_blocks(left, "bucket", "node", BLOCK, _across, "bucket bigint, _i int, _j int, _block int, node bigint"))
+    if not some.isEmpty():
+        sets = _sets(some.select(F.col("node").alias("doc_id")).distinct(), docs)
+        who = slim.join(comp, "node", "left").select("node", "n", "regs", F.coalesce("component", "node").alias("component"))
+        units = some.join(who.join(sets, "node"), "node")
+        more = units.groupBy("bucket", "_i", "_j").applyInArrow(_settled, "a bigint, b bigint").distinct()
+        links = through_parquet(links.unionByName(more))
         comp = components(links)
     final = classes.select("s1", "s2", "node").join(comp, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("c"))
     linked = rows.filter("n > 0 and doc_id is not null").join(final, ["s1", "s2"]).select("doc_id", "n", "c")
