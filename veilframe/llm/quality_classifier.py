@@ -13,6 +13,7 @@ scored alike; further columns do not matter."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.bytesview import chunks, mix, powers, strings, sums, word_hashes, words
 
 BITS = 18
-SAMPLE = 8_000  # labelled rows that the fit uses at most
+SAMPLE = 4_000  # labelled rows that the fit uses at most
 LONGEST = 200_000  # bytes; longer texts are scored, but are not training rows
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.002, 0.001
 SCALE = 20.0  # of the shares
@@ -95,25 +96,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     chosen = labels.filter("y is not null and doc_id is not null").select("doc_id", "y")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     joined = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST).join(F.broadcast(chosen), "doc_id")
-    rows = sorted(((r[0], r[1].tobytes(), r[2].tobytes()) for r in examples(joined).toArrow().to_pandas().itertuples(index=False)), key=lambda r: r[1:])
+    t = examples(joined).toArrow().combine_chunks()
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i: np.ndarray | slice) -> np.ndarray:
         return np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    if rows:
-        y = np.array([r[0] for r in rows], float)
-        idx = [np.append(np.frombuffer(r[1], np.int32), 1 << BITS) for r in rows]
-        val = [np.append(np.frombuffer(r[2], np.float32), 1.0).astype(float) for r in rows]
-        rng = np.random.default_rng(7)
+    if len(t):
+        y = t.column("y").to_numpy()
+        # views of the collected lists; the last coordinate is the bias
+        idx, val = ([x.values.to_numpy() for x in t.column(k)] for k in ("idx", "val"))
+        order = sorted(range(len(t)), key=lambda k: (int(y[k]), hashlib.sha256(idx[k]).digest(), hashlib.sha256(val[k]).digest()))
+        rng, b = np.random.default_rng(7), 1 << BITS
         for _ in range(EPOCHS):
-            for k in rng.permutation(len(rows)):
-                i, x = idx[k], val[k]
-                w = weights(i)
-                g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y[k]) * x
+            for k in rng.permutation(len(order)):
+                i, x = idx[order[k]], val[order[k]]
+                w, wb = weights(i), float(weights(np.array([b]))[0])
+                err = 1 / (1 + np.exp(-np.clip(w @ x + wb, -35, 35))) - y[order[k]]
+                g = err * x
                 s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
                 z[i] += g - s * w  # coordinates that two kinds share get one of their updates
                 n[i] += g * g
+                z[b] += err - (np.sqrt(n[b] + err * err) - np.sqrt(n[b])) / ALPHA * wb
+                n[b] += err * err
     return weights(slice(None)).astype(np.float32)
 
 
