@@ -323,3 +323,33 @@ def test_classifier(spark, none):
     assert all(0 <= s <= 1 for s in got.values())
     assert q.scored(none.select("doc_id", "text"), w).count() == 0
     assert set(q.train(d, y.filter("false")).tolist()) == {0.0}
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    from veilframe.llm import mixing
+
+    monkeypatch.setattr(mixing, "BLOCKS", 40)
+    monkeypatch.setattr(mixing, "GROUPS", 7)
+    rows = [(i, prose(i, 1 + i % 9), "hot" if i % 3 == 0 else f"s{i % 150}" if i % 7 else None) for i in range(1500)]  # 97 sources
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    size, n = Counter(), Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+        n[s] += 1
+    assert len(size) > 2 * mixing.BLOCKS
+    want = mixing.targets(dict(size))
+    got, by = mixing.planned_mix(d).collect(), Counter()
+    assert sorted(r.doc_id for r in got) == list(range(1500))
+    for r in got:
+        assert (r.source_size, r.target) == (size[r.source], float(want[r.source])) and 0 <= r.taken <= 3 * r.size
+        by[r.source] += r.taken
+    assert all(abs(by[s] - want[s]) <= 1 for s in size)
+    taken = Counter()
+    for r in mixing.mixed(d).select("source", "text").collect():
+        taken[r.source] += len(r.text.split())
+    assert taken == +by
+    sizes = mixing.sized(d)
+    blocks = Counter(r._m_key[1:] for r in mixing.plan(sizes)[0].collect())
+    assert blocks["hot"] == min(-(-n["hot"] // mixing.BLOCK_DOCS), 40 * n["hot"] // 1500) > 1 and sum(blocks.values()) <= 40 + len(size)
+    shards = Counter(x for r in mixing.plan(sizes, shards=8)[0].collect() for x in r._m_shards)
+    assert len(shards) == 8 and max(shards.values()) - min(shards.values()) <= 3
