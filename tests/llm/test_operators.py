@@ -297,6 +297,19 @@ def test_language(spark, none):
     assert langid.predicted(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), None).first().lang_pred == "und"
 
 
+def test_letters_beyond_the_basic_plane(spark):
+    from veilframe.llm import langid
+
+    m = langid.train(spark.createDataFrame([(i, prose(i, 40), "en") for i in range(20)], "doc_id bigint, text string, lang string"))
+    test = ["😀", "😀 12 🎉🎉!", "𝟘𝟙 𐄁 🀄", "𐐀𐐨", "𠀀 1"]  # the last two hold letters
+    got = {r.i: r for r in langid.predicted(spark.createDataFrame(list(enumerate(test)), "i int, text string"), m).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in range(3)] == [("und", 0.0)] * 3
+    assert [got[i].lang_pred for i in (3, 4)] == ["en"] * 2
+    data = np.frombuffer("𐐀𐐨".encode(), np.uint8)
+    code, _ = langid.coded(data, np.array([0, len(data)]))
+    assert len(code) >= 2 and code[-1] == code[-2] >= 0xC00  # one letter in both cases
+
+
 def test_kneser_ney_sums_to_one():
     from veilframe.llm import langid
 

@@ -37,8 +37,8 @@ LETTERS = 2_000  # size of the uniform model below the unigrams
 
 
 def _letters() -> np.ndarray:
-    out = np.zeros(0x10000, np.int64)
-    for cp in range(0x10000):
+    out = np.zeros(0x110000, np.int16)
+    for cp in range(len(out)):
         if unicodedata.category(chr(cp))[0] == "L":
             low = chr(cp).lower()
             k = ord(low) if len(low) == 1 else cp
@@ -56,8 +56,7 @@ def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     at = heads[offsets]
-    code = _table[0][np.minimum(cp, 0xFFFF)]
-    code[cp > 0xFFFF] = 0xC00 + (cp[cp > 0xFFFF] & 0x3FF)
+    code = _table[0][cp].astype(np.int64)
     keep = np.empty(len(code), bool)
     if len(code):
         keep[0] = True
