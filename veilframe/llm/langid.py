@@ -9,7 +9,7 @@ a softmax of the cross-entropies whose temperature is fitted on documents left o
 where the cross-entropy is above what nearly all of those have.
 
 The fit uses at most about DOCS documents a language, of at most LONGEST bytes each (those with the least hashes); this
-bounds the model. Every text is scored, whole.
+bounds the model. A language of longer texts only is learned from their beginnings. Every text is scored, whole.
 
 Edge cases: null, empty and letterless texts are `und` with score 0; languages are the non-null values of the training
 rows; with none of them everything is `und`; repeated rows are scored alike; further columns do not matter."""
@@ -175,19 +175,24 @@ def _lower(keys: list, logp: list, weight: list, contexts: list, order: int, k:
     return logp[order][np.searchsorted(keys[order], k), li]  # a suffix of a known n-gram is known
 
 
-def sampled(docs: DataFrame, docs_per: int = DOCS) -> DataFrame:
-    """At most about docs_per rows a language of the training rows docs(doc_id, text, lang)."""
-    counts = docs.groupBy("lang").count().collect()
+def sampled(docs: DataFrame, counts: dict[str, int], docs_per: int, *key: str) -> DataFrame:
+    """Of the languages in counts (rows of docs a language) at most about docs_per rows each, by a hash of the key."""
     rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r.lang, F.lit(min(1.0, docs_per / r["count"]))).otherwise(rate)
-    u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.filter((u < rate) & (F.octet_length("text") <= LONGEST))
+    for lang, n in counts.items():
+        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per / max(1, n)))).otherwise(rate)
+    u = F.pmod(F.xxhash64(*key, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    return docs.filter(u < rate)
 
 
 def train(docs: DataFrame, docs_per: int = DOCS) -> Model | None:
-    """From rows docs(doc_id, text, lang); rows without text or language are left out."""
-    docs = sampled(docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null"), docs_per)
+    """From rows docs(doc_id, text, lang); rows without text or language are left out.
+
+    A language that this leaves without a counted letter (its texts are too long or all left out of the counts) is counted
+    on all its rows, long texts cut; those are then no part of the calibration."""
+    docs = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
+    short = F.octet_length("text") <= LONGEST
+    rows = {r.lang: r for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short")).collect()}
+    few = sampled(docs.filter(short), {k: r.short for k, r in rows.items()}, docs_per, "doc_id")
     out_of = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(8)) == 0  # left out of the counts, for calibration
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +209,23 @@ def train(docs: DataFrame, docs_per: int = DOCS) -> Model | None:
             n = np.bincount(at, np.concatenate([c for _, c in p])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key), pa.array(n)], ["lang", "k", "n"])
 
-    counts = docs.filter(~out_of).select("text", "lang").mapInArrow(run, "lang string, k bigint, n bigint")
-    got = counts.groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "k"])
+    def counted(chosen: DataFrame) -> pd.DataFrame:
+        found = chosen.select("text", "lang").mapInArrow(run, "lang string, k bigint, n bigint")
+        return found.groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
+
+    got = counted(few.filter(~out_of))
+    rest = {k: r.n for k, r in rows.items() if k not in set(got["lang"][got["k"] > 0])}  # no letter counted
+    if rest:
+        cut = F.when(short, F.col("text")).otherwise(F.substring("text", 1, LONGEST // 4))  # a character has 4 bytes at most
+        more = counted(sampled(docs, rest, docs_per, "doc_id", "text").withColumn("text", cut))
+        got = pd.concat([x for x in (got[~got["lang"].isin(list(rest))], more) if len(x)] or [got])
+    got = got.sort_values(["lang", "k"])
     if got.empty:
         return None
     langs = sorted(got["lang"].unique())
     m = fit(langs, {x: (g["k"].to_numpy(), g["n"].to_numpy()) for x, g in got.groupby("lang")})
-    calibrate(m, docs.filter(out_of).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(400).select("text", "lang").toPandas())
+    held = few.filter(out_of & ~F.col("lang").isin(list(rest)))
+    calibrate(m, held.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(400).select("text", "lang").toPandas())
     return m
 
 
