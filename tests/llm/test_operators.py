@@ -383,3 +383,11 @@ def test_mixing_many_sources(spark, monkeypatch):
     assert blocks["hot"] == min(-(-n["hot"] // mixing.BLOCK_DOCS), 40 * n["hot"] // 1500) > 1 and sum(blocks.values()) <= 40 + len(size)
     shards = Counter(x for r in mixing.plan(sizes, shards=8)[0].collect() for x in r._m_shards)
     assert len(shards) == 8 and max(shards.values()) - min(shards.values()) <= 3
+
+
+def test_classifier_uses_8000_labels(spark):
+    from veilframe.llm import quality_classifier as q
+
+    d = spark.range(6000).selectExpr("id as doc_id", "concat('w', id % 50, ' v', id % 7) as text", "int(id % 50 < 20) as y")
+    w = q.train(d.drop("y"), d.drop("text"))
+    assert (w == q.train(d.drop("y"), d.drop("text"), 6000)).all() and (w != q.train(d.drop("y"), d.drop("text"), 4000)).any()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.bytesview import chunks, mix, powers, strings, sums, word_hashes, words
 
 BITS = 18
-SAMPLE = 4_000  # labelled rows that the fit uses at most
+SAMPLE = 8_000  # labelled rows that the fit uses at most
 LONGEST = 200_000  # bytes; longer texts are scored, but are not training rows
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.002, 0.001
 SCALE = 20.0  # of the shares
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     chosen = labels.filter("y is not null and doc_id is not null").select("doc_id", "y")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     joined = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST).join(F.broadcast(chosen), "doc_id")
-    t = examples(joined).toArrow().combine_chunks()
+    t = examples(joined).toArrow()
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i: np.ndarray | slice) -> np.ndarray:
