@@ -391,3 +391,25 @@ def test_classifier_uses_8000_labels(spark):
     d = spark.range(6000).selectExpr("id as doc_id", "concat('w', id % 50, ' v', id % 7) as text", "int(id % 50 < 20) as y")
     w = q.train(d.drop("y"), d.drop("text"))
     assert (w == q.train(d.drop("y"), d.drop("text"), 6000)).all() and (w != q.train(d.drop("y"), d.drop("text"), 4000)).any()
+
+
+def test_private_keys_go_whole(spark):
+    from veilframe.llm import secrets
+
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = ["MIIEpAIBAAKCAQEA" + "Zz+/9Qk" * 6 + str(i) for i in range(10, 30)]
+    body = "\n".join([*lines, "Ab9="])
+    texts = [
+        (f"see {head}\n{body}\n{end} end", "see [secret] end"),
+        (f"{head}\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0A1B\r\n\r\n" + body.replace("\n", "\r\n") + f"\r\n{end}\r\nx", "[secret]\r\nx"),
+        (f'k = "{head}\\n' + body.replace("\n", "\\n") + f'\\n{end}\\n" z', 'k = "[secret]\\n" z'),
+        (f"{head}\n{body}\nProse follows here.", "[secret]\nProse follows here."),
+        (f"{head}\n" + "\n".join(lines), "[secret]"),
+        (f"{head} is how a key begins", "[secret] is how a key begins"),
+        (f"{head}\n{body}\n{end}\n{head}\n{body}\n{end}.", "[secret]\n[secret]."),
+        (f"{head}\n" + "\n".join(lines * 2000) + f"\n{end} long", "[secret] long"),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(d).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(texts)}
+    assert secrets.trigram_query(next(r.pattern for r in secrets.RULES if r.kind == "private_key")) != secrets.TRUE

@@ -39,6 +39,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: What follows the header of a private key: all up to its END line or, where that is missing, header fields and base64
+#: lines (the last may be short). Line ends may be written as \\n. Possessive: no backtracking in long texts.
+_GAP = r"(?:[\x20\x09-\x0D]|\x5C[nr])++"
+_KEY_BODY = (
+    r"(?:(?:[A-Za-z0-9+/=:,\x20\x09-\x0D]++|\x5C[nr]|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info):[A-Za-z0-9,\x20-]*+)*+"
+    rf"(?:(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}[A-Za-z0-9+/]{{1,63}}+={{0,2}}+(?![^\x0A\x0D\x5C\x22\x27]))?+)?+)"
+)
 #: What the method adds: formats of known issuers.
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{30,}"),
@@ -46,7 +54,7 @@ MORE = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----" + _KEY_BODY),
     Rule("url_password", r"://[A-Za-z0-9_.-]{1,64}:[^\x20\x09-\x0D/@:]{6,64}@"),
 )
 RULES = BASE + MORE
