@@ -413,3 +413,20 @@ def test_private_keys_go_whole(spark):
     got = {r.doc_id: r.text for r in secrets.redacted(d).collect()}
     assert got == {i: want for i, (_, want) in enumerate(texts)}
     assert secrets.trigram_query(next(r.pattern for r in secrets.RULES if r.kind == "private_key")) != secrets.TRUE
+
+
+def test_mix_is_sharded_and_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from veilframe.llm import mixing
+
+    rows = [(i, prose(i, 1 + i % 9), f"s{i % 5}") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    parts = {}
+    for r in mixing.mixed(d, shards=6).select("doc_id", "_m_shard", "_m_order", F.spark_partition_id().alias("p")).collect():
+        parts.setdefault(r.p, []).append(r)
+    assert len(parts) == 6
+    for p, rs in parts.items():
+        assert {r._m_shard for r in rs} == {p} and [r._m_order for r in rs] == sorted(r._m_order for r in rs)
+    told = Counter((r.doc_id, int(x)) for r in mixing.planned_mix(d, shards=6).collect() for x in r.shards.split(",") if x)
+    assert told == Counter((r.doc_id, r._m_shard) for rs in parts.values() for r in rs)

@@ -214,9 +214,12 @@ def drawn(sizes: DataFrame, seed: int = 0, shards: int = 64, planned: DataFrame
 
 
 def planned_mix(docs: DataFrame, seed: int = 0, shards: int = 64) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    """One row a document: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), shards (those
+    that its draws go to, in order of the passes, comma-joined)."""
     rows = drawn(checkpointed(sized(docs.select("doc_id", "source", "text"))), seed, shards)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("_m_whole") * F.col("size") + F.col("_m_extra")).alias("taken"))
+    taken = F.col("_m_whole") * F.col("size") + F.col("_m_extra")
+    into = F.array_join(F.when((F.col("_m_part") == 2) & (F.col("_m_extra") == 0), F.slice("_m_shards", F.lit(1), F.col("_m_whole"))).otherwise(F.col("_m_shards")), ",")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), into.alias("shards"))
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -238,7 +241,7 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = 0, shards: int = 64) -> DataFrame:
     """The mix itself: docs' columns with the taken texts, a row for each draw, and _m_shard and _m_order (a seeded shuffle
-    within the shard). A text that is cut gets its new n_chars where docs has that column."""
+    within the shard). Each partition is a shard, its rows in that order. A text that is cut gets its new n_chars where docs has that column."""
     sizes = checkpointed(sized(docs.select("doc_id", "source", "text")))
     own = {k: f"_m_own_{k}" for k in docs.columns if k in ("size", "source_size", "target")}  # columns of those names are kept aside
     rows = drawn(sized(docs.withColumnsRenamed(own), drop_text=False), seed, shards, sizes)
@@ -248,8 +251,9 @@ def mixed(docs: DataFrame, seed: int = 0, shards: int = 64) -> DataFrame:
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     out = full.filter(~partial).unionByName(cut)
-    return out.select(
+    out = out.select(
         *(F.col(own[k]).alias(k) if k in own else F.col(k) for k in docs.columns),
         F.col("_m_shards")[F.col("_m_pass")].alias("_m_shard"),
         _salted(seed + 2, F.col("doc_id"), F.col("_m_pass")).alias("_m_order"),
     )
+    return out.repartitionById(shards, F.col("_m_shard")).sortWithinPartitions("_m_order")

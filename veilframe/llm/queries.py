@@ -80,7 +80,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm import mixing
 
-    return mixing.planned_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.planned_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_embedding_dedup, op4_quality_rules, op5_suffix_dedup, op6_secrets, op7_near_dedup, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
