@@ -52,7 +52,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-ORACLE_SQL = None  # SQL expresses neither the classifier nor the merges; tests compare with brute force
+ORACLE_SQL = None  # SQL expresses neither the classifier nor the merges; tests/llm/test_pipeline.py compares run() with plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,3 +30,48 @@ def test_stages(spark):
     out = p.tokens(spark, mix, D)
     assert out.count() == mix.count()
     assert [n for n, _ in p.STAGES][0] == "quality classifier" and len(p.STAGES) == 5
+
+
+def test_run_against_plain_python(spark, tmp_path):
+    import base64
+    import hashlib
+    import re
+    from collections import Counter
+
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline as p
+    from test_operators import near, prose
+    from veilframe.llm import mixing
+
+    rows = [(i, prose(i, 20 + i % 30) + (f" token={'a1b2c3' * 3} AKIA{'Q' * 16} end" if i % 4 == 0 else ""), "en", f"s{i % 3}") for i in range(80)]
+    rows += [(100 + i, rows[i][1] + " more", "en", "s2") for i in range(0, 60, 3)]
+    rows += [(200 + i, "!! ## " * 30 + f"bad{i}", "en", "s1") for i in range(40)]
+    cols = "doc_id bigint, text string, lang string, source string, n_chars int"
+    spark.createDataFrame([(*r, len(r[1])) for r in rows], cols).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], int(r[0] < 200), 0) for r in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = {r.doc_id for r in p.quality(spark, docs, str(tmp_path)).collect()}
+    assert 0 < len(good) < len(rows)
+    kept = {i: (t, s) for i, t, _, s in rows if i in good}
+    groups = near([(i, t) for i, (t, _) in kept.items()])
+    kept = {i: x for i, x in kept.items() if groups[i][1] == i}
+    assert len(kept) < len(good)
+    safe = {i: (re.sub(r"token=[A-Za-z0-9]{12,}|AKIA[A-Z0-9]{14,}", "[secret]", t), s) for i, (t, s) in kept.items()}
+    size, words = Counter(), Counter()
+    for t, s in safe.values():
+        size[s] += len(t.split())
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    for r in p.run(spark, str(tmp_path)).collect():
+        ids = [int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)]
+        text, (whole, source) = enc.decode(ids), safe[r.doc_id]
+        assert text == whole or whole.startswith(text + " ")
+        assert ids == enc.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(r.ids), digest(text.encode()))
+        words[source] += len(text.split())
+    want = mixing.targets(dict(size))
+    assert set(words) == set(want) and all(abs(words[s] - want[s]) <= 1 for s in want)
