@@ -4,7 +4,10 @@ A text is cut by the vocabulary's pattern; each match is merged on its own. Over
 segment tree whose leaves hold (rank of the pair that starts here, position); an inner node holds the least of its
 children, so the root is the leftmost pair of minimum rank. A merge writes three leaves (the pair that grew, the one
 before it, the one that vanished) and repairs their paths: logarithmic work a merge. Many distinct matches of one batch
-are merged side by side, one tree a row of a matrix; long matches use the same tree in a plain list.
+are merged side by side, one tree a row of a matrix; long matches use the same tree in an array of their own.
+
+Memory: texts are encoded in slabs of about SLAB characters, cut where no match can cross; ids of matches are cached up to
+CACHE_BYTES a worker, checked before every slab. One match of n bytes takes some 60 n bytes while it is merged.
 
 Edge cases: null or empty text gives no ids; a match that is a token as a whole is that token; text of any length is
 encoded whole; repeated rows give repeated results; further columns of the input do not matter."""
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +26,9 @@ from pyspark.sql import DataFrame
 NONE = np.int64(1) << 40  # above any (rank, position)
 SHIFT = 12  # positions of a short match take fewer bits
 SHORT = 64  # longest match in bytes that goes into a matrix
-CACHED = 1_000_000  # distinct stretches kept in a worker's memory
+SLAB = 1 << 17  # characters that are encoded at once, about
+CACHE_BYTES = 24 << 20  # of ids of known matches and stretches in a worker's memory, about
+ENTRY = 220  # bytes that a cache entry takes beside its characters and ids: two objects and its place in the table
 
 
 class Vocabulary:
@@ -52,6 +58,8 @@ class Vocabulary:
         self.keys, self.ranks = np.append(keys, np.iinfo(np.int64).max), np.array([self.pair[k] for k in keys.tolist()] + [0], np.int64)
         self.known: dict[str, bytes] = {}  # ids by match
         self.spaced: dict[str, bytes] = {}  # ids by stretch between single spaces
+        self.held = 0  # bytes of both, about
+        self.safe = regex.compile(r"(?<=\S) (?=\S)").search
         self.uneasy = regex.compile(r"\s | \s|^ | $").search
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,11 +126,11 @@ class Vocabulary:
         return [flat[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def merge_long(self, piece: bytes) -> bytes:
-        """The same tree for one match of any length."""
+        """The same tree for one match of any length, in arrays of machine integers."""
         n = len(piece)
         size, top = 1 << max(1, (n - 1).bit_length()), 1 << 62
-        ids, nxt, prv = [int(x) for x in self.single[np.frombuffer(piece, np.uint8)]], list(range(1, n + 1)), list(range(-1, n - 1))
-        tree, get = [top] * (2 * size), self.pair.get
+        ids, nxt, prv = array("i", self.single[np.frombuffer(piece, np.uint8)].tolist()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        tree, get = array("q", [top]) * (2 * size), self.pair.get
 
         def value(a: int) -> int:
             b = nxt[a]
@@ -154,7 +162,8 @@ class Vocabulary:
             put(p, value(p))
             if prv[p] >= 0:
                 put(prv[p], value(prv[p]))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+        left = np.frombuffer(ids, np.int32)
+        return left[left >= 0].astype("<u4").tobytes()
 
     def learn(self, new: set[str]) -> None:
         """Ids of all matches in new go into the worker's cache."""
@@ -173,30 +182,65 @@ class Vocabulary:
                 for (s, _), ids in zip(part, self.merge_many([p for _, p in part]), strict=True):
                     self.known[s] = ids
 
+    def slabs(self, text: str) -> Iterator[str]:
+        """A text in parts of about SLAB characters, each but the first beginning with a lone space: no match spans two."""
+        at = 0
+        while len(text) - at > SLAB:
+            found = self.safe(text, at + SLAB)
+            if found is None:
+                break
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:] if at else text
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         No match holds a single space anywhere but at its start, so a text whose spaces all stand alone between other
         characters falls into stretches that begin with their space, and equal stretches give equal ids."""
-        if len(self.known) + len(self.spaced) > CACHED:
-            self.known, self.spaced = {}, {}
+        if self.held > CACHE_BYTES:
+            self.known, self.spaced, self.held = {}, {}, 0
         plain = [None if self.uneasy(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
         new = list(set().union(*(x for x in plain if x)).difference(self.spaced))
         cut = [self.cut(t) for t in new]
         rest = [self.cut(t) if x is None else () for t, x in zip(texts, plain, strict=True)]
-        self.learn(set().union(*cut, *rest).difference(self.known))
+        fresh = set().union(*cut, *rest).difference(self.known)
+        self.learn(fresh)
         get = self.known.__getitem__
-        self.spaced.update((t, b"".join(map(get, c))) for t, c in zip(new, cut, strict=True))
+        self.held += sum(ENTRY + len(t) + len(get(t)) for t in fresh)
+        for t, c in zip(new, cut, strict=True):
+            self.spaced[t] = ids = b"".join(map(get, c))
+            self.held += ENTRY + len(t) + len(ids)
         whole = self.spaced.__getitem__
         return [b"".join(map(get, r)) if x is None else b"".join(map(whole, x)) for x, r in zip(plain, rest, strict=True)]
 
-    def decode(self, ids: bytes) -> bytes:
-        t = np.frombuffer(ids, "<u4").astype(np.int64)
-        lens = self.start[t + 1] - self.start[t]
-        ends = np.cumsum(lens)
-        at = np.repeat(self.start[t] - (ends - lens), lens)
-        at += np.arange(len(at))
-        return self.bytes[at].tobytes()
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The same, slab by slab: short texts share a slab, long ones have several."""
+        some: list[str] = []
+        size = 0
+        for t in texts:
+            if len(t) > SLAB:
+                yield from self.encode(some)
+                some, size = [], 0
+                yield b"".join(self.encode([part])[0] for part in self.slabs(t))
+                continue
+            some.append(t)
+            size += len(t)
+            if size >= SLAB:
+                yield from self.encode(some)
+                some, size = [], 0
+        yield from self.encode(some)
+
+    def decode(self, ids: bytes) -> Iterator[bytes]:
+        """The bytes of the ids, in parts."""
+        every = np.frombuffer(ids, "<u4")
+        for k in range(0, len(every), 1 << 15):
+            t = every[k : k + (1 << 15)].astype(np.int64)
+            lens = self.start[t + 1] - self.start[t]
+            ends = np.cumsum(lens)
+            at = np.repeat(self.start[t] - (ends - lens), lens)
+            at += np.arange(len(at))
+            yield self.bytes[at].tobytes()
 
 
 _loaded: dict[tuple[str, str], Vocabulary] = {}
@@ -211,22 +255,28 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 def tokenized(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
     """One row a row of docs: key, n_tokens, ids_sha256, decoded_sha256 and, with ids, the ids (binary, 4 bytes each).
 
-    Narrow: no shuffle. Memory: about 2 MB of text at a time beside the vocabulary and a bounded cache."""
+    Narrow: no shuffle. Memory: about 1 MB of text at a time beside the vocabulary and a bounded cache."""
     shape = f"{key} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
 
+    def digest(parts: Iterator[bytes]) -> str:
+        h = hashlib.sha256()
+        for part in parts:
+            h.update(part)
+        return h.hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
         for batch in batches:
             keys, texts, i = batch.column(0), batch.column(1), 0
             while i < len(texts):
                 j, part, size = i, [], 0
-                while j < len(texts) and size < 2_000_000:
+                while j < len(texts) and size < 1_000_000:
                     part.append(texts[j].as_py() or "")
                     size += len(part[-1])
                     j += 1
-                coded = v.encode(part)
-                back = [hashlib.sha256(v.decode(c)).hexdigest() for c in coded]
+                coded = list(v.encode_all(part))
+                back = [digest(v.decode(c)) for c in coded]
                 cols = [keys.slice(i, j - i), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in coded]), pa.array(back)]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(coded, pa.binary())] * ids, names)
                 i = j

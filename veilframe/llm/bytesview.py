@@ -14,19 +14,28 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 #: Base of the polynomial hashes; odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
-_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_KEPT = 1 << 20  # powers that a worker keeps; what a longer text needs goes again with it
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n (at least)."""
-    if len(_tables[0]) < n:
-        m = max(1 << 16, 1 << (n - 1).bit_length())
-        for k, b in enumerate((BASE, _INVERSE)):
-            t = np.full(m, b, np.uint64)
-            t[0] = 1
-            _tables[k] = np.cumprod(t, dtype=np.uint64)
-    return _tables[0], _tables[1]
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        t = np.full(n, b, np.uint64)
+        t[0] = 1
+        out.append(np.cumprod(t, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n (at least); base is odd."""
+    if n > _KEPT:
+        return _powers(base, n)
+    if base not in _tables or len(_tables[base][0]) < n:
+        if len(_tables) > 2:
+            _tables.clear()
+        _tables[base] = _powers(base, min(_KEPT, max(1 << 16, 1 << (n - 1).bit_length())))
+    return _tables[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,7 +62,7 @@ def strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[o[0] : o[-1]], o - o[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes each; a longer text stands alone. Bounds the working memory, drops nothing."""
     i, n = 0, len(offsets) - 1
     while i < n:
