@@ -315,11 +315,13 @@ def test_rare_languages_are_learned(spark, monkeypatch):
 
     from veilframe.llm import langid
 
-    monkeypatch.setattr(langid, "LONGEST", 2_000)
-    held = [r.id for r in spark.range(1000, 1100).filter(F.pmod(F.xxhash64(F.col("id"), F.lit(12)), F.lit(8)) == 0).collect()]
+    monkeypatch.setattr(langid, "WINDOW", 2_000)
+    one = "ñandú señor mañana niño " * 20
+    of = spark.range(1000, 1100).select(F.col("id").alias("doc_id"), F.lit(one).alias("text"))
+    held = [r.doc_id for r in of.filter(F.pmod(langid._hash(12), F.lit(8)) == 0).collect()]
     rows = [(i, prose(i, 40), "en") for i in range(60)]
-    rows += [(held[0], "ñandú señor mañana niño " * 20, "one row, left out"), (900, "żółć gęś źdźbło ćma " * 900, "long text"), (901, "12 34", "no letter")]
-    rows += [(i, "λόγος και ψυχή " * 900, "many long") for i in range(910, 930)] + [(i, "слово и дело " * 9, "many long") for i in (held[1], held[2])]
+    rows += [(held[0], one, "one row, left out"), (900, "żółć gęś źdźbło ćma " * 9_000, "long text"), (901, "12 34", "no letter")]
+    rows += [(i, "λόγος και ψυχή " * 9_000, "many long") for i in range(910, 930)]
     m = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert m.langs == ["en", "long text", "many long", "no letter", "one row, left out"]
     test = [(1, "mañana niño señor", "one row, left out"), (2, "gęś ćma źdźbło", "long text"), (3, "ψυχή λόγος", "many long"), (4, prose(77, 30), "en")]

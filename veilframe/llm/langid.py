@@ -6,13 +6,15 @@ stand in one sorted array of keys beside a matrix of their interpolated log-prob
 stand beside their back-off weights in the same way. A position of a text costs one binary search, and another for each
 shorter order where the longer n-gram is unknown to all. The language of least cross-entropy a letter wins; the score is
 a softmax of the cross-entropies whose temperature is fitted on documents left out of the counts. `rejected` is true
-where the cross-entropy is above what nearly all of those have.
+where the cross-entropy strays from theirs, in proportion to the root of the letters, further than all but REJECTED of them.
 
-The fit uses at most about DOCS documents a language, of at most LONGEST bytes each (those with the least hashes); this
-bounds the model. A language of longer texts only is learned from their beginnings. Every text is scored, whole.
+The fit is bounded: DOCS documents a language and TOTAL together, about, those with the least hashes; of each, if it is
+longer, WINDOW characters at a place that a hash chooses. Discounts are estimated from the counts of counts, by language
+and order. Every text is scored, whole.
 
 Edge cases: null, empty and letterless texts are `und` with score 0; languages are the non-null values of the training
-rows; with none of them everything is `und`; repeated rows are scored alike; further columns do not matter."""
+rows; with none of them everything is `und`; equal entropies give the first language by name; repeated rows are scored
+alike; a result column takes the place of an input column of its name; further columns stay."""
 
 from __future__ import annotations
 
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.bytesview import chunks, strings
+from veilframe.llm.names import without
 
 ORDER, BITS = 5, 12
 DOCS = 2_500  # training documents a language
-LONGEST = 100_000  # bytes of a training document
-DISCOUNT = (0.0, 0.6, 0.7, 0.75, 0.8, 0.85)  # by order
+TOTAL = 20_000  # training documents of all languages (one a language at least)
+WINDOW = 10_000  # characters of a training document
+REJECTED = 0.005  # share of known texts that may be rejected
 LETTERS = 2_000  # size of the uniform model below the unigrams
 
 
@@ -93,7 +97,11 @@ class Model:
     contexts: list[np.ndarray]  # contexts by order of their n-grams, sorted
     weight: list[np.ndarray]
     temperature: float = 1.0
-    reject: float = np.inf
+    usual: float = 0.0  # cross-entropy of texts in a known language
+    reject: float = np.inf  # times the root of the letters: what a text may have above it
+
+    def rejects(self, least: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        return (least - self.usual) * np.sqrt(np.maximum(letters, 1)) > self.reject
 
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy a letter (texts x languages) and number of letters."""
@@ -134,6 +142,12 @@ class Model:
         return lp
 
 
+def discount(c: np.ndarray) -> float:
+    """Absolute discount from the numbers of n-grams counted once and twice."""
+    once, twice = int((c == 1).sum()), int((c == 2).sum())
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+
 def fit(langs: list[str], counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """The model from each language's n-grams of full order and their counts."""
     n = len(langs)
@@ -153,7 +167,7 @@ def fit(langs: list[str], counted: dict[str, tuple[np.ndarray, np.ndarray]]) ->
         low = keys[order] & ((1 << (BITS * (order - 1))) - 1)
         for li in range(n):
             k, c = by[li, order]
-            d = DISCOUNT[order]
+            d = discount(c)
             ctx, first, kinds = np.unique(k >> BITS, return_index=True, return_counts=True)
             total = np.add.reduceat(c, first)
             lam = np.ones(len(contexts[order]))
@@ -175,56 +189,55 @@ def _lower(keys: list, logp: list, weight: list, contexts: list, order: int, k:
     return logp[order][np.searchsorted(keys[order], k), li]  # a suffix of a known n-gram is known
 
 
-def sampled(docs: DataFrame, counts: dict[str, int], docs_per: int, *key: str) -> DataFrame:
-    """Of the languages in counts (rows of docs a language) at most about docs_per rows each, by a hash of the key."""
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per / max(1, n)))).otherwise(rate)
-    u = F.pmod(F.xxhash64(*key, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.filter(u < rate)
+def _hash(seed: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), F.lit(1 << 30))
+
+
+def _window(most: int) -> Column:
+    """A text, or `most` characters of it."""
+    n = F.length("text")
+    return F.when(n <= most, F.col("text")).otherwise(F.substr("text", F.pmod(_hash(13), F.greatest(F.lit(1), n - most + 1)).cast("int") + 1, F.lit(most)))
 
 
-def train(docs: DataFrame, docs_per: int = DOCS) -> Model | None:
+def train(docs: DataFrame, docs_per: int = DOCS, window: int = WINDOW) -> Model | None:
     """From rows docs(doc_id, text, lang); rows without text or language are left out.
 
-    A language that this leaves without a counted letter (its texts are too long or all left out of the counts) is counted
-    on all its rows, long texts cut; those are then no part of the calibration."""
-    docs = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    short = F.octet_length("text") <= LONGEST
-    rows = {r.lang: r for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("short")).collect()}
-    few = sampled(docs.filter(short), {k: r.short for k, r in rows.items()}, docs_per, "doc_id")
-    out_of = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(8)) == 0  # left out of the counts, for calibration
+    One row in eight is left out of the counts, for calibration; a language whose sampled rows that leaves without a counted
+    letter is counted on all of them."""
+    docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
+    rows = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    langs = rows.count()
+    per = max(1, min(docs_per, TOTAL // max(1, langs)))
+    of = docs.join(F.broadcast(rows) if langs <= 10_000 else rows, "lang")
+    few = of.filter(_hash(11) < per / F.col("_n") * (1 << 30)).select("doc_id", _window(window).alias("text"), "lang", (F.pmod(_hash(12), F.lit(8)) == 0).alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list] = {}
+        parts: dict[tuple, list] = {}
         for b in batches:
-            langs = np.array(b.column(1).to_pylist(), object)
-            for lang in set(langs.tolist()):
-                data, offs = strings(b.column(0).filter(pa.array(langs == lang)))
+            who = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            for one in set(who):
+                data, offs = strings(b.column(0).filter(pa.array([w == one for w in who])))
                 for i, j in chunks(offs):
                     key, _ = grams(*coded(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
-                    parts.setdefault(lang, []).append(np.unique(key, return_counts=True))
-        for lang, p in parts.items():
+                    parts.setdefault(one, []).append(np.unique(key, return_counts=True))
+        for (lang, held), p in parts.items():
             key, at = np.unique(np.concatenate([k for k, _ in p]), return_inverse=True)
             n = np.bincount(at, np.concatenate([c for _, c in p])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key), pa.array(n)], ["lang", "k", "n"])
-
-    def counted(chosen: DataFrame) -> pd.DataFrame:
-        found = chosen.select("text", "lang").mapInArrow(run, "lang string, k bigint, n bigint")
-        return found.groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
-
-    got = counted(few.filter(~out_of))
-    rest = {k: r.n for k, r in rows.items() if k not in set(got["lang"][got["k"] > 0])}  # no letter counted
-    if rest:
-        cut = F.when(short, F.col("text")).otherwise(F.substring("text", 1, LONGEST // 4))  # a character has 4 bytes at most
-        more = counted(sampled(docs, rest, docs_per, "doc_id", "text").withColumn("text", cut))
-        got = pd.concat([x for x in (got[~got["lang"].isin(list(rest))], more) if len(x)] or [got])
-    got = got.sort_values(["lang", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array([held] * len(key)), pa.array(key), pa.array(n)], ["lang", "held", "k", "n"])
+
+    found = few.select("text", "lang", "held").mapInArrow(run, "lang string, held boolean, k bigint, n bigint")
+    got = found.groupBy("lang", "k").agg(F.sum(F.when(~F.col("held"), F.col("n"))).alias("n"), F.sum("n").alias("every")).toPandas()
+    got["n"] = got["n"].fillna(0).astype(np.int64)
+    learned = set(got["lang"][(got["k"] > 0) & (got["n"] > 0)])
+    if rest := set(got["lang"]) - learned:
+        own = got["lang"].isin(list(rest))
+        got.loc[own, "n"] = got.loc[own, "every"]
+    got = got[got["n"] > 0].sort_values(["lang", "k"])
     if got.empty:
         return None
     langs = sorted(got["lang"].unique())
     m = fit(langs, {x: (g["k"].to_numpy(), g["n"].to_numpy()) for x, g in got.groupby("lang")})
-    held = few.filter(out_of & ~F.col("lang").isin(list(rest)))
+    held = few.filter(F.col("held") & ~F.col("lang").isin(list(rest)))
     calibrate(m, held.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(400).select("text", "lang").toPandas())
     return m
 
@@ -255,11 +268,14 @@ def calibrate(m: Model, held: pd.DataFrame) -> None:
         return float(-np.log(np.where(right, p, 1 - p)).mean())
 
     m.temperature = min((0.1, 0.2, 0.4, 0.7, 1.0, 1.5, 2.0, 3.0), key=loss)
-    m.reject = float(np.quantile(h.min(1), 0.995)) + 1.0
+    least = h.min(1)
+    m.usual = float(np.average(least, weights=n))
+    m.reject = float(np.quantile((least - m.usual) * np.sqrt(n), 1 - REJECTED))
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score, cross_entropy and rejected. Narrow; the model (bounded by the sample) is sent once."""
+    docs = without(docs, "lang_pred", "score", "cross_entropy", "rejected")
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)
     i = names.index("text")
 
@@ -274,7 +290,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
                 none = n == 0
                 pred = np.where(none, "und", np.array(m.langs, object)[h.argmin(1)])
                 least = h.min(1)
-                extra = [pa.array(pred, pa.string()), pa.array(np.where(none, 0.0, confidence(h, n, m.temperature))), pa.array(least, mask=none), pa.array(none | (least > m.reject))]
+                extra = [pa.array(pred, pa.string()), pa.array(np.where(none, 0.0, confidence(h, n, m.temperature))), pa.array(least, mask=none), pa.array(none | m.rejects(least, n))]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*names, "lang_pred", "score", "cross_entropy", "rejected"])
 
     more = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType())]

@@ -5,11 +5,12 @@ upper case, digits, letters beyond ASCII, and other characters as they are), wor
 of magnitude of its length. Each is hashed to one of 2**BITS coordinates; its value is its share of the text's words, so
 a score is a sparse dot product and long texts need no special case.
 
-The fit uses at most SAMPLE labelled rows (those with the least hash of doc_id); every text is scored, whole.
+The fit uses about SAMPLE labelled rows at most (those with the least hash of doc_id) and of a longer text WINDOW characters
+at a place that a hash chooses, so what the driver collects has a fixed bound; every text is scored, whole.
 
 Edge cases: null and empty texts have the length feature only and are scored; labels whose quality is null are not used;
-a document with several labels is a training row for each; without any labelled row all scores are 0.5; repeated rows are
-scored alike; further columns do not matter."""
+a document with several labels, or several rows of one doc_id, are a training row each; without any labelled row all scores
+are 0.5; repeated rows are scored alike; a result column takes the place of an input column of its name; further columns stay."""
 
 from __future__ import annotations
 
@@ -20,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.llm.bytesview import chunks, mix, powers, strings, sums, word_hashes, words
+from veilframe.llm.names import without
 
 BITS = 18
 SAMPLE = 8_000  # labelled rows that the fit uses at most
-LONGEST = 200_000  # bytes; longer texts are scored, but are not training rows
+WINDOW = 10_000  # characters of a training row
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.002, 0.001
 SCALE = 20.0  # of the shares
 
@@ -92,11 +95,17 @@ def examples(labelled: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights (the last one is the bias) from labels(doc_id, y); both tables may have other columns.
 
-    At most `sample` label rows are taken, so what is broadcast and collected has a fixed bound."""
+    At most `sample` label rows are taken, and about as many of the rows that join them (documents may share a doc_id): what
+    is broadcast and collected has a fixed bound."""
     chosen = labels.filter("y is not null and doc_id is not null").select("doc_id", "y")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    joined = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST).join(F.broadcast(chosen), "doc_id")
-    t = examples(joined).toArrow()
+    rows = docs.select("doc_id").join(F.broadcast(chosen), "doc_id").count()
+    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    if rows > sample:
+        joined = joined.filter(F.pmod(F.xxhash64("doc_id", "y", F.xxhash64("text")), F.lit(rows)) < sample)
+    place = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
+    part = F.when(F.length("text") > WINDOW, F.substr("text", place, F.lit(WINDOW))).otherwise(F.col("text"))
+    t = examples(joined.select(part.alias("text"), "y")).toArrow()
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i: np.ndarray | slice) -> np.ndarray:
@@ -136,6 +145,7 @@ def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.nda
 
 def scored(docs: DataFrame, weights: np.ndarray, score: str = "score") -> DataFrame:
     """docs with the score of each text. Narrow; the weights (1 MB) go to the executors once."""
+    docs = without(docs, score)
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(weights)
     i = names.index("text")
 
@@ -144,6 +154,4 @@ def scored(docs: DataFrame, weights: np.ndarray, score: str = "score") -> DataFr
             s = scores(*strings(b.column(i)), shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*names, score])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
