@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import bpe, mixing, quality_classifier, queries, secrets, setsketch
+from veilframe.llm.names import unused
 from veilframe.session import table, through_parquet
 
 QUALITY = 0.3  # documents that score less go
@@ -18,7 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labels that op8 learns from."""
     labels = table(spark, sf_dir, "labels").filter(queries.remainder("doc_id", 5) != 0)
     weights = quality_classifier.train(docs, labels.select("doc_id", F.col("quality").alias("y")))
-    return quality_classifier.scored(docs, weights, "_score").filter(F.col("_score") >= QUALITY).drop("_score")
+    (score,) = unused(docs, "_score")
+    return quality_classifier.scored(docs, weights, score).filter(F.col(score) >= QUALITY).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
