@@ -220,3 +220,28 @@ def test_shards_follow_the_tree(spark):
     dealt = Counter((r._m_key, x) for r in blocks for x in r._m_shards)
     group = mixing.split([draws[k] for k in names], 8, 0)  # each source is a group of its own here
     assert {(k, x): int(n) for k, q in zip(names, group, strict=True) for x, n in enumerate(q) if n} == dict(dealt)
+
+
+def test_equal_word_hashes_link_nothing(spark):
+    """Words whose plain polynomial hashes are equal."""
+    from veilframe.llm import setsketch
+
+    d = spark.createDataFrame([(1, "a b c d nsrmltyxucwepmti"), (2, "a b c d huwepwpushtawirh"), (3, "A b  C d nsrmltyxucwepmti")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in setsketch.groups(d).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 1, False)}
+
+
+def test_exact_sets():
+    from veilframe.llm import setsketch
+
+    texts = ["a b c d e f a b c d e", "b c d e f", "a b", "A  b", "a", "", "ab c d e f", "é b c d e f"]
+    raw = [t.encode() for t in texts]
+    got = setsketch.exact_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = []
+    for t in texts:
+        w = t.lower().split()
+        want.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    assert [len(g) for g in got] == [len(w) for w in want]
+    for g, w in zip(got, want, strict=True):
+        for h, v in zip(got, want, strict=True):
+            assert len(set(g.tolist()) & set(h.tolist())) == len(w & v)

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 NONE = np.int64(1) << 40  # above any (rank, position)
 SHIFT = 12  # positions of a short match take fewer bits
 SHORT = 64  # longest match in bytes that goes into a matrix
-SLAB = 1 << 17  # characters that are encoded at once, about
-CACHE_BYTES = 24 << 20  # of ids of known matches and stretches in a worker's memory, about
+SLAB = 1 << 18  # characters that are encoded at once, about
+CACHE_BYTES = 48 << 20  # of ids of known matches and stretches in a worker's memory, about
 ENTRY = 220  # bytes that a cache entry takes beside its characters and ids: two objects and its place in the table
 
 

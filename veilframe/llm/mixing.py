@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from veilframe.llm.bytesview import chunks, strings, words
+from veilframe.llm.bytesview import strings, words
 from veilframe.session import checkpointed
 
 BLOCKS = 65_536  # blocks of all sources of more than one block together, at most
@@ -42,17 +42,8 @@ WEIGHTS = (1, 2, 3)  # dealt to the sources in order, repeating
 
 def sized(docs: DataFrame, text: str = "text", size: str = "size", drop_text: bool = True) -> DataFrame:
     """docs with the number of words of each text."""
-    keep = [f for f in docs.schema.fields if f.name != text or not drop_text]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = strings(b.column(len(keep)))
-            n = [np.diff(words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[2]) for i, j in chunks(offs)]
-            cols = [b.column(i) for i in range(len(keep))] + [pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, [f.name for f in keep] + [size])
-
-    shape = T.StructType([*keep, T.StructField(size, T.LongType())])
-    return docs.select(*(F.col(f"`{f.name}`") for f in keep), F.col(text).cast("string").alias("_m_text")).mapInArrow(run, shape)
+    n = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("bigint")
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text or not drop_text), n.alias(size))
 
 
 def targets(sizes: dict[str | None, int]) -> dict[str | None, Fraction]:
@@ -217,7 +208,8 @@ def planned_mix(docs: DataFrame, seed: int = 0, shards: int = 64) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), shards (those
     that its draws go to, in order of the passes, comma-joined)."""
     rows = drawn(checkpointed(sized(docs.select("doc_id", "source", "text"))), seed, shards)
-    taken = F.col("_m_whole") * F.col("size") + F.col("_m_extra")
+    whole = F.size("_m_shards") - (F.col("_m_part") > 0).cast("int")  # draws that the tree dealt, but for the partial pass
+    taken = whole * F.col("size") + F.col("_m_extra")
     into = F.array_join(F.when((F.col("_m_part") == 2) & (F.col("_m_extra") == 0), F.slice("_m_shards", F.lit(1), F.col("_m_whole"))).otherwise(F.col("_m_shards")), ",")
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), into.alias("shards"))
 
