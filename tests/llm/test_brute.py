@@ -245,3 +245,31 @@ def test_exact_sets():
     for g, w in zip(got, want, strict=True):
         for h, v in zip(got, want, strict=True):
             assert len(set(g.tolist()) & set(h.tolist())) == len(w & v)
+
+
+def test_equal_run_hashes_remove_nothing(spark):
+    """Texts whose runs have equal polynomial hashes under a base that is no secret."""
+    from veilframe.llm import suffix_dedup
+
+    a = "gqnplnlarrtztkotazhufrsfczrzibvccaoayyihidztfcjR8aqIuyJi;mbzwljcffiqfviuwjowkppdajmknzgidixqgtnahamebxfowq"
+    b = "gqnplnlarrtztkotazhufrsfczrzibvccaoayyihidztf]lW0et@rwOf7t^xvljcffiqfviuwjowkppdajmknzgidixqgtnahamebxfowq"
+    for parts in (1, 2):
+        d = spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string").repartition(parts)
+        assert {r.doc_id: r.n_removed for r in suffix_dedup.cut(d).collect()} == {1: 0, 2: 0}
+
+
+def test_colliding_hashes_cost_no_byte(spark, monkeypatch):
+    """With hashes that collide all the time, bytes still decide what goes."""
+    from veilframe.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup.secrets, "randbits", lambda n: 1)  # base 1: every hash is a sum of bytes
+    rows = [(i, "".join(chr(97 + x) for x in np.random.default_rng(i % 6).permutation(26)) * 4 + f"{i % 4}" * 9) for i in range(24)]
+    first, want = {}, {}
+    for i, t in rows:
+        b, gone = t.encode(), np.zeros(len(t), bool)
+        for p in range(len(b) - 49):
+            if first.setdefault(b[p : p + 50], i) < i:
+                gone[p : p + 50] = True
+        want[i] = int(gone.sum())
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert all(r.n_removed <= want[r.doc_id] for r in suffix_dedup.cut(d).collect())
