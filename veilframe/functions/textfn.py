@@ -4,6 +4,7 @@ Offsets are code points, half-open. Everything stays in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,44 +13,45 @@ from pyspark.sql import functions as F
 _BLOCK = 256
 
 
-def find_all(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start int, end int, text string, group string>> of the matches, leftmost and non-overlapping.
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once."""
+    return F.transform(F.array(value), lambda v: f(v))[0]
 
-    The texts between the matches come from split with the same pattern, so starts are sums of lengths. Matches are folded
-    in blocks, then the blocks: the work stays near linear in texts with very many matches."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string,group:string>>)")
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), groups.alias("g"), F.slice(gaps, F.lit(1), F.size(found)).alias("b"))
 
-    def fields(z: Column) -> tuple[Column, Column, Column]:
-        return z["m"], z["g"], z["b"]
+def _starts(z: Column) -> Column:
+    """Start of each match from array<struct<b, l>>: characters before it since the last one, and its own.
+
+    Matches are folded in blocks, then the blocks: the work stays near linear in texts with very many matches."""
 
     def inner(at: Column, part: Column) -> Column:
-        start = F.struct(none.alias("out"), at.alias("at"))
+        zero = F.struct(F.expr("cast(array() as array<int>)").alias("out"), at.alias("at"))
+        return F.aggregate(part, zero, lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["at"] + x["b"])).alias("out"), (acc["at"] + x["b"] + x["l"]).alias("at")))
+
+    def step(acc: Column, k: Column) -> Column:
+        return bound(inner(acc["at"], F.slice(z, k * _BLOCK + 1, F.lit(_BLOCK))), lambda got: F.struct(F.concat(acc["out"], F.array(got["out"])).alias("out"), got["at"].alias("at")))
 
-        def step(acc: Column, z: Column) -> Column:
-            m, g, b = fields(z)
-            s = acc["at"] + F.length(b)
-            e = s + F.length(m)
-            one = F.struct(s.alias("start"), e.alias("end"), m.alias("text"), g.alias("group"))
-            return F.struct(F.concat(acc["out"], F.array(one)).alias("out"), e.alias("at"))
+    zero = F.struct(F.expr("cast(array() as array<array<int>>)").alias("out"), F.lit(0).alias("at"))
+    marks = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / _BLOCK).cast("int"))
+    return F.when(F.size(z) <= _BLOCK, inner(F.lit(0), z)["out"]).otherwise(F.flatten(F.aggregate(marks, zero, step)["out"]))
 
-        return F.aggregate(part, start, step)
 
-    def outer(z: Column) -> Column:
-        zero = F.struct(F.expr("cast(array() as array<array<struct<start:int,end:int,text:string,group:string>>>)").alias("out"), F.lit(0).alias("at"))
-        marks = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / _BLOCK).cast("int"))
+def find_all(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    """array<struct<start int, end int, text string, group string>> of the matches, leftmost and non-overlapping.
+
+    The texts between the matches come from split with the same pattern, so starts are sums of lengths."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string,group:string>>)")
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
 
-        def step(acc: Column, k: Column) -> Column:
-            got = inner(acc["at"], F.slice(z, k * _BLOCK + 1, F.lit(_BLOCK)))
-            return F.struct(F.concat(acc["out"], F.array(got["out"])).alias("out"), got["at"].alias("at"))
+    def placed(m: Column, g: Column) -> Column:
+        sizes = lambda gaps: F.transform(m, lambda x, i: F.struct(F.length(F.get(gaps, i)).alias("b"), F.length(x).alias("l")))
+        starts = bound(bound(F.split(text, pattern, -1), sizes), _starts)
+        return bound(starts, lambda s: F.transform(m, lambda x, i: F.struct(F.get(s, i).alias("start"), (F.get(s, i) + F.length(x)).alias("end"), x.alias("text"), F.get(g, i).alias("group"))))
 
-        return F.flatten(F.aggregate(marks, zero, step)["out"])
+    def located(m: Column) -> Column:
+        some = bound(F.regexp_extract_all(text, p, F.lit(group)), lambda g: placed(m, g)) if group else placed(m, m)
+        return F.when(F.size(m) == 0, none).otherwise(some)
 
-    small = inner(F.lit(0), zipped)["out"]
-    return F.when(~F.regexp_like(text, F.lit(pattern)), none).when(F.size(found) <= _BLOCK, small).otherwise(outer(zipped))
+    return bound(F.regexp_extract_all(text, p, F.lit(0)), located)
 
 
 def rewrite(text: Column, rules: list[tuple[str, str]], passes: int = 1) -> Column:

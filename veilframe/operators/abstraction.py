@@ -5,13 +5,11 @@ its own decade (`strict_age` gives the fixed phrase instead)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import constants as c
-from veilframe.functions.textfn import any_word, cleaned, cloud_ready, low_words, proper_noun
+from veilframe.functions.textfn import any_word, bound, cleaned, cloud_ready, low_words, proper_noun
 from veilframe.operators.spans import filled, placeholder
 
 
@@ -24,11 +22,6 @@ def _map(entries: dict) -> Column:
     return F.expr("map(" + ", ".join(f"{_sql(k)}, " + ("array(" + ", ".join(map(_sql, v)) + ")" if isinstance(v, tuple) else _sql(v)) for k, v in entries.items()) + ")")
 
 
-def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with value worked out once."""
-    return F.transform(F.array(value), lambda v: f(v))[0]
-
-
 def infer_type(kind: Column, text: Column) -> Column:
     """Abstraction type of a span from its type and words.
 
@@ -48,7 +41,7 @@ def infer_type(kind: Column, text: Column) -> Column:
 
     preference = lambda w: F.when(any_word(w, c.LEXICONS["dietary_preference"]), "dietary_preference").when(any_word(w, c.LEXICONS["seating_preference"]), "seating_preference").otherwise("provider_preference")
     by_words = lambda w: F.when(kind == "preference", preference(w)).when(kind.isin("organization", "facility"), place(w)).when(kind == "noun_phrase", phrase(w)).otherwise("generic_detail")
-    return F.coalesce(_map(c.DIRECT_TYPES)[kind], _bound(low_words(text), by_words))
+    return F.coalesce(_map(c.DIRECT_TYPES)[kind], bound(low_words(text), by_words))
 
 
 def level_of(kind: Column) -> Column:
@@ -118,7 +111,7 @@ def rule_phrase(kind: Column, text: Column, level: Column) -> Column:
 
 def fallback_phrase(kind: Column, level: Column) -> Column:
     found = lambda ps: F.coalesce(F.get(ps, level), F.element_at(ps, -1), F.lit("general context"))
-    return _bound(_map(c.PHRASES)[kind], found)
+    return bound(_map(c.PHRASES)[kind], found)
 
 
 def tidy_answer(text: Column) -> Column:
@@ -155,7 +148,7 @@ def validate(kind: Column, text: Column, strict_age: bool = False) -> Column:
             .otherwise("passed")
         )
 
-    return _bound(words, check)
+    return bound(words, check)
 
 
 def islands(typed: Column, payload: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe import constants as c
+from veilframe.functions.textfn import bound
 
 
 def weight(field: Column) -> Column:
@@ -37,28 +38,30 @@ def leaking(payload: Column, facts: Column) -> Column:
 
 
 def leaks(payloads: DataFrame, facts: DataFrame, text: str, fact: str, gram: int = 12, few: int = 2_000) -> DataFrame:
-    """Pairs of a payload and a fact in it, for fact tables of any size.
+    """Pairs of a payload and a fact in it, for fact tables of any size; both tables' columns.
 
-    At most `few` facts of 1,000 characters are broadcast and looked for one by one. Else facts are keyed by their first `gram` characters; a payload gives each of its distinct parts of that length. That equi
-    join keeps the candidates few where both tables are large; `contains` verifies. Shorter facts are padded into the key
-    of their own length."""
+    At most `few` facts of 1,000 characters are broadcast (2 MB, checked) and looked for one by one. Else facts are keyed by
+    their first `gram` characters, and each text gives the hashes of its distinct parts of that length beside its own hash;
+    that equi join finds the candidates without their texts, which are joined to them afterwards and decide. Facts shorter
+    than `gram` are keyed by all of their characters, in a part length of their own."""
     f = facts.withColumn("_f", F.lower(fact)).filter(F.length("_f") >= 3)
     size = f.agg(F.count(F.lit(1)), F.max(F.length("_f"))).first()
-    if size[0] <= few and (size[1] or 0) <= 1_000:  # 2 MB at most
-        return payloads.withColumn("_p", F.lower(text)).join(F.broadcast(f), F.contains("_p", F.col("_f"))).drop("_p", "_f")
-    f = f.withColumn("_n", F.least(F.length("_f"), F.lit(gram)))
-    lengths = [r[0] for r in f.select("_n").distinct().collect()]  # at most gram - 2 values
-    f = f.withColumn("_k", F.xxhash64(F.substr("_f", F.lit(1), "_n")))
     p = payloads.withColumn("_p", F.lower(text))
-
-    def parts(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_p") - n + 1)), lambda i: F.xxhash64(F.substr(F.col("_p"), i, F.lit(n))))
-
-    keys = [parts(n) for n in lengths]
-    if not keys:
-        return payloads.crossJoin(facts.limit(0))
-    p = p.withColumn("_k", F.explode(F.array_distinct(F.concat(*keys))))
-    return p.join(f, "_k").filter(F.contains("_p", F.col("_f"))).drop("_k", "_p", "_f", "_n")
+    if size[0] <= few and (size[1] or 0) <= 1_000:
+        return p.join(F.broadcast(f), F.contains("_p", F.col("_f"))).drop("_p", "_f")
+    f = f.withColumn("_n", F.least(F.length("_f"), F.lit(gram)))
+    lengths = sorted(r[0] for r in f.select("_n").distinct().collect())  # at most gram - 2 values
+    f = f.withColumn("_k", F.xxhash64("_n", F.substr("_f", F.lit(1), "_n")))
+    p = p.withColumn("_t", F.xxhash64("_p")).withColumn("_c", F.length("_p"))
+
+    def parts(chars: Column) -> Column:
+        each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars) - n + 1)), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(chars, i, F.lit(n)), "")))
+        return F.array_distinct(F.concat(*(each(n) for n in lengths)))
+
+    keys = p.select("_t", "_c", F.explode(bound(F.split("_p", ""), parts)).alias("_k"))
+    near = keys.join(f.select("_k", F.xxhash64("_f").alias("_g")), "_k").select("_t", "_c", "_g").distinct()
+    f = f.withColumn("_g", F.xxhash64("_f")).drop("_n", "_k")
+    return p.join(near, ["_t", "_c"]).join(f, "_g").filter(F.contains("_p", F.col("_f"))).drop("_t", "_c", "_g", "_p", "_f")
 
 
 def ratio(leaked: Column, facts: Column, empty: float | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import constants as c
-from veilframe.functions.textfn import cloud_ready
+from veilframe.functions.textfn import bound, cloud_ready
 from veilframe.operators.spans import filled, pattern_spans, recognized_spans, resolve
 
 
@@ -108,10 +108,13 @@ def first_free_date(slots: Column, default: str = "2026-03-18") -> Column:
     return F.coalesce(F.get(slots, 0), F.lit(default))
 
 
-def redacted(text: Column, recognizer: Callable[[Column], Column] | None = None) -> Column:
-    """Baseline: detected entities removed, the rest made cloud-ready. Detectors are the structured ones and a recogniser."""
-    spans = pattern_spans(text) if recognizer is None else F.concat(pattern_spans(text), recognized_spans(text, recognizer))
-    return cloud_ready(filled(text, resolve(spans), lambda s: F.lit("")))
+def redacted(text: Column, recognizer: Callable[[Column], Column] | None = None, found: Column | None = None) -> Column:
+    """Baseline: detected entities removed, the rest made cloud-ready. Detectors are the structured ones and a recogniser;
+    found: their spans where they are known already."""
+    spans = pattern_spans(text) if found is None else found
+    if recognizer is not None:
+        spans = F.concat(spans, recognized_spans(text, recognizer))
+    return cloud_ready(filled(text, bound(spans, resolve), lambda s: F.lit("")))
 
 
 def rewritten(answer: Column, marker: str = r"(?is)^.{0,200}?(?:here is|here's)[^:\n]{0,80}:\s*") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import constants as c
-from veilframe.functions.textfn import find_all
+from veilframe.functions.textfn import bound, find_all
 from veilframe.schemas import SPANS
 
 Recognizer = Callable[[Column], Column]
@@ -25,13 +25,10 @@ def _span(m: Column, kind: Column | str, source: str, bucket: str, sub: str) ->
 
 
 def find_literal(text: Column, value: Column) -> Column:
-    """All occurrences of a value in a text, whatever the case; values are rows, so the search is by splitting."""
-    low, v = F.lower(text), F.lower(value)
-    pieces = F.split(low, F.concat(F.lit("\\Q"), F.regexp_replace(v, r"\\E", r"\\E\\\\E\\Q"), F.lit("\\E")), -1)
-    n = F.length(value)
-    ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x)) + (k - 1) * n)
-    found = F.transform(ends, lambda s: F.struct(F.substr(text, s + 1, n).alias("text"), s.alias("start"), (s + n).alias("end")))
-    return F.when((n > 0) & (F.size(pieces) > 1), found).otherwise(F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)"))
+    """All occurrences of a value in a text, whatever the case. Values are rows, so only texts that hold theirs are searched."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string,group:string>>)")
+    quoted = F.concat(F.lit("(?iu)\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.when((F.length(value) > 0) & F.contains(F.lower(text), F.lower(value)), find_all(text, quoted)).otherwise(none)
 
 
 def profile_spans(text: Column, profile: dict[str, Column]) -> Column:
@@ -48,12 +45,14 @@ def profile_spans(text: Column, profile: dict[str, Column]) -> Column:
 
 def pattern_spans(text: Column, only: str | None = None) -> Column:
     """Spans of the structured detectors, in the detectors' order."""
-    parts = [
-        _each(find_all(text, p), kind, "structured_pattern", "U_med", kind)
-        for kind, p in c.DETECTORS
-        if only in (None, kind)
-    ]
-    return F.concat(*parts)
+    none = F.expr(f"cast(array() as {SPANS})")
+
+    def one(kind: str, p: str) -> Column:
+        found = _each(find_all(text, p), kind, "structured_pattern", "U_med", kind)
+        sign = c.DETECTOR_SIGNS.get(p)
+        return found if sign is None else F.when(F.contains(text, F.lit(sign)), found).otherwise(none)
+
+    return F.concat(*(one(kind, p) for kind, p in c.DETECTORS if only in (None, kind)))
 
 
 def keep_chunk(text: Column) -> Column:
@@ -83,11 +82,22 @@ def recognized_spans(text: Column, recognizer: Recognizer) -> Column:
     return F.transform(found, typed)
 
 
+def once(spans: Column) -> Column:
+    """Spans without exact copies (texts compared without case): the last of equal ones at the place of the first."""
+    keys = F.transform(spans, lambda s: F.struct(*(F.lower(s[k]).alias(k) if k == "text" else s[k].alias(k) for k in ("text", "start", "end", "span_type", "source", "bucket", "subsource"))))
+
+    def picked(k: Column) -> Column:
+        last = lambda x: F.get(spans, F.size(k) - F.array_position(F.reverse(k), x).cast("int"))
+        return F.when(F.size(F.array_distinct(k)) == F.size(k), spans).otherwise(F.transform(F.array_distinct(k), last))
+
+    return bound(keys, picked)
+
+
 def resolve(spans: Column) -> Column:
     """Greedy conflict resolution: exact copies once, then withheld spans, longer, earlier first; a span that overlaps none
     of those accepted is accepted; the result is in order of start."""
     ranked = F.transform(
-        F.array_distinct(spans),
+        once(spans),
         lambda s, i: F.struct(F.when(s["bucket"] == "U_loc", 0).otherwise(1).alias("p"), (s["start"] - s["end"]).alias("l"), s["start"].alias("o"), i.alias("i"), s.alias("s")),
     )
     clash = lambda acc, s: F.exists(acc, lambda a: (s["start"] < a["end"]) & (s["end"] > a["start"]))
@@ -111,13 +121,17 @@ def placeholder(s: Column) -> Column:
     return F.concat(F.lit("["), F.upper(s["span_type"]), F.lit("]"))
 
 
-def extract(df: DataFrame, payload: str = "payload", profile: dict[str, Column] | None = None, recognizer: Recognizer | None = None) -> DataFrame:
-    """df with all_spans, u_loc, u_med and the views context ([SPAN] slots), tagged and working (only U_loc masked)."""
-    text = F.col(payload)
-    spans = F.concat(profile_spans(text, profile or {}), pattern_spans(text))
+def extract(df: DataFrame, payload: str = "payload", profile: dict[str, Column] | None = None, recognizer: Recognizer | None = None, found: str | None = None) -> DataFrame:
+    """df with all_spans, u_loc, u_med and the views context ([SPAN] slots), tagged and working (only U_loc masked).
+
+    found: a column that keeps the structured detectors' spans as they were found."""
+    text, patterns = F.col(payload), pattern_spans(F.col(payload))
+    if found is not None:
+        df, patterns = df.withColumn(found, patterns), F.col(found)
+    spans = F.concat(profile_spans(text, profile or {}), patterns)
     if recognizer is not None:
         spans = F.concat(spans, recognized_spans(text, recognizer))
-    df = df.withColumn("_all", spans).withColumn("all_spans", resolve(F.col("_all"))).drop("_all")
+    df = df.withColumn("all_spans", bound(spans, resolve))
     df = df.withColumn("u_loc", F.filter("all_spans", lambda s: s["bucket"] == "U_loc")).withColumn("u_med", F.filter("all_spans", lambda s: s["bucket"] == "U_med"))
     tag = lambda s: F.concat(F.lit("["), F.upper(s["bucket"]), F.lit(":"), s["span_type"], F.lit("]"))
     return df.withColumns({

@@ -11,7 +11,7 @@ from veilframe.operators import abstraction, carryover, facts, payload, spans
 
 def sanitize_with_trace(df: DataFrame, text: str = "payload", task: str = "task", profile: dict[str, Column] | None = None, recognizer: spans.Recognizer | None = None, **kw) -> DataFrame:
     """df with spans, decisions, abstractions, binding_table, internal_payload and cloud_payload."""
-    df = spans.extract(df, text, profile, recognizer)
+    df = spans.extract(df, text, profile, recognizer, kw.get("found"))
     df = carryover.carry_over(df, task, kw.get("verdicts"), kw.get("frame"))
     df = abstraction.abstract(df, text, kw.get("answers"), kw.get("strict_age", False))
     return df.withColumn("binding_table", spans.binding_table(F.col("all_spans")))
@@ -23,8 +23,8 @@ def sanitize(df: DataFrame, text: str = "payload", task: str = "task", **kw) ->
 
 def by_method(df: DataFrame, text: str = "payload", task: str = "task", profile: dict[str, Column] | None = None, rewrite: Column | None = None) -> DataFrame:
     """A row for each payload and method; all methods of a payload come from one pass over it."""
-    done = sanitize(df, text, task, profile=profile)
-    parts = {"naive": F.col(text), "redaction": payload.redacted(F.col(text)), "governor": F.col("cloud_payload")}
+    done = sanitize_with_trace(df, text, task, profile=profile, found="_found")
+    parts = {"naive": F.col(text), "redaction": payload.redacted(F.col(text), found=F.col("_found")), "governor": F.col("cloud_payload")}
     if rewrite is not None:
         parts["rewrite"] = payload.rewritten(rewrite)
     made = F.array(*(F.struct(F.lit(m).alias("method"), parts[m].alias("sanitized")) for m in c.METHODS if m in parts))

@@ -13,7 +13,7 @@ from veilframe import constants as c
 from veilframe.functions import textfn
 from veilframe.operators import abstraction, carryover, facts, generate, payload, spans
 from veilframe.plans import governor
-from veilframe.session import table
+from veilframe.session import spread, table
 from veilframe.sources import state
 
 PHONE = "'585-555-' || lpad(cast(o_orderkey % 10000 as string), 4, '0')"
@@ -42,7 +42,7 @@ DUCK = {k: k for k in ("orders", "customer", "nation", "part", "supplier", "docu
 
 def _sql(spark: SparkSession, d: str, text: str) -> DataFrame:
     names = [k for k in DUCK if "{" + k + "}" in text]
-    return spark.sql(text, **{k: table(spark, d, k) for k in names})
+    return spark.sql(text, **{k: spread(table(spark, d, k)) if k == names[0] else table(spark, d, k) for k in names})
 
 
 def query(oracle: str | None = None, name: str | None = None) -> Callable:
@@ -251,7 +251,7 @@ def cleanup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select doc_id, {_sentences(c.CLOUD_STOP, False)} as v from (select doc_id, text as t from documents)")
 def sentence_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", textfn.telling(F.col("text"), c.CLOUD_STOP, False).alias("v"))
+    return spread(table(spark, d, "documents")).select("doc_id", textfn.telling(F.col("text"), c.CLOUD_STOP, False).alias("v"))
 
 
 _MARKED = "regexp_replace(payload, '\\[(" + "|".join(f.upper() for f in c.DIRECT_FIELDS) + ")\\]', '', 'g')"
@@ -284,8 +284,8 @@ def method_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select doc_id, item_id from documents d, benchmark b where length(b.text) >= 3 and contains(lower(d.text), lower(b.text))")
 def leak_pairs(spark: SparkSession, d: str) -> DataFrame:
-    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("fact"))
-    return facts.leaks(docs, items, "text", "fact").select("doc_id", "item_id").distinct()
+    docs, items = spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark").select("item_id", F.col("text").alias("fact"))
+    return facts.leaks(docs, items, "text", "fact").select("doc_id", "item_id")
 
 
 @query("select lang, count(*) as n_docs, count(*) filter (k > 0) as n_leaking, sum(k) as n_leaked, count(*) filter (k > 0) / count(*) as lr from (select doc_id, any_value(lang) as lang, sum(case when length(b.text) >= 3 and contains(lower(d.text), lower(b.text)) then 1 else 0 end) as k from documents d, benchmark b group by doc_id) group by lang")
@@ -395,7 +395,10 @@ def category_infer(spark: SparkSession, d: str) -> DataFrame:
     return _sql(spark, d, f"select p_partkey as id, {PHRASE} as t from {{part}}").select("id", payload.category(F.col("t")).alias("category"))
 
 
-@query("select id, name || ' at ' || address || ' is looking for help — Book a dinner table. ' || day || '. Insurance: BlueCross Plus.' || chr(10) || 'Patient context: Age: 77.' as v from (select *, 1 as one from {PAYLOADS}) where not contains(lower(name || address || day), '77') union all select id, name || ' at ' || address || ' is looking for help — Book a dinner table. ' || day || '. Insurance: BlueCross Plus.' from {PAYLOADS} where contains(lower(name || address || day), '77')")
+_TEMPLATED = "name || ' at ' || address || ' is looking for help — Book a dinner table. ' || day || '. Insurance: BlueCross Plus.'"
+
+
+@query(f"select id, v || case when contains(v, '77') then '' else chr(10) || 'Patient context: Age: 77.' end as v from (select id, {_TEMPLATED} as v from {{PAYLOADS}})")
 def template_payload(spark: SparkSession, d: str) -> DataFrame:
     q = payload.template_query(F.col("name"), F.col("address"), F.col("task"), F.col("day"), F.col("insurance"))
     return payloads(spark, d).select("id", payload.with_context(q, F.lit("77"), F.col("address"), F.col("insurance"), F.lit("")).alias("v"))
