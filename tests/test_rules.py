@@ -144,3 +144,137 @@ def test_state_files(spark, tmp_path):
     p = tmp_path / "x.json"
     p.write_bytes('{"name": "Zoë"}'.encode("cp1252"))
     assert state.read_text_json(spark, str(p), "name string").first().name == "Zoë"
+
+
+def test_many_matches_in_one_text(spark):
+    n = 100_000
+    found = spark.range(1).select(textfn.find_all(F.expr(f"repeat('ab é', {n})"), "ab").alias("f")).select(F.size("f").alias("n"), F.expr("f[size(f) - 1].start").alias("s")).first()
+    assert (found.n, found.s) == (n, 4 * (n - 1))
+    found = spark.range(1).select(spans.find_literal(F.expr(f"repeat('xAb é', {n})"), F.lit("aB")).alias("f")).select(F.size("f").alias("n"), F.expr("f[size(f) - 1]").alias("m")).first()
+    assert (found.n, found.m.start, found.m.end, found.m.text) == (n, 5 * (n - 1) + 1, 5 * (n - 1) + 3, "Ab")
+
+
+def test_literals_are_no_patterns(spark):
+    got = one(spark, spans.find_literal(F.lit(r"a.b axb A.B \\E a.b"), F.lit("a.b")))
+    assert [m.start for m in got] == [0, 8, 15] or [m.text for m in got] == ["a.b", "A.B", "a.b"]
+    assert [m.text for m in one(spark, spans.find_literal(F.lit("x \\E. y \\E."), F.lit("\\E.")))] == ["\\E."] * 2
+
+
+def test_exact_copies_once(spark):
+    mk = lambda t, src, sub: F.struct(F.lit(t).alias("text"), F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit("x").alias("span_type"), F.lit(src).alias("source"), F.lit("U_med").alias("bucket"), F.lit(sub).alias("subsource"))
+    got = one(spark, spans.once(F.array(mk("Ab", "s", "t"), mk("zz", "s", "t"), mk("AB", "s", "t"), mk("ab", "s", "u"))))
+    assert [g.text for g in got] == ["AB", "zz", "ab"]
+
+
+LONG = "find a dentist near the lake who takes new patients on weekends and has parking, please, for two adults and a child"
+TALKS = [
+    ('REASONING: age helps.\nCLOUD QUERY: "find a dentist"\n\nThis query includes an age.', ("age helps.", "find a dentist")),
+    ("Step 1 - Reason: think\nStep 2: CLOUD QUERY: one\nCLOUD QUERY: two words Note: done", ("think", "two words")),
+    (f'I wrote a briefing: "{LONG}"', (f'I wrote a briefing: "{LONG}"', LONG)),
+    (f'REASONING: all of it.\nHere\'s the query:\n"{LONG}"', ("all of it.", LONG)),
+    ("nothing to see", ("nothing to see", None)),
+    ("reasoning: a\n\nThis query is long\ncloud query:", ("a", None)),
+    ("", ("", None)),
+]
+
+
+@pytest.mark.parametrize(("answer", "want"), TALKS)
+def test_parsed_query(spark, answer, want):
+    assert tuple(one(spark, payload.parsed_query(F.lit(answer)))) == want
+
+
+def test_naive_payload(spark):
+    own = {"name": F.lit("Bob"), "address": F.lit("1 Main St"), "age": F.lit(32), "insurance": F.lit("Blue"), "insurance_id": F.lit("B-1")}
+    said = lambda a: one(spark, payload.naive_payload(F.lit("book a dentist."), own, F.lit("User is free on: Monday"), None if a is None else F.lit(a))).query
+    plain = "Bob at 1 Main St is looking for help — Book a dentist. User is free on: Monday. Insurance: Blue.\nPatient context: Age: 32, Insurance ID: B-1."
+    assert said(None) == said("hm") == plain
+    assert said("CLOUD QUERY: dentist for a 32 year old, blue, b-1, at 1 MAIN ST") == "dentist for a 32 year old, blue, b-1, at 1 MAIN ST"
+
+
+def test_rewrites(spark):
+    long = "please find me a dentist soon"
+    for raw, want in ((f"Cleaned message: {long}", long), ("Output: short", "Output: short"), (f"SURE, {long}", long), (f" {long} ", long), (f"Here is the text: {long}", f"the text: {long}")):
+        assert one(spark, payload.rewritten(F.lit(raw))) == want
+    with pytest.raises(ValueError):
+        payload.rewritten(None)
+
+
+def traces(spark):
+    rows = [
+        ("tool:get_calendar", "2026-01-02T10:00", "w1", '{"free_slots": ["Mon 9", "Tue 8", "Wed 7"], "busy_slots": []}'),
+        ("tool:get_location", "2026-01-03", "w2", "Rochester"),
+        ("tool:book_appointment", "2026-01-04", "w3", '{"booked_at": "Lake", "appointment_date": "May 1"}'),
+        ("backstory", "2026-01-05", "w4", '{"task": "teeth", "result": "fine"}'),
+        ("tool:search", "2026-01-06", "w5", '["a b", "c", "d"]'),
+        ("note", "2026-01-07", "w6", "plain"),
+    ]
+    d = spark.createDataFrame(rows, "source string, gathered_at string, from_workflow string, data string")
+    return d.agg(F.collect_list(F.struct(*d.columns)).alias("t"))
+
+
+def test_enrichment_and_activity(spark):
+    d = traces(spark)
+    got = d.select(payload.enriched(F.lit("help"), {"name": F.lit("Bob")}, F.col("t")).alias("e"), payload.activity(F.col("t")).alias("a")).first()
+    assert got.e == (
+        "Task: help\n\n[Source: user_profile]\n  name: Bob\n\n[Source: memory_traces  (residual context from prior workflows)]\n"
+        '  [calendar | from: "w1" | 2026-01-02]\n    availability: Mon 9, Tue 8, Wed 7\n    busy:         none\n\n'
+        '  [location | from: "w2" | 2026-01-03]\n    Rochester\n\n'
+        '  [past booking | from: "w3" | 2026-01-04]\n    booked_at: Lake  date: May 1\n\n'
+        '  [backstory | from: "w4" | 2026-01-05]\n    task: teeth\n    result: fine\n\n'
+        '  [tool:search | from: "w5" | 2026-01-06]\n    - a b\n    - c\n    - d\n\n'
+        '  [note | from: "w6" | 2026-01-07]\n    plain\n'
+    )
+    assert got.a == [
+        "- Calendar: free on Mon 9, Tue 8", '- Location recorded: Rochester (task: "w2")', '- Booked "Lake" for task: "w3"',
+        "- Prior visit (teeth): fine", '- Past data from "w5": a b', '- Past data from "w5": c',
+    ]
+    assert one(spark, payload.preferences(F.lit("INFERRED CONTEXT: x\nINFERRED CONTEXT:\n- likes quiet places"))) == "- likes quiet places"
+    assert one(spark, payload.preferences(F.lit("None of these matter at all"))) == ""
+
+
+def test_json_strings(spark):
+    text = '{"a": " two words ", "b": [1, "xy", {"c": "q\\"uote: \\u00e9", "d": null}], "e": {"key": "a:b"}, "f": "k\\\\"}'
+    assert one(spark, facts.json_strings(F.lit(text))) == ["two words", 'q"uote: é', "a:b"]
+    assert one(spark, facts.json_strings(F.lit("{nope"))) is None and one(spark, facts.json_strings(F.lit('"abc"'))) == ["abc"]
+
+
+def test_inference_scores(spark):
+    rows = [("m", f, s) for f, s in (("name", 0.9), ("name", 0.2), ("dob", 0.0), ("insurance_id", 0.5), ("address", 1.0), ("condition", None))]
+    r = facts.inference_scores(spark.createDataFrame(rows, "method string, field string, score double")).first()
+    assert (r.name, r.dob, r.insurance_id, r.address, r.age, r.condition) == (0.5, 0.0, 0.5, 1.0, None, 0.0)
+    assert (r["mean"], r.direct_ids_mean, r.profile_mean, r.task_mean) == (0.4, 0.3333, 1.0, 0.0)
+
+
+def test_agent_modes(spark):
+    d = spark.createDataFrame([(1, "book a dentist for my tooth pain on March 18")], "id int, task string")
+    own = {"name": F.lit("Bob Smith"), "phone": F.lit("585-555-1212"), "address": F.lit("12 ABC St, Rochester, NY")}
+    out = {m: governor.run_agent(d, m, profile=own, rewrite=F.lit("Output: a dentist with time in March please")).first() for m in ("naive", "redaction", "rewrite", "governor")}
+    assert out["naive"].outbound == out["naive"].payload and "Bob Smith" in out["naive"].outbound
+    assert out["rewrite"].outbound == "a dentist with time in March please" and {r.category for r in out.values()} == {"medical"}
+    assert "Bob" not in out["governor"].outbound and "March 18" not in out["redaction"].outbound
+    with pytest.raises(ValueError):
+        governor.run_agent(d, "other")
+
+
+def test_generated_answers(spark):
+    assert one(spark, generate.listed_variants(F.lit('```json\n["a", "b"]\n```'))) == ["a", "b"]
+    assert one(spark, generate.listed_variants(F.lit('1. "one"\ntext\n2) two'))) == ["one", "two"]
+    assert one(spark, generate.listed_variants(F.lit("[broken"))) == [] and one(spark, generate.listed_variants(F.lit("none"))) == []
+
+
+def test_numbered_rows(spark):
+    from veilframe.session import numbered
+
+    d = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1009).alias("k"))
+    assert [r.n for r in sorted(numbered(d, "n", "k").collect(), key=lambda r: r.k)] == list(range(1000))
+    assert numbered(d.limit(0), "n", "k").count() == 0
+
+
+def test_windows_text(spark, tmp_path):
+    from veilframe.sources import state
+
+    for raw, want in (('{"name": "“Zoë” €"}'.encode("cp1252"), "“Zoë” €"), (b'{"name": "a\x81\xe9"}', "a\x81é"), ('\ufeff{"name": "é"}'.encode(), "é")):
+        p = tmp_path / "y.json"
+        p.write_bytes(raw)
+        assert state.read_text_json(spark, str(p), "name string").first().name == want
+    assert state.providers(spark).filter("category = 'dental'").count() == 3

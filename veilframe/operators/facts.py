@@ -25,6 +25,20 @@ def trace_facts(*parts: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.concat(*parts), lambda x: F.trim(x)), lambda x: F.length(x) >= 3))
 
 
+def json_strings(text: Column) -> Column:
+    """Every string value of a JSON text, at any depth and in its order: trimmed, three characters or more; null where it
+    does not parse. Keys are the string literals that a colon follows."""
+    literal = r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?+'
+    values = F.filter(F.regexp_extract_all(text, F.lit(literal), F.lit(0)), lambda x: ~F.endswith(x, F.lit(":")))
+    found = F.transform(values, lambda x: F.trim(F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), 0)))
+    return F.when(F.try_parse_json(text).isNotNull(), F.filter(found, lambda x: F.length(x) >= 3))
+
+
+def ordered_union(*parts: Column) -> Column:
+    """Facts of several lists, each once, first seen first."""
+    return F.array_distinct(F.concat(*(F.coalesce(p, F.expr("cast(array() as array<string>)")) for p in parts)))
+
+
 def history(df: DataFrame, key: str, order: str, facts: str) -> Column:
     """Union of the facts of strictly earlier rows of a key, first seen first. Partitioned by key: users, never all rows."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -134,9 +148,39 @@ def json_object(answer: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), schema)
 
 
-def means(results: DataFrame, metrics: list[str], *keys: str) -> DataFrame:
-    """Mean of each metric over the rows that have it."""
-    return results.groupBy(*keys).agg(*(F.avg(m).alias(m) for m in metrics))
+def means(results: DataFrame, metrics: list[str], *keys: str, digits: int | None = None) -> DataFrame:
+    """Mean of each metric over the rows that have it, rounded to `digits` where given."""
+    shown = lambda x: x if digits is None else F.round(x, digits)
+    return results.groupBy(*keys).agg(*(shown(F.avg(m)).alias(m) for m in metrics))
+
+
+def characters_saved(rows: DataFrame, *keys: str, text: str = "sanitized") -> DataFrame:
+    """rows (one a key and method) with chars and saved_pct: what a method's text is shorter than the naive one, in percent."""
+    n = F.length(F.coalesce(F.col(text), F.lit("")))
+    naive = rows.filter("method = 'naive'").select(*keys, n.alias("_naive"))
+    out = rows.withColumn("chars", n).join(naive, list(keys), "left")
+    return out.withColumn("saved_pct", F.when((F.col("method") != "naive") & (F.col("_naive") > 0), (1 - F.col("chars") / F.col("_naive")) * 100)).drop("_naive")
+
+
+def ground_truth(profile: dict[str, Column], condition: Column) -> Column:
+    """map of attacked field to its true value, 'unknown' where there is none."""
+    truth = {f: condition if f == "condition" else profile.get(f, F.lit(None)) for fs in c.ATTACKED.values() for f in fs}
+    return F.create_map(*(x for f, v in truth.items() for x in (F.lit(f), F.coalesce(v.cast("string"), F.lit("unknown")))))
+
+
+def inference_scores(scores: DataFrame, digits: int = 4) -> DataFrame:
+    """method, a column for each attacked field with its mean score, their mean, and the means of the groups' fields.
+
+    scores has method, field and score (not snapped yet)."""
+    fields = [f for fs in c.ATTACKED.values() for f in fs]
+    own = scores.groupBy("method").pivot("field", fields).agg(F.round(F.avg(snapped(F.coalesce(F.col("score"), F.lit(0.0)))), digits))
+
+    def mean(names: tuple[str, ...] | list[str]) -> Column:
+        some = F.filter(F.array(*map(F.col, names)), lambda x: x.isNotNull())
+        return F.when(F.size(some) > 0, F.round(F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.size(some), digits))
+
+    groups = [mean(fs).alias(g.replace(" ", "_").lower() + "_mean") for g, fs in c.ATTACKED.items()]
+    return own.select("method", *fields, mean(fields).alias("mean"), *groups)
 
 
 def provider_means(results: DataFrame, metric: str) -> DataFrame:

@@ -12,22 +12,64 @@ from veilframe.functions.textfn import bound, cloud_ready
 from veilframe.operators.spans import filled, pattern_spans, recognized_spans, resolve
 
 
-def enriched(task: Column, profile: dict[str, Column], traces: Column) -> Column:
-    """The task with every profile field and every trace (struct source, gathered_at, from_workflow, data)."""
-    head = F.concat(F.lit("Task: "), task, F.lit("\n\n[Source: user_profile]"))
-    fields = [F.concat(F.lit(f"\n  {k}: "), v.cast("string")) for k, v in profile.items()]
+_TEXTS = "array<string>"
+
+
+def _slots(data: Column, key: str) -> Column:
+    """Strings of a list in a trace's JSON."""
+    return F.coalesce(F.from_json(F.get_json_object(data, f"$.{key}"), _TEXTS), F.expr(f"cast(array() as {_TEXTS})"))
 
-    def one(t: Column) -> Column:
-        name = F.when(t["source"] == "tool:get_location", "location").when(t["source"] == "tool:get_calendar", "calendar").when(t["source"] == "tool:book_appointment", "past booking").otherwise(t["source"])
-        return F.concat(F.lit("  ["), name, F.lit(' | from: "'), t["from_workflow"], F.lit('" | '), F.substr(t["gathered_at"], F.lit(1), F.lit(10)), F.lit("]\n    "), t["data"])
 
-    tail = F.when(F.size(traces) > 0, F.concat(F.lit("\n\n[Source: memory_traces]\n"), F.array_join(F.transform(traces, one), "\n"))).otherwise("")
-    return F.concat(head, *(F.coalesce(f, F.lit("")) for f in fields), tail)
+def _is(data: Column, mark: str) -> Column:
+    return F.startswith(F.ltrim(data), F.lit(mark))
+
+
+def enriched(task: Column, profile: dict[str, Column], traces: Column) -> Column:
+    """The task with every profile field and every trace (struct source, gathered_at, from_workflow, data as JSON or text)."""
+    said = lambda xs: F.when(F.size(xs) > 0, F.array_join(xs, ", ")).otherwise("none")
 
+    def one(t: Column) -> Column:
+        d, source = t["data"], t["source"]
+        head = lambda name: F.concat(F.lit("  ["), name, F.lit(' | from: "'), t["from_workflow"], F.lit('" | '), F.substr(t["gathered_at"], F.lit(1), F.lit(10)), F.lit("]\n"))
+        calendar = F.concat(F.lit("    availability: "), said(_slots(d, "free_slots")), F.lit("\n    busy:         "), said(_slots(d, "busy_slots")))
+        booking = F.concat(F.lit("    booked_at: "), F.coalesce(F.get_json_object(d, "$.booked_at"), F.lit("None")), F.lit("  date: "), F.coalesce(F.get_json_object(d, "$.appointment_date"), F.lit("None")))
+        items = F.array_join(F.transform(F.from_json(d, _TEXTS), lambda x: F.concat(F.lit("    - "), x)), "\n")
+        pairs = F.array_join(F.transform(F.map_entries(F.from_json(d, "map<string,string>")), lambda e: F.concat(F.lit("    "), e["key"], F.lit(": "), e["value"])), "\n")
+        other = F.when(_is(d, "["), items).when(_is(d, "{"), pairs).otherwise(F.concat(F.lit("    "), d))
+        return (
+            F.when((source == "tool:get_calendar") & _is(d, "{"), F.concat(head(F.lit("calendar")), calendar))
+            .when(source == "tool:get_location", F.concat(head(F.lit("location")), F.lit("    "), d))
+            .when((source == "tool:book_appointment") & _is(d, "{"), F.concat(head(F.lit("past booking")), booking))
+            .otherwise(F.concat(head(source), other))
+        )
+
+    fields = [F.coalesce(F.concat(F.lit(f"\n  {k}: "), v.cast("string")), F.lit("")) for k, v in profile.items()]
+    told = F.array_join(F.transform(traces, lambda t: F.concat(one(t), F.lit("\n"))), "\n")
+    tail = F.when(F.size(traces) > 0, F.concat(F.lit("[Source: memory_traces  (residual context from prior workflows)]\n"), told)).otherwise("")
+    return F.concat(F.lit("Task: "), task, F.lit("\n\n[Source: user_profile]"), *fields, F.lit("\n\n"), tail)
+
+
+def activity(traces: Column) -> Column:
+    """array<string>: one line a trace of an activity log, two for each listed item; narratives cut to 150, items to 80 characters."""
+    none = F.expr(f"cast(array() as {_TEXTS})")
 
-def summary(items: Column, width: int = 150, most: int = 2) -> Column:
-    """The first items of an activity log, each cut to a width."""
-    return F.array_join(F.transform(F.slice(items, 1, most), lambda x: F.substr(x, F.lit(1), F.lit(width))), "; ")
+    def one(t: Column) -> Column:
+        d, source, flow = t["data"], t["source"], t["from_workflow"]
+        free, result = _slots(d, "free_slots"), F.get_json_object(d, "$.result")
+        booked = F.concat(F.lit('- Booked "'), F.coalesce(F.get_json_object(d, "$.booked_at"), F.lit("None")), F.lit('" for task: "'), flow, F.lit('"'))
+        prior = F.concat(F.lit("- Prior visit ("), F.coalesce(F.get_json_object(d, "$.task"), flow), F.lit("): "), F.substr(result, F.lit(1), F.lit(150)))
+        items = F.transform(F.slice(F.from_json(d, _TEXTS), 1, 2), lambda x: F.concat(F.lit('- Past data from "'), flow, F.lit('": '), F.substr(x, F.lit(1), F.lit(80))))
+        past = (source == "backstory") | F.startswith(source, F.lit("preloaded:")) | F.startswith(source, F.lit("eval:"))
+        return (
+            F.when((source == "tool:book_appointment") & _is(d, "{"), F.array(booked))
+            .when(source == "tool:get_location", F.array(F.concat(F.lit("- Location recorded: "), d, F.lit(' (task: "'), flow, F.lit('")'))))
+            .when(source == "tool:get_calendar", F.when(F.size(free) > 0, F.array(F.concat(F.lit("- Calendar: free on "), F.array_join(F.slice(free, 1, 2), ", ")))).otherwise(none))
+            .when(past & _is(d, "{"), F.when(F.coalesce(result, F.lit("")) != "", F.array(prior)).otherwise(none))
+            .when(_is(d, "["), items)
+            .otherwise(none)
+        )
+
+    return F.flatten(F.transform(traces, one))
 
 
 def template_query(name: Column, address: Column, task: Column, availability: Column, insurance: Column) -> Column:
@@ -40,23 +82,75 @@ def template_query(name: Column, address: Column, task: Column, availability: Co
 def with_context(query: Column, age: Column, address: Column, insurance: Column, insurance_id: Column) -> Column:
     """The query with a line of the profile's fields that it does not hold yet."""
     low = F.lower(query)
-    fields = (("Age", age), ("Address", address), ("Insurance", insurance), ("Insurance ID", insurance_id))
-    lines = F.filter(F.array(*(F.when((F.trim(v) != "") & ~F.contains(low, F.lower(F.trim(v))), F.concat(F.lit(f"{k}: "), F.trim(v))) for k, v in fields)), lambda x: x.isNotNull())
+    fields = (("Age", age, F.trim(age)), ("Address", address, F.lower(F.trim(address))), ("Insurance", insurance, F.lower(F.trim(insurance))), ("Insurance ID", insurance_id, F.lower(F.trim(insurance_id))))
+    lines = F.filter(F.array(*(F.when((F.trim(v) != "") & ~F.contains(low, sought), F.concat(F.lit(f"{k}: "), F.trim(v))) for k, v, sought in fields)), lambda x: x.isNotNull())
     return F.when(F.size(lines) > 0, F.concat(F.rtrim(query), F.lit("\nPatient context: "), F.array_join(lines, ", "), F.lit("."))).otherwise(query)
 
 
+def _bare(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def _unquoted(x: Column) -> Column:
+    return _bare(F.btrim(_bare(x), F.lit('"')))
+
+
+def _before(x: Column, pattern: str) -> Column:
+    """A text up to the first match, all of it without one."""
+    return _bare(F.regexp_extract(x, rf"(?s)^(.*?)(?:{pattern}|\z)", 1))
+
+
+def parsed_query(answer: Column) -> Column:
+    """struct<reasoning, query> of a model's answer. The query is what follows the last label, up to a blank line and without
+    talk about itself; else a quoted briefing of 40 characters, else a quoted text of 100 in the reasoning; else null."""
+
+    label = c.QUERY_LABEL
+
+    def labelled(a: Column) -> Column:
+        has = F.regexp_like(a, F.lit(f"(?i){label}"))
+        after = _unquoted(F.regexp_extract(a, rf"(?is)^.*{label}(.*)$", 1))
+        query = _unquoted(F.regexp_replace(_before(after, r"\n\s*\n"), c.QUERY_TALK, ""))
+        return F.struct(a.alias("all"), F.when(has, _bare(F.regexp_extract(a, rf"(?is)^(.*){label}", 1))).otherwise(a).alias("talk"), F.when(has, query).otherwise("").alias("query"))
+
+    def reasoned(x: Column) -> Column:
+        talk = F.regexp_replace(x["talk"], r"(?is)^.*?REASONING:", "")
+        talk = F.when(F.regexp_like(x["talk"], F.lit("(?i)REASONING:")), _bare(talk)).otherwise(talk)
+        talk = _before(_bare(F.regexp_replace(talk, c.REASONING_STEP, "")), r"(?i:\bStep\s*2\b)")
+        return F.struct(x["all"].alias("all"), talk.alias("talk"), x["query"].alias("query"), F.regexp_extract(x["all"], c.QUERY_BRIEFING, 1).alias("brief"), F.regexp_extract(talk, c.QUERY_QUOTED, 1).alias("quoted"))
+
+    def settled(x: Column) -> Column:
+        none, brief, quoted = x["query"] == "", x["brief"] != "", x["quoted"] != ""
+        query = F.when(~none, x["query"]).when(brief, _bare(x["brief"])).when(quoted, _bare(x["quoted"]))
+        quote = F.position(F.concat(F.lit('"'), F.substr(_bare(x["quoted"]), F.lit(1), F.lit(30))), x["talk"])
+        head = _bare(F.regexp_replace(_bare(F.substr(x["talk"], F.lit(1), F.greatest(F.lit(0), quote - 1))), c.REASONING_INTRO, ""))
+        talk = F.when(none & brief, _before(x["talk"], c.REASONING_BRIEFING)).when(none & quoted & (head != ""), head).otherwise(x["talk"])
+        talk = _bare(F.regexp_replace(talk, c.REASONING_TAIL, ""))
+        return F.struct(F.when(talk == "", x["all"]).otherwise(talk).alias("reasoning"), query.alias("query"))
+
+    return bound(bound(bound(_bare(answer), labelled), reasoned), settled)
+
+
 def labelled_query(answer: Column) -> Column:
-    """What a model's answer has after its last 'CLOUD QUERY:', up to a blank line; else its last quoted text of 20 characters."""
-    tail = F.element_at(F.split(answer, r"(?i)CLOUD QUERY\s*:"), -1)
-    cut = F.trim(F.get(F.split(F.regexp_replace(tail, r"^\s+", ""), r"\n\s*\n"), 0))
-    quoted = F.regexp_extract_all(answer, F.lit('"([^"]{20,})"'), F.lit(1))
-    return F.when(F.regexp_like(answer, F.lit(r"(?i)CLOUD QUERY\s*:")) & (cut != ""), F.regexp_replace(cut, '^"|"$', "")).otherwise(F.when(F.size(quoted) > 0, F.element_at(quoted, -1)))
+    return parsed_query(answer)["query"]
 
 
 def preferences(answer: Column) -> Column:
-    """A model's list of preferences, or nothing where it says so."""
-    t = F.trim(answer)
-    return F.when((F.length(t) >= 10) & ~F.startswith(F.lower(t), F.lit("none")), t)
+    """A model's list of preferences after its label, '' where it says that there are none."""
+    tail = _bare(F.substring_index(answer, c.PREFERENCES_LABEL, -1))
+    return F.when((F.length(tail) >= 10) & ~F.startswith(F.lower(tail), F.lit("none")), tail).otherwise("")
+
+
+def naive_payload(task: Column, profile: dict[str, Column], availability: Column, answer: Column | None = None) -> Column:
+    """struct<reasoning, query>: the payload that a local model writes (answer), else the template; then the mandatory fields."""
+    field = lambda k: profile.get(k, F.lit(None).cast("string"))
+    text = lambda k: F.coalesce(field(k).cast("string"), F.lit(""))
+    plain = template_query(field("name"), field("address"), task, availability, field("insurance"))
+
+    def whole(x: Column) -> Column:
+        query = F.coalesce(x["query"], plain)
+        return F.struct(x["reasoning"].alias("reasoning"), with_context(query, text("age"), text("address"), text("insurance"), text("insurance_id")).alias("query"))
+
+    return bound(parsed_query(F.lit("") if answer is None else F.coalesce(answer, F.lit(""))), whole)
 
 
 def category(task: Column) -> Column:
@@ -117,7 +211,14 @@ def redacted(text: Column, recognizer: Callable[[Column], Column] | None = None,
     return cloud_ready(filled(text, bound(spans, resolve), lambda s: F.lit("")))
 
 
-def rewritten(answer: Column, marker: str = r"(?is)^.{0,200}?(?:here is|here's)[^:\n]{0,80}:\s*") -> Column:
-    """Baseline: a model's rewrite without its preamble where more than 20 characters are left."""
-    bare = F.regexp_replace(F.trim(answer), marker, "")
-    return F.when(F.length(bare) > 20, bare).otherwise(F.trim(answer))
+def rewritten(answer: Column | None) -> Column:
+    """Baseline: a model's rewrite without its opening where more than 20 characters are left."""
+    if answer is None:
+        raise ValueError("the rewrite baseline needs a model's answers")
+    raw = _bare(answer)
+    out = None
+    for m in c.REWRITE_MARKERS:
+        hit, rest = F.startswith(F.lower(raw), F.lit(m.lower())), _bare(F.substr(raw, F.lit(len(m) + 1)))
+        said = F.when(F.length(rest) > 20, rest).otherwise(raw)
+        out = F.when(hit, said) if out is None else out.when(hit, said)
+    return out.otherwise(raw)

@@ -14,7 +14,7 @@ def sanitize_with_trace(df: DataFrame, text: str = "payload", task: str = "task"
     df = spans.extract(df, text, profile, recognizer, kw.get("found"))
     df = carryover.carry_over(df, task, kw.get("verdicts"), kw.get("frame"))
     df = abstraction.abstract(df, text, kw.get("answers"), kw.get("strict_age", False))
-    return df.withColumn("binding_table", spans.binding_table(F.col("all_spans")))
+    return df.withColumn("binding_table", spans.binding_table(F.col("u_loc")))
 
 
 def sanitize(df: DataFrame, text: str = "payload", task: str = "task", **kw) -> DataFrame:
@@ -31,16 +31,40 @@ def by_method(df: DataFrame, text: str = "payload", task: str = "task", profile:
     return done.select(*df.columns, F.inline(made))
 
 
-def scored(rows: DataFrame, current: str, residual: str, text: str = "payload", request: str = "task") -> DataFrame:
-    """rows of by_method with the leakage metrics of each."""
+def scored(rows: DataFrame, current: str, residual: str, text: str = "payload", request: str = "task", profile: str | None = None, history: str | None = None, digits: int | None = None) -> DataFrame:
+    """rows of by_method with the leakage metrics of each; ratios by source where the facts of profile and history are given,
+    rounded to `digits` a row where given."""
     p = F.col("sanitized")
+    shown = lambda x: x if digits is None else F.round(x, digits)
     r = rows.withColumn("leaked_cur", facts.leaking(p, F.col(current))).withColumn("leaked_res", facts.leaking(p, F.col(residual)))
+    sources = {k: f for k, f in (("prof", profile), ("hist", history)) if f is not None}
+    for k, f in sources.items():
+        r = r.withColumn(f"leaked_{k}", facts.leaking(p, F.col(f)))
     return r.withColumns({
         "lr": (F.size("leaked_cur") > 0).cast("int"),
-        "lratio": facts.ratio(F.col("leaked_cur"), F.col(current)),
+        "lratio": shown(facts.ratio(F.col("leaked_cur"), F.col(current))),
         "rlr": (F.size("leaked_res") > 0).cast("int"),
-        "rlratio": facts.ratio(F.col("leaked_res"), F.col(residual), 0.0),
-        "ils": facts.injection(p, F.col(request), F.col(residual)),
-        "pr": facts.reduction(F.col(text), p),
+        "rlratio": shown(facts.ratio(F.col("leaked_res"), F.col(residual), 0.0)),
+        "ils": shown(facts.injection(p, F.col(request), F.col(residual))),
+        "pr": shown(facts.reduction(F.col(text), p)),
         "tokens": facts.tokens(p),
+        **{f"lratio_{k}": shown(facts.ratio(F.col(f"leaked_{k}"), F.col(f))) for k, f in sources.items()},
     })
+
+
+def run_agent(df: DataFrame, mode: str, task: str = "task", profile: dict[str, Column] | None = None, availability: Column | None = None, answer: Column | None = None, rewrite: Column | None = None) -> DataFrame:
+    """One run of the agent in a mode (a method): the naive payload of each task, what leaves the device, the service's
+    category and the form's fields that the mode discloses.
+
+    answer and rewrite: a local model's texts, where there are any."""
+    if mode not in c.METHODS:
+        raise ValueError(f"mode is one of {c.METHODS}")
+    own = profile or {}
+    made = payload.naive_payload(F.col(task), own, F.lit("") if availability is None else availability, answer)
+    df = df.withColumn("_made", made).withColumns({"reasoning": F.col("_made.reasoning"), "payload": F.col("_made.query")}).drop("_made")
+    if mode == "governor":
+        df = sanitize(df, "payload", task, profile=own).withColumnRenamed("cloud_payload", "outbound")
+    else:
+        said = {"naive": lambda: F.col("payload"), "redaction": lambda: payload.redacted(F.col("payload")), "rewrite": lambda: payload.rewritten(rewrite)}
+        df = df.withColumn("outbound", said[mode]())
+    return df.withColumn("mode", F.lit(mode)).withColumn("category", payload.category(F.col(task)))

@@ -150,7 +150,10 @@ _TYPES = tuple(dict.fromkeys((*c.KEEP_TYPES, *c.DROP_TYPES, "age", "phone", "ema
 _VALUES = ", ".join(f"('{t}')" for t in _TYPES)
 
 
-@query(f"select t as span_type, t not in ({', '.join(repr(x) for x in c.DROP_TYPES)}) as kept, case when t in ({', '.join(repr(x) for x in c.DROP_TYPES)}) then 'rule:drop' else 'rule:keep' end as reason from (values {_VALUES}) v(t)")
+_GONE = "('organization', 'facility', 'person', 'group')"
+
+
+@query(f"select t as span_type, t not in {_GONE} as kept, case when t in {_GONE} then 'rule:drop' else 'rule:keep' end as reason from (values {_VALUES}) v(t)")
 def carryover_rule(spark: SparkSession, d: str) -> DataFrame:
     one = F.array(F.struct(*(F.lit("x").alias(k) if k == "text" else F.lit(0).alias(k) if k in ("start", "end") else F.col("t").alias(k) if k == "span_type" else F.lit("").alias(k) for k in ("text", "start", "end", "span_type", "source", "bucket", "subsource"))))
     rows = spark.createDataFrame([(t,) for t in _TYPES], "t string").select(F.inline(carryover.decide(one)))
@@ -162,18 +165,21 @@ def task_frame(spark: SparkSession, d: str) -> DataFrame:
     return carryover.carry_over(spans.extract(payloads(spark, d), profile=_profile())).select("id", F.col("task_frame").alias("frame"))
 
 
-def _lexicon(words: tuple[str, ...]) -> str:
-    return f"regexp_matches(lower(t), '\\b({'|'.join(words)})\\b')" if words else "false"
-
-
-_PROPER = "regexp_matches(t, '^[A-Z][A-Za-z]*( [A-Z][A-Za-z]*)*$')"
+# Expected types, read off the lexicons by hand.
 _INFER = (
-    "case "
-    + " ".join(
-        f"when {_lexicon(c.MEDICAL_TRIP)} and {_lexicon(c.LEXICONS['travel_itinerary'])} then 'medical_trip'" if k == "medical_trip" else f"when {_lexicon(w)} then '{k}'"
-        for k, w in c.LEXICONS.items()
-    )
-    + f" when {_PROPER} and lower(t) in ({', '.join(repr(x) for x in c.MEDICAL_ABBREVIATIONS)}) then 'medical_condition' when {_PROPER} and {_lexicon(c.VENUES)} then 'prior_venue' when {_PROPER} then 'prior_provider' else 'generic_detail' end"
+    "case t when 'chronic knee pain' then 'medical_condition' "
+    "when 'my prenatal visit' then 'pregnancy_status' "
+    "when 'Grand Hotel' then 'travel_itinerary' "
+    "when 'STD' then 'medical_condition' "
+    "when 'Strong Memorial' then 'occasion_relationship' "
+    "when 'a hospital trip abroad' then 'medical_trip' "
+    "when 'vegan food' then 'dietary_preference' "
+    "when 'two checked bags' then 'baggage_constraint' "
+    "when 'nonstop route' then 'transport_constraint' "
+    "when 'quiet corner' then 'restaurant_atmosphere' "
+    "when 'under budget' then 'budget_cost' "
+    "when 'weekend appointment' then 'service_need' "
+    "when 'old blue thing' then 'generic_detail' end"
 )
 
 
@@ -213,7 +219,16 @@ def fallback_phrase(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("phrase", abstraction.fallback_phrase(F.col("kind"), F.col("level")))
 
 
-@query("select * from (values " + ", ".join(f"('{k}', {v})" for k, v in c.LEVELS.items()) + ") v(kind, level)")
+# Expected levels, written out.
+_LEVEL = """case
+ when kind in ('prior_provider', 'prior_venue', 'person') then 0
+ when kind in ('age', 'address', 'location', 'zip', 'insurance_name', 'medical_condition', 'medical_symptom', 'care_history', 'medication', 'medical_trip', 'pregnancy_status', 'mental_health_concern', 'travel_purpose', 'child_travel', 'occasion_relationship', 'generic_detail') then 1
+ when kind in ('distance_proximity', 'budget_cost', 'party_size', 'provider_preference', 'provider_requirement', 'service_need', 'accessibility_need', 'travel_itinerary', 'transport_constraint', 'baggage_constraint', 'ticket_flexibility', 'dietary_preference', 'allergy', 'restaurant_atmosphere', 'seating_preference') then 2
+ when kind in ('date', 'time') then 3
+ end"""
+
+
+@query(f"select kind, {_LEVEL} as level from (values {', '.join(f'({k!r})' for k in c.LEVELS)}) v(kind)")
 def level_lookup(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k,) for k in c.LEVELS], "kind string").withColumn("level", abstraction.level_of(F.col("kind")))
 
@@ -309,13 +324,18 @@ def ils(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", facts.injection(F.col("payload"), F.col("task"), F.col("r")).alias("ils"))
 
 
-@query("select id, (1.0::double + 1.0::double + 0.6::double) / (1.0::double + 1.0::double + 0.6::double + 0.3::double) as wls from {PAYLOADS}")
+@query("select id, (case when contains(lower(payload), k) then 1.0::double else 0.0::double end + 1.0::double + case when id % 3 = 0 then 0.0::double else 0.6::double end + case when id % 2 = 0 then 0.3::double else 0.0::double end) / (1.0::double + 1.0::double + 0.6::double + 0.3::double) as wls from (select *, 'customer#' || lpad(cast(id % 2000 as varchar), 9, '0') as k from {PAYLOADS})")
 def wls(spark: SparkSession, d: str) -> DataFrame:
-    p = payloads(spark, d).withColumn("m", F.create_map(F.lit("name"), "name", F.lit("phone"), "phone", F.lit("address"), "address", F.lit("seat_preference"), F.lit("aisle seat")))
+    seat, place = F.when(F.col("id") % 2 == 0, "quiet table").otherwise("aisle seat"), F.when(F.col("id") % 3 == 0, "9 Elm St, Nowhere").otherwise(F.col("address"))
+    who = F.concat(F.lit("Customer#"), F.lpad((F.col("id") % 2000).cast("string"), 9, "0"))
+    p = payloads(spark, d).withColumn("m", F.create_map(F.lit("name"), who, F.lit("phone"), "phone", F.lit("address"), place, F.lit("seat_preference"), seat))
     return p.select("id", facts.weighted(F.col("payload"), facts.profile_facts(F.col("m"))).alias("wls"))
 
 
-@query("select * from (values " + ", ".join(f"('{f}', {1.0 if f in c.DIRECT_FIELDS else 0.6 if f in c.TIER2_FIELDS else 0.3}::double)" for f in (*c.DIRECT_FIELDS, *c.SOFT_FIELDS)) + ") v(field, weight)")
+_FIELDS = ", ".join(f"('{f}')" for f in (*c.DIRECT_FIELDS, *c.SOFT_FIELDS))
+
+
+@query(f"select field, case when field in ('address', 'insurance') then 0.6 when field in ('doctor_gender_preference', 'dietary_preference', 'seat_preference') then 0.3 else 1.0 end::double as weight from (values {_FIELDS}) v(field)")
 def fact_tiers(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(f,) for f in (*c.DIRECT_FIELDS, *c.SOFT_FIELDS)], "field string").withColumn("weight", facts.weight(F.col("field")))
 
@@ -332,10 +352,11 @@ def history_running_union(spark: SparkSession, d: str) -> DataFrame:
     return h.select("conv_id", "turn", F.size("h").cast("bigint").alias("n_hist"))
 
 
-@query("select id, b as backstory_size, cast(least(b, 2) as int) as abs_leak, case when b = 0 then 0 else least(b, 2) / least(b, 3) end as hist_ls from (select id, unnest([0, 2, 4]) as b from {PAYLOADS})")
+@query("select id, b as backstory_size, cast(k as int) as abs_leak, case when b = 0 then 0 else k / least(b, 4) end as hist_ls from (select id, b, case when b >= 1 then 1 else 0 end + case when b >= 2 and id % 3 = 0 then 1 else 0 end + case when b >= 4 and id % 7 = 2 then 1 else 0 end as k from (select id, unnest([0, 2, 3, 5]) as b from {PAYLOADS}))")
 def hist_ablation(spark: SparkSession, d: str) -> DataFrame:
-    p = payloads(spark, d).withColumn("h", F.array("name", "address", F.lit("zebra crossing")))
-    return facts.ablation(p, (0, 2, 4), "h", "payload").select("id", "backstory_size", "abs_leak", "hist_ls")
+    some = lambda k, r, x: F.when(F.col("id") % k == r, x).otherwise("zebra crossing")
+    p = payloads(spark, d).withColumn("h", F.array(F.col("name"), some(3, 0, F.col("address")), F.lit("no such fact"), some(7, 2, F.lit("quiet table"))))
+    return facts.ablation(p, (0, 2, 3, 5), "h", "payload").select("id", "backstory_size", "abs_leak", "hist_ls")
 
 
 @query("select s_suppkey as id, lower(s_name) || '|clinic ' || s_nationkey as names from supplier")
@@ -387,7 +408,7 @@ def first_per_seed(spark: SparkSession, d: str) -> DataFrame:
 
 # ── Payloads, forms, services, generators ────────────────────────────────────
 
-_CATEGORY = "case " + " ".join("when " + " or ".join(f"contains(lower(t), '{k}')" for k in ks) + f" then '{n}'" for n, ks in c.CATEGORY_KEYWORDS.items()) + " else 'general' end"
+_CATEGORY = "case when t in ('chronic knee pain', 'a hospital trip abroad') then 'medical' when t = 'vegan food' then 'restaurant' else 'general' end"
 
 
 @query(f"select id, {_CATEGORY} as category from (select p_partkey as id, {{PHRASE}} as t from part)")
@@ -412,7 +433,10 @@ def provider_parse(spark: SparkSession, d: str) -> DataFrame:
 _FORMS = "(values " + ", ".join(f"('{k}', '{f}', {i}, {str(n).lower()})" for k, fs in c.FORM_FIELDS.items() for i, (f, n) in enumerate(fs)) + ") v(category, field, position, necessary)"
 
 
-@query(f"select category, field, position, necessary from {_FORMS} where not necessary")
+_OVER = "('medical', 'ssn', 5), ('medical', 'dob', 6), ('dental', 'ssn', 5), ('dental', 'dob', 6), ('restaurant', 'credit_card', 5), ('garage', 'driver_license', 4), ('general', 'ssn', 4)"
+
+
+@query(f"select category, field, position, false as necessary from (values {_OVER}) v(category, field, position)")
 def over_disclosed(spark: SparkSession, d: str) -> DataFrame:
     return payload.over_disclosed(payload.form_fields(spark)).select("category", "field", "position", "necessary")
 
@@ -443,10 +467,141 @@ def coverage_inject(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", generate.covered(F.lit("Please help."), F.array("t"), F.expr("cast(array() as array<string>)")).alias("v"))
 
 
-@query()
-def seed_expand(spark: SparkSession, d: str) -> DataFrame:
+def _domains(spark: SparkSession, d: str) -> DataFrame:
     pool = lambda n: F.array(*(F.concat(F.lit(f"{n} {i} of "), F.col("n_name")) for i in range(5)))
     cols = ("intent_templates", "service_type", "hard_constraints", "soft_preference", "supporting_context", "general_sensitive_info", "user_goal")
     own = F.create_map(*(x for i in range(3) for x in (F.lit(f"sort{i}"), pool(f"condition{i}"))))
-    dom = table(spark, d, "nation").select(F.col("n_name").alias("domain"), *(pool(k).alias(k) for k in cols), own.alias("domain_sensitive_info"))
-    return generate.expanded(generate.seeds(dom, 4), 5)
+    return table(spark, d, "nation").select(F.col("n_name").alias("domain"), *(pool(k).alias(k) for k in cols), own.alias("domain_sensitive_info"))
+
+
+@query()
+def seed_expand(spark: SparkSession, d: str) -> DataFrame:
+    return generate.expanded(generate.seeds(_domains(spark, d), 4), 5)
+
+
+@query("select n_name as domain, 20::bigint as tasks, 4::bigint as seeds, 0::bigint as uncovered, 20::bigint as fitting from nation")
+def seed_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What every expansion must hold: all sensitive items word for word, two of each sort."""
+    t = generate.expanded(generate.seeds(_domains(spark, d), 4), 5)
+    missing = F.size(F.filter("sensitive_info", lambda x: ~F.contains(F.lower("prompt"), F.lower(x))))
+    fits = (F.size(F.array_distinct("domain_sensitive")) == 2) & (F.size(F.array_distinct("general_sensitive")) == 2)
+    return t.groupBy("domain").agg(F.count(F.lit(1)).alias("tasks"), F.countDistinct("seed_id").alias("seeds"), F.sum(missing).alias("uncovered"), F.count_if(fits).alias("fitting"))
+
+
+# ── Model answers, traces and scores ─────────────────────────────────────────
+
+_TALK = """case s_suppkey % 5
+ when 0 then 'REASONING: needed.' || chr(10) || 'CLOUD QUERY: "find ' || s_name || '"' || chr(10) || chr(10) || 'This query includes a name.'
+ when 1 then 'CLOUD QUERY: first' || chr(10) || 'CLOUD QUERY: ' || s_name || ' Note: private'
+ when 2 then 'My briefing: "a place that knows ' || s_name || ' and has time in March"'
+ when 3 then 'REASONING: all of it.' || chr(10) || 'Here is the text:' || chr(10) || '"' || repeat('please find ' || s_name || '. ', 5) || '"'
+ else 'no query by ' || s_name end"""
+
+
+@query(f"""select s_suppkey as id,
+ case s_suppkey % 5 when 0 then 'find ' || s_name when 1 then s_name when 2 then 'a place that knows ' || s_name || ' and has time in March' when 3 then trim(repeat('please find ' || s_name || '. ', 5)) end as said,
+ case s_suppkey % 5 when 0 then 'needed.' when 1 then 'CLOUD QUERY: first' when 3 then 'all of it.' else {_TALK} end as reasoning from supplier""")
+def query_parse(spark: SparkSession, d: str) -> DataFrame:
+    a = _sql(spark, d, f"select s_suppkey as id, payload_answer as a from (select *, {_TALK} as payload_answer from {{supplier}})").withColumn("p", payload.parsed_query(F.col("a")))
+    return a.select("id", F.col("p.query").alias("said"), F.col("p.reasoning").alias("reasoning"))
+
+
+@query("select id, case when id % 4 = 0 then 'Find me a table in March under budget' when id % 4 = 1 then 'Sure, ok' when id % 4 = 2 then 'the text for ' || name else 'Please help ' || name end as v from {PAYLOADS}")
+def rewrite_baseline(spark: SparkSession, d: str) -> DataFrame:
+    said = F.expr("case id % 4 when 0 then ' Cleaned message: Find me a table in March under budget' when 1 then 'Sure, ok' when 2 then concat('HERE IS the text for ', name) else concat('Please help ', name) end")
+    return payloads(spark, d).select("id", payload.rewritten(said).alias("v"))
+
+
+_JSON = """'{{"task": "' || c_name || '", "n": ' || cast(c_custkey as string) || ', "data": [{{"place": " ' || n_name || ' ", "ok": true}}, ["ab", "' || c_mktsegment || '"]], "none": null, "colon:": "a: b"}}'"""
+
+
+@query("select c_custkey as id, c_name || '|' || n_name || '|' || c_mktsegment || '|a: b' as found from customer join nation on c_nationkey = n_nationkey")
+def json_facts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _sql(spark, d, f"select c_custkey as id, {_JSON} as j from {{customer}} join {{nation}} on c_nationkey = n_nationkey")
+    return rows.select("id", F.array_join(facts.json_strings(F.col("j")), "|").alias("found"))
+
+
+def _traces(spark: SparkSession, d: str) -> DataFrame:
+    """Traces of a customer, as JSON or text."""
+    return _sql(spark, d, """select c_custkey as id, c_name as name, c_mktsegment as flow, n_name, array(
+      named_struct('source', 'tool:get_calendar', 'gathered_at', '2026-01-02T10', 'from_workflow', c_mktsegment, 'data', '{{"free_slots": ["Mon 9", "Tue 8", "Wed 7"], "busy_slots": []}}'),
+      named_struct('source', 'tool:get_location', 'gathered_at', '2026-01-03', 'from_workflow', c_mktsegment, 'data', n_name),
+      named_struct('source', 'tool:book_appointment', 'gathered_at', '2026-01-04', 'from_workflow', c_mktsegment, 'data', '{{"booked_at": "' || c_name || '", "appointment_date": "May 1"}}'),
+      named_struct('source', 'backstory', 'gathered_at', '2026-01-05', 'from_workflow', c_mktsegment, 'data', '{{"task": "teeth", "result": "' || repeat(n_name || ' ', 40) || '"}}'),
+      named_struct('source', 'tool:search', 'gathered_at', '2026-01-06', 'from_workflow', c_mktsegment, 'data', '["' || n_name || '", "b", "c"]')) as traces
+      from {customer} join {nation} on c_nationkey = n_nationkey""")
+
+
+@query("""select c_custkey as id, '- Calendar: free on Mon 9, Tue 8' || chr(10) || '- Location recorded: ' || n_name || ' (task: "' || c_mktsegment || '")' || chr(10) || '- Booked "' || c_name || '" for task: "' || c_mktsegment || '"' || chr(10)
+ || '- Prior visit (teeth): ' || substring(repeat(n_name || ' ', 40), 1, 150) || chr(10) || '- Past data from "' || c_mktsegment || '": ' || n_name || chr(10) || '- Past data from "' || c_mktsegment || '": b' as log from customer join nation on c_nationkey = n_nationkey""")
+def activity_log(spark: SparkSession, d: str) -> DataFrame:
+    return _traces(spark, d).select("id", F.array_join(payload.activity(F.col("traces")), "\n").alias("log"))
+
+
+@query("""select c_custkey as id, 'Task: help' || chr(10) || chr(10) || '[Source: user_profile]' || chr(10) || '  name: ' || c_name || chr(10) || chr(10) || '[Source: memory_traces  (residual context from prior workflows)]' || chr(10)
+ || '  [calendar | from: "' || c_mktsegment || '" | 2026-01-02]' || chr(10) || '    availability: Mon 9, Tue 8, Wed 7' || chr(10) || '    busy:         none' || chr(10) || chr(10)
+ || '  [location | from: "' || c_mktsegment || '" | 2026-01-03]' || chr(10) || '    ' || n_name || chr(10) || chr(10)
+ || '  [past booking | from: "' || c_mktsegment || '" | 2026-01-04]' || chr(10) || '    booked_at: ' || c_name || '  date: May 1' || chr(10) || chr(10)
+ || '  [backstory | from: "' || c_mktsegment || '" | 2026-01-05]' || chr(10) || '    task: teeth' || chr(10) || '    result: ' || repeat(n_name || ' ', 40) || chr(10) || chr(10)
+ || '  [tool:search | from: "' || c_mktsegment || '" | 2026-01-06]' || chr(10) || '    - ' || n_name || chr(10) || '    - b' || chr(10) || '    - c' || chr(10) as v from customer join nation on c_nationkey = n_nationkey""")
+def enrich_prompt(spark: SparkSession, d: str) -> DataFrame:
+    return _traces(spark, d).select("id", payload.enriched(F.lit("help"), {"name": F.col("name")}, F.col("traces")).alias("v"))
+
+
+@query("select id, name || ' at ' || address || ' is looking for help — Book a dinner table. User is free on: ' || day || '. Insurance: ' || insurance || '.' || chr(10) || 'Patient context: Age: ' || age || ', Insurance ID: ' || phone || '.' as v from {PAYLOADS}")
+def naive_payload(spark: SparkSession, d: str) -> DataFrame:
+    own = {k: F.col(k) for k in ("name", "address", "age", "insurance")} | {"insurance_id": F.col("phone")}
+    return payloads(spark, d).select("id", payload.naive_payload(F.col("task"), own, F.concat(F.lit("User is free on: "), "day"))["query"].alias("v"))
+
+
+@query("""with s as (select l_returnflag as method, ['name', 'dob', 'insurance_id', 'address', 'age', 'insurance', 'condition'][l_linenumber] as field, case when l_quantity / 50 <= 0.25 then 0.0 when l_quantity / 50 < 0.75 then 0.5 else 1.0 end as s from lineitem),
+ f as (select method, field, round(avg(s), 4) as m from s group by all), p as (pivot f on field in ('name', 'dob', 'insurance_id', 'address', 'age', 'insurance', 'condition') using max(m) group by method)
+ select method, name, dob, insurance_id, address, age, insurance, condition, round((name + dob + insurance_id + address + age + insurance + condition) / 7, 4) as mean,
+ round((name + dob + insurance_id) / 3, 4) as direct_ids_mean, round((address + age + insurance) / 3, 4) as profile_mean, round(condition, 4) as task_mean from p""")
+def ris_groups(spark: SparkSession, d: str) -> DataFrame:
+    fields = F.array(*(F.lit(f) for fs in c.ATTACKED.values() for f in fs))
+    return facts.inference_scores(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("method"), F.element_at(fields, F.col("l_linenumber")).alias("field"), (F.col("l_quantity") / 50).alias("score")))
+
+
+@query("select id, method, cast(n as int) as chars, case when method = 'short' then (1 - n / length(payload)) * 100 end as saved_pct from (select id, payload, method, case when method = 'naive' then length(payload) else length(name) end as n from {PAYLOADS}, (values ('naive'), ('short')) v(method))")
+def char_reduction(spark: SparkSession, d: str) -> DataFrame:
+    both = F.array(F.struct(F.lit("naive").alias("method"), F.col("payload").alias("sanitized")), F.struct(F.lit("short").alias("method"), F.col("name").alias("sanitized")))
+    return facts.characters_saved(payloads(spark, d).select("id", F.inline(both)), "id").select("id", "method", "chars", "saved_pct")
+
+
+@query("select id, round((case when id % 2 = 0 then 1 else 0 end + 1) / 3, 4) as lratio_prof, round(case when id % 5 = 0 then 1 else 0 end / 2, 4) as lratio_hist, cast(1 as int) as rlr from {PAYLOADS}")
+def source_ratios(spark: SparkSession, d: str) -> DataFrame:
+    some = lambda k, x: F.when(F.col("id") % k == 0, x).otherwise("no such fact")
+    p = payloads(spark, d).withColumns({"sanitized": F.col("payload"), "prof": F.array(F.col("phone"), some(2, F.col("address")), F.lit("zebra crossing")), "hist": F.array(some(5, F.lit("quiet table")), F.lit("old ruin"))})
+    p = p.withColumns({"cur": F.array("day"), "res": facts.ordered_union(F.col("prof"), F.col("hist"))})
+    return governor.scored(p, "cur", "res", profile="prof", history="hist", digits=4).select("id", "lratio_prof", "lratio_hist", "rlr")
+
+
+@query("select s_suppkey as id, case s_suppkey % 3 when 0 then s_name || '|two' when 1 then 'one ' || s_name else '' end as found from supplier")
+def variants_parse(spark: SparkSession, d: str) -> DataFrame:
+    a = _sql(spark, d, """select s_suppkey as id, case s_suppkey % 3 when 0 then '```json' || chr(10) || '["' || s_name || '", "two"]' || chr(10) || '```' when 1 then 'Sure:' || chr(10) || '1. "one ' || s_name || '"' else 'no' end as a from {supplier}""")
+    return a.select("id", F.array_join(generate.listed_variants(F.col("a")), "|").alias("found"))
+
+
+@query("select 'seed_' || lpad(cast(i as varchar), 4, '0') as seed_id, count(*) as variants, 3::bigint as prompts from range(100) t(i), range(3) v(k) group by 1")
+def dataset_numbering(spark: SparkSession, d: str) -> DataFrame:
+    return generate.dataset(generate.seeds(_domains(spark, d), 4), 3).groupBy("seed_id").agg(F.count(F.lit(1)).alias("variants"), F.countDistinct("prompt").alias("prompts"))
+
+
+@query("select category, count(*) as n, max(distance_miles)::double as far, min(url) as first from (values ('medical', 1.0, 'http://localhost:8000/medical/rochester-general'), ('medical', 1.5, 'http://localhost:8000/medical/elmwood-family'), ('medical', 2.0, 'http://localhost:8000/medical/highland'), ('dental', 0.8, 'http://localhost:8000/dental/bright-smile'), ('dental', 1.2, 'http://localhost:8000/dental/rochester-dental'), ('dental', 2.5, 'http://localhost:8000/dental/lakeview'), ('restaurant', 1.1, 'http://localhost:8000/restaurant/tonys'), ('garage', 1.8, 'http://localhost:8000/garage/quicklube')) v(category, distance_miles, url) group by 1")
+def static_providers(spark: SparkSession, d: str) -> DataFrame:
+    return state.providers(spark).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.max("distance_miles").alias("far"), F.min("url").alias("first"))
+
+
+@query("select s_suppkey as id, 'KEEP|DROP|' || case when s_suppkey % 2 = 0 then 'KEEP' else 'DROP' end as said, case when s_suppkey % 2 = 0 then 'b|a' else 'none' end as told from supplier")
+def model_answers(spark: SparkSession, d: str) -> DataFrame:
+    a = _sql(spark, d, "select s_suppkey as id, '1. KEEP' || chr(10) || '2) drop' || chr(10) || '3: ' || case when s_suppkey % 2 = 0 then 'keep' else 'Drop' end as a, case when s_suppkey % 2 = 0 then '2. a' || chr(10) || '1) b' else '1. b' end as b from {supplier}")
+    kept = F.transform(carryover.parsed_decisions(F.col("a"), F.lit(3)), lambda x: F.when(x, "KEEP").otherwise("DROP"))
+    return a.select("id", F.array_join(kept, "|").alias("said"), F.coalesce(F.array_join(abstraction.numbered_answers(F.col("b"), F.lit(2)), "|"), F.lit("none")).alias("told"))
+
+
+@query("select id, level as l, case when id % 3 = 0 and level = 0 then 'failed:not age-like' when level = 1 then 'failed:empty output' else 'passed' end as v from {PAYLOADS}, (values (0), (1), (2)) v(level)")
+def validation(spark: SparkSession, d: str) -> DataFrame:
+    p = payloads(spark, d).select("id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("l"))
+    text = F.when(F.col("l") == 1, " x").when((F.col("id") % 3 == 0) & (F.col("l") == 0), "a red street").otherwise("an adult in their 70s")
+    return p.select("id", "l", abstraction.validate(F.lit("age"), text).alias("v"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -59,6 +60,19 @@ def through_parquet(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with a column of row numbers from 0 in an order. Sorted by ranges, so no task holds all rows; what the driver sees
+    is the number of rows of each partition."""
+    rows = checkpointed(df.orderBy(*order))
+    count = {r.p: r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    starts, at = [], 0
+    for p in range(max(count, default=-1) + 1):
+        starts.append(at)
+        at += count.get(p, 0)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn(name, F.array(*(F.lit(x).cast("bigint") for x in starts or [0]))[F.spark_partition_id()] + within)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan's rows over all cores where it has fewer partitions than those: small files before heavy narrow work. Larger
     tables stay as they are."""

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe import constants as c
 from veilframe import schemas
 from veilframe.operators.payload import form_fields
 
@@ -21,11 +22,18 @@ def read_json(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-
         return spark.createDataFrame([], schema)
 
 
+#: Bytes 0x80 to 0x9F of Windows-1252; five of them mean nothing there.
+_HIGH = [bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)]
+_KNOWN = [b for b in range(32) if _HIGH[b] != "\ufffd"]
+_VOID = "[" + "".join(f"\\x{{{0x80 + b:x}}}" for b in range(32) if b not in _KNOWN) + "]"
+
+
 def read_text_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document of a file of unknown encoding: UTF-8 with or without a mark, else ISO-8859-1."""
+    """One JSON document of a file of unknown encoding: UTF-8 with or without a mark, else Windows-1252, else ISO-8859-1."""
     raw = spark.read.format("binaryFile").load(path).select(F.col("content"))
-    utf = F.try_validate_utf8(F.expr("cast(content as string)"))
-    text = F.regexp_replace(F.coalesce(utf, F.decode("content", "ISO-8859-1")), "^﻿", "")
+    utf, latin = F.try_validate_utf8(F.expr("cast(content as string)")), F.decode("content", "ISO-8859-1")
+    windows = F.translate(latin, "".join(chr(0x80 + b) for b in _KNOWN), "".join(_HIGH[b] for b in _KNOWN))
+    text = F.regexp_replace(F.coalesce(utf, F.when(F.regexp_like(latin, F.lit(_VOID)), latin).otherwise(windows)), "^﻿", "")
     return raw.select(F.from_json(text, schema).alias("r")).select("r.*")
 
 
@@ -96,3 +104,22 @@ def service_form(spark: SparkSession, services: DataFrame) -> DataFrame:
 
 def by_category(services: DataFrame, category: str) -> DataFrame:
     return services.filter(F.col("category") == category)
+
+
+def providers(spark: SparkSession, base_url: str = "http://localhost:8000") -> DataFrame:
+    """category, name, address, distance_miles, url of the local lookup (its location argument never mattered)."""
+    rows = spark.createDataFrame(c.PROVIDERS, "category string, name string, address string, distance_miles double, path string")
+    return rows.select("category", "name", "address", "distance_miles", F.concat(F.lit(base_url), "path").alias("url"))
+
+
+def location() -> Column:
+    return F.lit(c.LOCATION)
+
+
+def calendar() -> Column:
+    """The stored state has no calendar, so there are no entries; contacts likewise."""
+    return F.expr("cast(array() as array<string>)")
+
+
+def booking(doctor: Column) -> Column:
+    return F.struct(F.lit("confirmed").alias("status"), doctor.alias("doctor"))
