@@ -15,7 +15,7 @@ driver (GROUPS of them at most); each run then divides its quotas among its sour
 
 Edge cases: null text has size 0; a null source is a source of its own, last in order; an empty table gives an empty
 mix; a source whose documents are all empty has target 0; repeated rows are rows of their own; equal doc_ids share a
-block; further columns stay in `mixed` (those of the plan are prefixed with _m)."""
+block; further columns stay in `mixed`, whatever their names."""
 
 from __future__ import annotations
 
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from veilframe.llm.bytesview import strings, words
+from veilframe.llm.names import unused, without
 from veilframe.session import checkpointed
 
 BLOCKS = 65_536  # blocks of all sources of more than one block together, at most
@@ -231,11 +232,13 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def mixed(docs: DataFrame, seed: int = 0, shards: int = 64) -> DataFrame:
-    """The mix itself: docs' columns with the taken texts, a row for each draw, and _m_shard and _m_order (a seeded shuffle
-    within the shard). Each partition is a shard, its rows in that order. A text that is cut gets its new n_chars where docs has that column."""
+def mixed(docs: DataFrame, seed: int = 0, shards: int = 64, shard: str = "_m_shard", order: str = "_m_order") -> DataFrame:
+    """The mix itself: docs' columns with the taken texts, a row for each draw, and columns `shard` and `order` (a seeded shuffle
+    within the shard; they take the place of columns of their names). Each partition is a shard, its rows in that order. A text that is cut gets its new n_chars where docs has that column."""
     sizes = checkpointed(sized(docs.select("doc_id", "source", "text")))
-    own = {k: f"_m_own_{k}" for k in docs.columns if k in ("size", "source_size", "target")}  # columns of those names are kept aside
+    docs = without(docs, shard, order)
+    clash = [k for k in docs.columns if k.lower() in ("size", "source_size", "target") or k.lower().startswith("_m_")]
+    own = dict(zip(clash, unused(docs, *(f"kept{i}" for i in range(len(clash)))), strict=True))  # columns of those names are kept aside
     rows = drawn(sized(docs.withColumnsRenamed(own), drop_text=False), seed, shards, sizes)
     full = rows.withColumn("_m_pass", F.explode(F.sequence(F.lit(0), F.size("_m_shards") - 1))).filter("size(_m_shards) > 0")
     partial = (F.col("_m_pass") >= F.col("_m_whole")) & (F.col("_m_extra") < F.col("size"))
@@ -245,7 +248,7 @@ def mixed(docs: DataFrame, seed: int = 0, shards: int = 64) -> DataFrame:
     out = full.filter(~partial).unionByName(cut)
     out = out.select(
         *(F.col(own[k]).alias(k) if k in own else F.col(k) for k in docs.columns),
-        F.col("_m_shards")[F.col("_m_pass")].alias("_m_shard"),
-        _salted(seed + 2, F.col("doc_id"), F.col("_m_pass")).alias("_m_order"),
+        F.col("_m_shards")[F.col("_m_pass")].alias(shard),
+        _salted(seed + 2, F.col("doc_id"), F.col("_m_pass")).alias(order),
     )
-    return out.repartitionById(shards, F.col("_m_shard")).sortWithinPartitions("_m_order")
+    return out.repartitionById(shards, F.col(shard)).sortWithinPartitions(order)

@@ -6,7 +6,8 @@ that are composed from format templates (a few hundred short strings, fixed seed
 expression, so scoring a candidate stays in the JVM. Spans of the base formats always stay; the trees decide on the rest.
 
 Edge cases: null text counts as empty and has no span; whole texts of any length are searched (texts without a digit and
-an at sign skip the generators, which all need one of them); repeated rows have equal results; further columns stay."""
+an at sign skip the generators, which all need one of them); repeated rows have equal results; an empty table gives none;
+further columns stay, whatever their names (a result column takes the place of one of its name)."""
 
 from __future__ import annotations
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.textfn import find_all
+from veilframe.llm.names import unpacked
 from veilframe.llm.spanlists import listed, of_kind
 
 # Base formats. Possessive quantifiers and the look-behind change nothing in what matches; they keep long runs linear.
@@ -94,8 +96,11 @@ def _example(rng: random.Random) -> tuple[list[float], int]:
     yes = rng.random() < 0.5
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     if kind == "email":
-        s = rng.choice(["{}(at){}.com", "{} [at] {} [dot] org", "{} (at) {} (dot) net"]).format("ann" + num(rng.randint(0, 3)), "mail" + num(rng.randint(0, 1)))
-        yes = True
+        who, host = "ann" + num(rng.randint(0, 3)), "mail" + num(rng.randint(0, 1))
+        if yes:
+            s = rng.choice(["{}(at){}.com", "{} [at] {} [dot] org", "{} (at) {} (dot) net", "{}[at]{}.org"]).format(who, host)
+        else:  # brackets of prose and code
+            s = rng.choice(["look(at)page.two", "x [at] y[i]", "a(at)b(c", "meet (at) noon.then", "{}[AT] {}(x"]).format(num(1), num(2))
     elif kind == "ip":
         s = ":".join(rng.choice(["2001", "0db8", "a1f", "0", "ff"]) for _ in range(8)) if yes else ":".join(num(2) for _ in range(8))
     elif kind == "card":
@@ -185,9 +190,10 @@ def margin(of: str) -> str:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """docs with _base (base spans) and _spans (all), sorted arrays of start, rank, end, kind; n_<kind> of the base kinds."""
+    """docs with base (base spans) and spans (all), sorted arrays of start, rank, end, kind; n_<kind> of the base kinds."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.withColumn("_text", t).withColumn("_some", F.regexp_like("_text", F.lit(r"[0-9@]|[\[(](?:at|AT)[\])]")))
+    results = [*(f"n_{k}" for k in KINDS), "base", "spans"]
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), t.alias("_text")).withColumn("_some", F.regexp_like("_text", F.lit(r"[0-9@]|[\[(](?:at|AT)[\])]")))
     none = F.expr("cast(array() as array<struct<start:int,end:int,text:string,group:string>>)")
     gate = lambda c: F.when(F.col("_some"), c).otherwise(none)
     number = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
@@ -213,10 +219,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     added = F.concat(*(of_kind(F.col(f"_m_{k}"), k, ALL.index(k)) for k in MORE))
     d = d.withColumns({f"n_{k}": F.size(f"_b_{k}").cast("bigint") for k in KINDS} | {"_base": kept, "_added": added})
     free = F.filter("_added", lambda a: ~F.exists("_base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return d.withColumn("_spans", F.array_sort(F.concat("_base", F.array_distinct(free)))).select(*docs.columns, *(f"n_{k}" for k in KINDS), "_base", "_spans")
+    return d.withColumn("_spans", F.array_sort(F.concat("_base", F.array_distinct(free)))).select(*unpacked(docs.columns, *results), *(f"n_{k}" for k in KINDS), F.col("_base").alias("base"), F.col("_spans").alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     s = scanned(docs.select("doc_id", "text"))
-    return s.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+    return s.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -4,7 +4,8 @@ go; a text that loses too much of itself is rejected.
 Besides, some counts over the whole text decide `base_failed`. All of it is column expressions on one row: no shuffle.
 
 Edge cases: null text counts as empty: no words, base_failed, not kept; a text of any length is judged whole; repeated rows
-are judged alike; further columns stay."""
+are judged alike; an empty table gives none; further columns stay, whatever their names (a result column takes the place of
+one of its name)."""
 
 from __future__ import annotations
 
@@ -13,11 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.names import unpacked
+
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 8
 LOST = 0.5  # share of the words' characters that may go with failing lines
 LEAST_WORDS = 20
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "lost")
 END = tuple(".!?…:;\"'»”’)")
 # Fixed phrases of lines that belong to a site or a licence, not to a text.
 BOILERPLATE = (
@@ -77,7 +81,7 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean_text (without failing
     lines) and lost (share of characters that went)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    d = docs.withColumn("_t", t).withColumn("_w", F.array_remove(F.split("_t", GAP), ""))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), t.alias("_t")).withColumn("_w", F.array_remove(F.split("_t", GAP), ""))
     d = d.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     n = F.size("_h")
     windows = F.when(
@@ -93,4 +97,5 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     left = F.length(F.regexp_replace("clean_text", GAP, ""))
     d = d.withColumn("lost", F.when(F.col("word_chars") > 0, 1 - left / F.col("word_chars")).otherwise(0.0))
     d = d.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= LOST)).drop("_t", "_w", "_h", "_x", "_l", "_r", "_k")
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= LOST))
+    return d.select(*unpacked(docs.columns, *RESULTS), *RESULTS)

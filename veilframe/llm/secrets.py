@@ -7,7 +7,8 @@ intersections of such lists; only they are verified with its expression. Rules w
 All of it is DataFrame operations.
 
 Edge cases: null text counts as empty and has no span; texts of any length are scanned whole; repeated rows have one
-index entry and each its result; null doc_ids are kept; further columns stay."""
+index entry and each its result; null doc_ids are kept; an empty table gives none; further columns stay, whatever their names
+(a result column takes the place of one of its name)."""
 
 from __future__ import annotations
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.textfn import find_all
+from veilframe.llm.names import unpacked
 from veilframe.llm.spanlists import EMPTY, listed, of_kind
 
 BLOCK_DOCS = 2_048  # rows of an index block, about
@@ -183,12 +185,21 @@ def candidates(docs: DataFrame, rules: dict[str, Terms]) -> DataFrame:
 
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with _n_<kind> of the base kinds, and _base and _spans (sorted arrays of start, rank, end, kind)."""
+    """docs with n_<kind> of the base kinds, and base and spans (sorted arrays of start, rank, end, kind)."""
+    return _scanned(docs, rules).select(*unpacked(docs.columns, *_results()), *_results())
+
+
+def _results() -> list[str]:
+    return [*(f"n_{r.kind}" for r in BASE), "base", "spans"]
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The same with docs' columns in _doc, and _text."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q != TRUE}
-    own = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_row", _row_key())
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_doc"), F.col("text").alias("_raw"), _row_key().alias("_row"))
     cand = candidates(docs.select("doc_id", "text"), indexed)
-    rows = own.join(cand.withColumnRenamed("_key", "_row").hint("shuffle_hash"), "_row", "left")
+    rows = own.join(cand.withColumnRenamed("_key", "_row").hint("shuffle_hash"), "_row", "left").withColumn("_text", F.coalesce(F.col("_raw").cast("string"), F.lit("")))
     by = {}
     for i, r in enumerate(rules):
         found = find_all(F.col("_text"), r.pattern, r.group)
@@ -198,27 +209,26 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if r.kind in indexed:
             spans = F.when(F.array_contains(F.col("_rules"), r.kind), spans).otherwise(F.expr(EMPTY))
         by[r.kind] = spans
-    rows = rows.select(*docs.columns, "_text", *(c.alias(f"_s_{k}") for k, c in by.items()))
+    rows = rows.select("_doc", "_raw", "_text", *(c.alias(f"_s_{k}") for k, c in by.items()))
     base = [f"_s_{r.kind}" for r in rules if r in BASE]
-    out = rows.select(
-        *docs.columns,
+    return rows.select(
+        F.col("_doc").withField("text", F.col("_raw")).alias("_doc"),
         "_text",
-        *(F.size(f"_s_{r.kind}").cast("bigint").alias(f"_n_{r.kind}") for r in rules if r in BASE),
-        F.array_sort(F.concat(*base)).alias("_base"),
-        F.array_sort(F.concat(*(f"_s_{k}" for k in by))).alias("_spans"),
+        *(F.size(f"_s_{r.kind}").cast("bigint").alias(f"n_{r.kind}") for r in rules if r in BASE),
+        F.array_sort(F.concat(*base)).alias("base"),
+        F.array_sort(F.concat(*(f"_s_{k}" for k in by))).alias("spans"),
     )
-    return out
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     s = scanned(docs.select("doc_id", "text"))
-    return s.select("doc_id", *(F.col(f"_n_{r.kind}").alias(f"n_{r.kind}") for r in BASE), F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
+    return s.select("doc_id", *(f"n_{r.kind}" for r in BASE), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs, each stretch of overlapping or touching spans in text replaced by the mark; n_chars follows where it is a column."""
-    s = scanned(docs)
+    s = _scanned(docs)
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -226,10 +236,10 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         more = F.when((x["start"] <= acc["at"]) & (acc["at"] > 0), F.lit("")).otherwise(F.concat(gap, F.lit(mark)))
         return F.struct(F.concat(acc["out"], more).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
 
-    end = F.aggregate("_spans", zero, step)
+    end = F.aggregate("spans", zero, step)
     new = F.transform(F.array(end), lambda e: F.concat(e["out"], F.substr(F.col("_text"), e["at"] + 1)))[0]
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(new)
+    text = F.when(F.size("spans") == 0, F.col("_doc.text")).otherwise(new)
     cols = {"text": text}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
-    return s.select(*(cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns))
+        cols["n_chars"] = F.when(F.size("spans") == 0, F.col("_doc.n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return s.select(*(cols[c].alias(c) if c in cols else F.col("_doc").getField(c).alias(c) for c in docs.columns))
