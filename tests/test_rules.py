@@ -278,3 +278,43 @@ def test_windows_text(spark, tmp_path):
         p.write_bytes(raw)
         assert state.read_text_json(spark, str(p), "name string").first().name == want
     assert state.providers(spark).filter("category = 'dental'").count() == 3
+
+
+def _talk(spark):
+    return spark.sql("select 1 as id, 'find help' as task, 'I want vegan food. Please reserve seats for 4 people by March 5.' as payload union all select 2, 'find help', null union all select 3, 'find help', ''")
+
+
+def test_model_asks_for_each_item_where_lines_cannot_be_read(spark):
+    factory = lambda: lambda ps: ["KEEP" if "KEEP or DROP" in p else "no lines" if "numbered" in p else "a few.\nmore" for p in ps]
+    rows = {r.id: r for r in governor.sanitize_with_model(_talk(spark), factory).collect()}
+    said = {a.span.span_type: (a.abstracted_text, a.method) for a in rows[1].abstractions}
+    assert said["party_size"] == ("a few", "llm") and {d.reason for d in rows[1].decisions} == {"rule:fallback:keep"}
+    assert not rows[3].decisions and not rows[3].abstractions
+
+
+def test_failing_model_leaves_the_rules(spark):
+    def factory():
+        def ask(ps):
+            raise OSError("gone")
+
+        return ask
+
+    asked = {r.id: r.cloud_payload for r in governor.sanitize_with_model(_talk(spark), factory).collect()}
+    assert asked == {r.id: r.cloud_payload for r in governor.sanitize_with_trace(_talk(spark)).collect()}
+
+
+def test_routed_by_provider(spark):
+    from veilframe.operators import models
+
+    d = spark.createDataFrame([(1, "a", "up"), (2, "b", "none"), (3, None, "up"), (4, "d", None)], "id int, p string, by string")
+    out = {r.id: r.a for r in models.routed(d, "p", "by", "a", {"up": lambda: lambda xs: [x.upper() for x in xs]}).collect()}
+    assert out[1].text == "A" and out[2].text == "[model error: unknown provider]" and out[3].text is None and not out[4].ok
+    assert models.routed(d.limit(0), "p", "by", "a", {}).count() == 0
+
+
+def test_default_recognizer(spark):
+    from veilframe.operators.recognizers import default_recognizer
+
+    got = one(spark, default_recognizer(F.lit("See Mr. Lee Wong at Oak Hill Clinic next Monday in Paris, TX. The Italian place is 20 euros.")))
+    assert {(x.label, x.text) for x in got if not x.is_chunk} == {("PERSON", "Mr. Lee Wong"), ("ORG", "Oak Hill Clinic"), ("DATE", "next Monday"), ("GPE", "Paris, TX"), ("NORP", "Italian"), ("MONEY", "20 euros")}
+    assert one(spark, default_recognizer(F.lit(""))) == [] and one(spark, default_recognizer(F.lit(None).cast("string"))) is None

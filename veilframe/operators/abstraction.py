@@ -167,18 +167,44 @@ def islands(typed: Column, payload: Column) -> Column:
     return F.aggregate(typed, F.expr(f"cast(array() as array<struct<span:{SPAN},kind:string,anchor:int>>)"), lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(x["span"].alias("span"), x["kind"].alias("kind"), x["span"]["start"].alias("anchor")))).otherwise(step(a, x)))
 
 
+def typed_spans(kept: Column) -> Column:
+    return F.transform(kept, lambda s: F.struct(s.alias("span"), infer_type(s["span_type"], s["text"]).alias("kind")))
+
+
+def by_rule(kind: Column, text: Column, level: Column) -> Column:
+    """The phrase of a span that stands alone, null where only a model or the fallback has one."""
+    return F.when(level == 3, text).otherwise(rule_phrase(kind, text, level))
+
+
+def unsettled(df: DataFrame, payload: str = "payload") -> Column:
+    """array<struct<start, text, goal>> of df (after carry_over): groups that neither a level nor a rule settles, with the
+    texts of their spans and the level's phrase."""
+
+    def items(groups: Column) -> Column:
+        def one(g: Column) -> Column:
+            own = F.filter(groups, lambda o: o["anchor"] == g["anchor"])
+            level = level_of(g["kind"])
+            rule = F.when(F.size(own) == 1, by_rule(g["kind"], g["span"]["text"], level))
+            text = F.array_join(F.transform(own, lambda o: o["span"]["text"]), ", ")
+            return F.struct(g["span"]["start"].alias("start"), text.alias("text"), fallback_phrase(g["kind"], level).alias("goal"), rule.isNull().alias("open"))
+
+        anchors = F.filter(groups, lambda g: g["anchor"] == g["span"]["start"])
+        return F.transform(F.filter(F.transform(anchors, one), lambda x: x["open"]), lambda x: F.struct(x["start"].alias("start"), x["text"].alias("text"), x["goal"].alias("goal")))
+
+    return bound(islands(typed_spans(F.col("kept")), F.col(payload)), items)
+
+
 def abstract(df: DataFrame, payload: str = "payload", answers: Column | None = None, strict_age: bool = False) -> DataFrame:
     """df (after carry_over) with abstractions, internal_payload and cloud_payload.
 
     answers: a model's phrases, map of span start to text, used where neither the level nor a rule settles a span."""
-    typed = F.transform("kept", lambda s: F.struct(s.alias("span"), infer_type(s["span_type"], s["text"]).alias("kind")))
-    df = df.withColumn("_typed", typed).withColumn("_groups", islands(F.col("_typed"), F.col(payload)))
+    df = df.withColumn("_typed", typed_spans(F.col("kept"))).withColumn("_groups", islands(F.col("_typed"), F.col(payload)))
 
     def settled(g: Column) -> Column:
         s, kind = g["span"], g["kind"]
         level = level_of(kind)
         alone = F.size(F.filter("_groups", lambda o: o["anchor"] == g["anchor"])) == 1
-        rule = F.when(alone, F.when(level == 3, s["text"]).otherwise(rule_phrase(kind, s["text"], level)))
+        rule = F.when(alone, by_rule(kind, s["text"], level))
         said = tidy_answer(answers[s["start"]]) if answers is not None else F.lit(None).cast("string")
         return F.struct(g.alias("g"), level.alias("level"), (alone & (level == 3)).alias("verbatim"), rule.alias("rule"), said.alias("said"), fallback_phrase(kind, level).alias("fallback"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import constants as c
-from veilframe.operators import abstraction, carryover, facts, payload, spans
+from veilframe.operators import abstraction, carryover, facts, models, payload, spans
 
 
 def sanitize_with_trace(df: DataFrame, text: str = "payload", task: str = "task", profile: dict[str, Column] | None = None, recognizer: spans.Recognizer | None = None, **kw) -> DataFrame:
@@ -68,3 +68,36 @@ def run_agent(df: DataFrame, mode: str, task: str = "task", profile: dict[str, C
         said = {"naive": lambda: F.col("payload"), "redaction": lambda: payload.redacted(F.col("payload")), "rewrite": lambda: payload.rewritten(rewrite)}
         df = df.withColumn("outbound", said[mode]())
     return df.withColumn("mode", F.lit(mode)).withColumn("category", payload.category(F.col(task)))
+
+
+def sanitize_with_model(df: DataFrame, factory: models.Factory, text: str = "payload", task: str = "task", profile: dict[str, Column] | None = None, recognizer: spans.Recognizer | None = None, strict_age: bool = False) -> DataFrame:
+    """sanitize_with_trace with a local model that says what to keep and words what no rule can. Where its answers can't be
+    read, the rules decide and the fallback phrases stand in."""
+    df = models.decided(spans.extract(df, text, profile, recognizer), task, "_verdicts", factory)
+    df = carryover.carry_over(df, task, F.col("_verdicts"))
+    df = models.phrased(df, text, "_phrases", factory)
+    df = abstraction.abstract(df, text, F.col("_phrases"), strict_age).drop("_verdicts", "_phrases")
+    return df.withColumn("binding_table", spans.binding_table(F.col("u_loc")))
+
+
+def compared(rows: DataFrame, factories: dict[str, models.Factory], text: str = "sanitized") -> DataFrame:
+    """rows of by_method times the service's models: what each answers, and the tokens of its question and answer."""
+    some = rows.withColumn("provider", F.explode(F.array(*map(F.lit, factories))))
+    some = models.routed(some, text, "provider", "_answer", factories)
+    return some.select(*rows.columns, "provider", F.col("_answer.text").alias("answer"), F.col("_answer.in_tokens").alias("in_tokens"), F.col("_answer.out_tokens").alias("out_tokens"))
+
+
+def inference_attack(rows: DataFrame, truth: dict[str, Column], attacker: models.Factory, judge: models.Factory, text: str = "sanitized") -> DataFrame:
+    """A row for each of rows and attacked field: what an attacker guesses from the text and a judge's score of it (0 where
+    either gave no readable answer)."""
+    fields = tuple(truth)
+    true = F.create_map(*(x for f, v in truth.items() for x in (F.lit(f), F.coalesce(v.cast("string"), F.lit("unknown")))))
+    df = models.answered(rows.withColumn("_ask", models.inference_prompt(F.col(text), fields)), "_ask", "_guess", attacker)
+    none = F.expr("cast(map() as map<string,string>)")
+    df = df.withColumn("_guess", F.when(F.col("_guess.ok"), facts.json_object(F.col("_guess.text"), "map<string,string>"))).withColumn("_guess", F.coalesce("_guess", none))
+    df = df.withColumn("_ask", models.judge_prompt(F.to_json(true), F.to_json(F.col("_guess"))))
+    df = models.answered(df, "_ask", "_score", judge)
+    df = df.withColumn("_score", F.when(F.col("_score.ok"), facts.json_object(F.col("_score.text"), "map<string,double>")))
+    out = df.withColumn("field", F.explode(F.array(*map(F.lit, fields))))
+    pick = lambda m: F.try_element_at(m, F.col("field"))
+    return out.select(*rows.columns, "field", F.coalesce(pick(F.col("_guess")), F.lit("unknown")).alias("guess"), F.coalesce(pick(F.col("_score")), F.lit(0.0)).alias("score"))

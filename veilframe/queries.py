@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilframe import constants as c
 from veilframe.functions import textfn
-from veilframe.operators import abstraction, carryover, facts, generate, payload, spans
+from veilframe.operators import abstraction, carryover, facts, generate, payload, recognizers, spans
 from veilframe.plans import governor
 from veilframe.session import spread, table
 from veilframe.sources import state
@@ -605,3 +605,78 @@ def validation(spark: SparkSession, d: str) -> DataFrame:
     p = payloads(spark, d).select("id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("l"))
     text = F.when(F.col("l") == 1, " x").when((F.col("id") % 3 == 0) & (F.col("l") == 0), "a red street").otherwise("an adult in their 70s")
     return p.select("id", "l", abstraction.validate(F.lit("age"), text).alias("v"))
+
+
+# ── Recognition and models ───────────────────────────────────────────────────
+
+_ENTITIES = """p_partkey as id, 'Please ask Dr. Adams near Boston about chronic knee pain at Mercy Hospital ' || case when p_partkey % 2 = 0 then 'tomorrow' else 'this evening' end || ' for ' || cast(p_partkey % 90 + 10 as string) || ' dollars.' as t"""
+_FOUND_IN = "(values ('Dr. Adams', 'person'), ('Boston', 'location'), ('chronic knee pain', 'noun_phrase'), ('Mercy Hospital', 'facility'), ('day', ''), ('money', 'money')) v(k, kind)"
+
+
+@query(f"""select id, case k when 'day' then case when id % 2 = 0 then 'date' else 'time' end else kind end as span_type, w as text, cast(strpos(t, w) - 1 as int) as start_at
+ from (select id, t, k, kind, case k when 'day' then case when id % 2 = 0 then 'tomorrow' else 'this evening' end when 'money' then (id % 90 + 10) || ' dollars' else k end as w from (select {_ENTITIES} from part), {_FOUND_IN})""")
+def recognized(spark: SparkSession, d: str) -> DataFrame:
+    t = _sql(spark, d, f"select {_ENTITIES} from {{part}}")
+    s = t.select("id", F.inline(spans.recognized_spans(F.col("t"), recognizers.default_recognizer)))
+    return s.select("id", "span_type", "text", F.col("start").alias("start_at"))
+
+
+def _keeper():
+    """A stand-in for a local model: keeps what is no sum of money, words items in numbered lines."""
+
+    def one(p: str) -> str:
+        items = [x for x in p.split("\n") if x[:1].isdigit()]
+        if "KEEP or DROP" in p:
+            return "\n".join(f"{i}. {'DROP' if '(money)' in x else 'KEEP'}" for i, x in enumerate(items, 1))
+        return "\n".join(f"{i}. some {x.split(' by: ')[1]}" for i, x in enumerate(items, 1)) if items else "a thing"
+
+    return lambda ps: [one(p) for p in ps]
+
+
+_MODEL = "s_suppkey as id, 'book a table' as task, 'I am 30 years old and want vegan food on March ' || cast(s_suppkey % 28 + 1 as string) || ' under $' || cast(s_suppkey % 90 + 100 as string) || '. Please reserve seats for 4 people.' as payload"
+
+
+@query("select s_suppkey as id, 'KEEP:age:rule|KEEP:date:verbatim|DROP:money|KEEP:party_size:llm' as trace from supplier")
+def model_governor(spark: SparkSession, d: str) -> DataFrame:
+    s = governor.sanitize_with_model(_sql(spark, d, f"select {_MODEL} from {{supplier}}"), _keeper)
+    methods = F.map_from_arrays(F.transform("abstractions", lambda a: a["span"]["start"]), F.transform("abstractions", lambda a: a["method"]))
+    said = s.withColumn("_m", methods).select("id", F.transform("decisions", lambda x: F.when(x["kept"], F.concat(F.lit("KEEP:"), x["span"]["span_type"], F.lit(":"), F.col("_m")[x["span"]["start"]])).otherwise(F.concat(F.lit("DROP:"), x["span"]["span_type"]))).alias("t"))
+    return said.select("id", F.array_join("t", "|").alias("trace"))
+
+
+def _echo(n: int):
+    return lambda: lambda ps: [" ".join(p.split()[:n]) for p in ps]
+
+
+@query("select method, provider, count(*) as n, avg(words)::double as in_tokens, avg(least(words, k))::double as out_tokens from (select method, provider, k, case method when 'naive' then len(string_split(payload, ' ')) else 2 end as words from {PAYLOADS}, (values ('naive'), ('short')) m(method), (values ('big', 9), ('small', 1)) p(provider, k)) group by all")
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    both = F.array(F.struct(F.lit("naive").alias("method"), F.col("payload").alias("sanitized")), F.struct(F.lit("short").alias("method"), F.lit("two words").alias("sanitized")))
+    rows = governor.compared(payloads(spark, d).select("id", F.inline(both)), {"big": _echo(9), "small": _echo(1)})
+    return rows.groupBy("method", "provider").agg(F.count(F.lit(1)).alias("n"), F.avg("in_tokens").alias("in_tokens"), F.avg("out_tokens").alias("out_tokens"))
+
+
+def _attacker():
+    """Guesses a name where the text says one; says nothing readable otherwise."""
+
+    def one(p: str) -> str:
+        name = p.rsplit("I am ", 1)
+        return 'Sure: {"name": "' + name[1].rstrip(".") + '"}' if len(name) == 2 else "can't tell"
+
+    return lambda ps: [one(p) for p in ps]
+
+
+def _judge():
+    """1 for an equal name, else 0; half a point for each age, whatever the guess."""
+    import json
+
+    def one(p: str) -> str:
+        truth, guess = (json.loads(line.split(": ", 1)[1]) for line in p.split("\n")[1:3])
+        return json.dumps({"name": float(truth["name"] == guess.get("name")), "age": 0.4})
+
+    return lambda ps: [one(p) for p in ps]
+
+
+@query("select s_suppkey as id, field, case when field = 'name' and s_suppkey % 2 = 0 then s_name else 'unknown' end as guess, case when field = 'age' then 0.4 when s_suppkey % 2 = 0 then 1.0 else 0.0 end::double as score from supplier, (values ('name'), ('age')) v(field)")
+def inference_attack(spark: SparkSession, d: str) -> DataFrame:
+    rows = _sql(spark, d, "select s_suppkey as id, s_name as name, case when s_suppkey % 2 = 0 then 'I am ' || s_name || '.' else 'Book a table.' end as sanitized from {supplier}")
+    return governor.inference_attack(rows, {"name": F.col("name"), "age": F.lit(30)}, _attacker, _judge).select("id", "field", "guess", "score")
