@@ -97,17 +97,20 @@ _PROFILE = " union all ".join(
     _located("", kind, i, bucket, f"string_split(payload, {col})", f"list_transform(range(1, len(string_split(payload, {col}))), lambda x: {col})")
     for i, (col, kind, bucket) in enumerate((("name", "name", "U_loc"), ("phone", "phone", "U_loc"), ("email", "email", "U_loc"), ("address", "address", "U_med"), ("insurance", "insurance_name", "U_med")))
 )
-_FOUND = f"select *, s + length(text) as e from ({_PROFILE} union all {_STRUCTURED})"
-_ACCEPTED = f"""with recursive found as materialized ({_FOUND}), ranked as materialized (select *, row_number() over (partition by id order by
+def _accepted(found: str) -> str:
+    return f"""with recursive found as materialized (select *, s + length(text) as e from ({found})), ranked as materialized (select *, row_number() over (partition by id order by
  case bucket when 'U_loc' then 0 else 1 end, s - e, s, k, i) as r from found),
- walk as (select id, r, [{{{{'s': s, 'e': e}}}}] as acc, true as ok, s, e, span_type, bucket, text, payload from ranked where r = 1
- union all select n.id, n.r, case when len(list_filter(w.acc, lambda a: n.s < a.e and n.e > a.s)) = 0 then list_append(w.acc, {{{{'s': n.s, 'e': n.e}}}}) else w.acc end,
+ walk as (select id, r, [{{'s': s, 'e': e}}] as acc, true as ok, s, e, span_type, bucket, text, payload from ranked where r = 1
+ union all select n.id, n.r, case when len(list_filter(w.acc, lambda a: n.s < a.e and n.e > a.s)) = 0 then list_append(w.acc, {{'s': n.s, 'e': n.e}}) else w.acc end,
  len(list_filter(w.acc, lambda a: n.s < a.e and n.e > a.s)) = 0, n.s, n.e, n.span_type, n.bucket, n.text, n.payload
- from walk w join ranked n on n.id = w.id and n.r = w.r + 1), accepted as (select * from walk where ok)""".replace("{{", "{").replace("}}", "}")
+ from walk w join ranked n on n.id = w.id and n.r = w.r + 1), accepted as (select * from walk where ok)"""
 
 
-def _view(slot: str, only: str = "true") -> str:
-    return f"""{_ACCEPTED} select id, string_agg(substring(payload, cast(p + 1 as int), cast(s - p as int)) || {slot}, '' order by s) || substring(any_value(payload), cast(max(e) + 1 as int)) as v
+_ACCEPTED = _accepted(f"{_PROFILE} union all {_STRUCTURED}")
+
+
+def _view(slot: str, only: str = "true", accepted: str = _ACCEPTED) -> str:
+    return f"""{accepted} select id, string_agg(substring(payload, cast(p + 1 as int), cast(s - p as int)) || {slot}, '' order by s) || substring(any_value(payload), cast(max(e) + 1 as int)) as v
  from (select *, lag(e, 1, 0) over (partition by id order by s) as p from accepted where {only}) group by id"""
 
 
@@ -277,21 +280,43 @@ def cloud_prepare(spark: SparkSession, d: str) -> DataFrame:
     return payloads(spark, d).select(F.col("id").alias("doc_id"), textfn.cloud_ready(F.col("payload")).alias("v"))
 
 
-@query()
+_REDACTED = f"select doc_id as id, {_sentences(c.CLOUD_STOP, False)} as v from ({_steps(c.CLOUD_RULES, '(' + _view(chr(39) * 2, accepted=_accepted(_STRUCTURED)).replace('select id, string_agg', 'select id as doc_id, string_agg') + ')', 'v', 3, True)})"
+
+# What each span of the composed payloads becomes, written out.
+_SLOT = """case span_type when 'name' then '[NAME]' when 'phone' then '[PHONE]' when 'email' then '[EMAIL]'
+ when 'address' then 'Rochester, ' || trim(split_part(text, ',', 3)) when 'insurance_name' then 'a coverage category' when 'age' then 'in their ' || text[1] || '0s'
+ when 'money' then 'an approximate limit' when 'party_size' then 'a group size' when 'zip' then 'nearby area' else text end"""
+_INTERNAL = f"select doc_id, {_sentences(c.STOP, True)} as v from ({_steps(c.CLEAN_RULES, '(' + _view(_SLOT).replace('select id, string_agg', 'select id as doc_id, string_agg') + ')', 'v', 3)})"
+_UNMARKED = "regexp_replace(v, '\\[(" + "|".join(f.upper() for f in c.DIRECT_FIELDS) + ")\\]', '', 'g')"
+_CLOUD = f"select doc_id, {_sentences(c.CLOUD_STOP, False)} as v from ({_steps(c.CLOUD_RULES, 'internal', _UNMARKED, 3, True)})"
+_FRAME = "book a dinner table; constraints: date availability, time preference, location, insurance coverage, budget limit, party size"
+
+
+@query(_REDACTED)
 def redact_baseline(spark: SparkSession, d: str) -> DataFrame:
     return payloads(spark, d).select("id", payload.redacted(F.col("payload")).alias("v"))
 
 
-@query()
+@query(f"with internal as materialized ({_INTERNAL}) select i.doc_id as id, '{_FRAME}' as task_frame, i.v as internal_payload, c.v as cloud_payload from internal i join ({_CLOUD}) c on i.doc_id = c.doc_id")
 def sanitize_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     return governor.sanitize_with_trace(payloads(spark, d), profile=_profile()).select("id", "task_frame", "internal_payload", "cloud_payload")
 
 
-@query()
+def _leaking(*fields: str) -> str:
+    return " + ".join(f"case when contains(lower(t), lower({f})) then 1 else 0 end" for f in fields)
+
+
+_WORDS = "len(list_filter(string_split_regex({}, '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""with internal as materialized ({_INTERNAL}), out as (select doc_id as id, 'governor' as method, v as t from ({_CLOUD}) union all select id, 'redaction', v from ({_REDACTED}) union all select id, 'naive', payload from {{PAYLOADS}}),
+ m as (select o.method, {_leaking("day", "hour")} as cur, {_leaking("name", "phone", "email", "address", "insurance")} as res, {_WORDS.format("payload")} as n, {_WORDS.format("t")} as k from out o join {{PAYLOADS}} p on o.id = p.id)
+ select method, round(avg(case when cur > 0 then 1 else 0 end), 4) as lr, round(avg(cur / 2), 4) as lratio, round(avg(case when res > 0 then 1 else 0 end), 4) as rlr, round(avg(res / 5), 4) as rlratio,
+ round(avg(res / 5), 4) as ils, round(avg((n - k) / n), 4) as pr, round(avg(k), 4) as tokens from m group by method""")
 def method_metrics(spark: SparkSession, d: str) -> DataFrame:
     p = payloads(spark, d).withColumns({"cur": F.array("day", "hour"), "res": F.array("name", "phone", "email", "address", "insurance")})
     s = governor.scored(governor.by_method(p, profile=_profile()), "cur", "res")
-    return facts.means(s, ["lr", "lratio", "rlr", "rlratio", "ils", "pr", "tokens"], "method")
+    return facts.means(s, ["lr", "lratio", "rlr", "rlratio", "ils", "pr", "tokens"], "method", digits=4)
 
 
 # ── Facts and metrics ────────────────────────────────────────────────────────
