@@ -141,9 +141,9 @@ def extract(df: DataFrame, payload: str = "payload", profile: dict[str, Column]
     })
 
 
-def records(df: DataFrame, *keys: str, spans: str = "all_spans") -> DataFrame:
-    """One row a span."""
-    return df.select(*keys, F.inline(spans))
+def records(df: DataFrame, *keys: str, spans: str | Column = "all_spans") -> DataFrame:
+    """One row a span. The outer form, as for the inner one the optimiser adds filters that work out the spans again."""
+    return df.select(*keys, F.inline_outer(spans)).filter(F.col("start").isNotNull())
 
 
 def binding_table(spans: Column) -> Column:

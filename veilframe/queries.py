@@ -116,7 +116,7 @@ def _view(slot: str, only: str = "true", accepted: str = _ACCEPTED) -> str:
 
 @query(f"select id, span_type, cast(s as int) as start_at, cast(s + length(text) as int) as end_at, text from ({_STRUCTURED})")
 def span_offsets(spark: SparkSession, d: str) -> DataFrame:
-    s = payloads(spark, d).select("id", F.inline(spans.pattern_spans(F.col("payload"))))
+    s = spans.records(payloads(spark, d), "id", spans=spans.pattern_spans(F.col("payload")))
     return s.select("id", "span_type", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "text")
 
 
@@ -128,7 +128,7 @@ def overlap_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select id, span_type, bucket, cast(s as int) as start_at, text from ({_PROFILE})")
 def profile_match(spark: SparkSession, d: str) -> DataFrame:
-    s = payloads(spark, d).select("id", F.inline(spans.profile_spans(F.col("payload"), _profile())))
+    s = spans.records(payloads(spark, d), "id", spans=spans.profile_spans(F.col("payload"), _profile()))
     return s.select("id", "span_type", "bucket", F.col("start").alias("start_at"), "text")
 
 
@@ -642,7 +642,7 @@ _FOUND_IN = "(values ('Dr. Adams', 'person'), ('Boston', 'location'), ('chronic
  from (select id, t, k, kind, case k when 'day' then case when id % 2 = 0 then 'tomorrow' else 'this evening' end when 'money' then (id % 90 + 10) || ' dollars' else k end as w from (select {_ENTITIES} from part), {_FOUND_IN})""")
 def recognized(spark: SparkSession, d: str) -> DataFrame:
     t = _sql(spark, d, f"select {_ENTITIES} from {{part}}")
-    s = t.select("id", F.inline(spans.recognized_spans(F.col("t"), recognizers.default_recognizer)))
+    s = spans.records(t, "id", spans=spans.recognized_spans(F.col("t"), recognizers.default_recognizer))
     return s.select("id", "span_type", "text", F.col("start").alias("start_at"))
 
 
