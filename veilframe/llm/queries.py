@@ -83,4 +83,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_embedding_dedup, op4_quality_rules, op5_suffix_dedup, op6_secrets, op7_near_dedup, op8_quality_classifier, op9_byte_bpe, op10_mixing)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm import whitening
+
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm import collocations
+
+    return collocations.mined(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    from veilframe.llm import packing
+
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), p.path("byte_bpe_50k.json"), end=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_embedding_dedup, op4_quality_rules, op5_suffix_dedup, op6_secrets, op7_near_dedup, op8_quality_classifier, op9_byte_bpe, op10_mixing, op11_whitening, op12_collocations, op13_packing)}
