@@ -1,11 +1,14 @@
 """Phrase collocations: phrases of 2 to 5 words that occur often, scored against the parts that they fall into.
 
 Every n-gram has a key of 128 bits: of each distinct word a keyed hash, multiplied by odd numbers that depend on its place,
-summed, and one for the language added. The key is drawn for the job. Passes over the texts, narrow but for sums of arrays:
+summed, and one for the language added. The key is drawn for the job. Passes, narrow but for sums of arrays:
 
 1. Filters by Apriori: for orders 1, 2 and 3 to 5 mappers count keys in hashed buckets, at places where all shorter filters
    hold; a bucket's counts stop at `least`. An n-gram that is frequent has a frequent bucket, and so have all of its parts.
-2. Candidates: the distinct n-grams that pass all filters, with their words.
+   After the first filter texts are read once more, and what may be in a phrase is written as numbered words, by language;
+   the other passes read that.
+2. Candidates: the distinct n-grams that pass all filters, with their words. So that not every task hands out the same ones,
+   a task hands out one in the root of the tasks, chosen by hash; then tasks hand out those that nobody did.
 3. Counts: a minimal perfect hash (levels of bits with ranks, some 4 bits a key) over SLOTS candidates at a time; a slot's
    stored key must equal the n-gram's. Mappers bincount slots into an array. More candidates take more passes, not more memory.
 4. Cuts: the parts of a frequent phrase are frequent, so both counts of each cut are read by slot.
@@ -35,13 +38,16 @@ from veilframe.session import through_parquet
 
 LONGEST = 5  # words of a phrase
 LEVELS = ((1,), (2,), (3, 4, 5))  # orders that share a filter
-LEAST_BITS, MOST_BITS = 16, 27  # of the number of a filter's buckets, which grows with the characters of the input
+LEAST_BITS, MOST_BITS = 24, 27  # of the number of a filter's buckets, which grows with the characters of the input
 CHARS = 64  # characters a bucket, about, within those bounds
 SEGMENT = 1 << 16  # bytes of an array that travel together
 SLOTS = 1 << 20  # candidates that are counted in one pass
-CHUNK = 1 << 22  # bytes of text that are worked on at once, about
+ONE_IN = 32  # candidates of which a task hands out one at least
+CHUNK = 1 << 21  # bytes of text that are worked on at once, about
 PER_TASK = 50_000  # phrases that one task ranks, about
 
+GAP = -1
+_STREAM = "lang string, n bigint, vocabulary binary, which binary"
 _KIND = np.zeros(256, np.uint8)  # 0 word, 1 between words, 2 between pieces
 _KIND[[0x20, 0x09]], _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -67,25 +73,25 @@ class Hashing:
 
 @dataclass
 class Words:
-    """The words of a chunk of texts."""
+    """Words of one language; n-grams span none that is GAP."""
 
+    lang: str
     vocabulary: list[bytes]
-    which: np.ndarray  # index of each word in it
-    hashes: np.ndarray  # of each word
-    run: np.ndarray  # words from here to the end of its piece
-    lang: np.ndarray  # of each word, an index into langs
-    langs: list[bytes]
+    which: np.ndarray  # index of each word in it, or GAP
+    hashes: np.ndarray  # of the vocabulary
+    n: int  # words in the texts that this comes from
 
     @classmethod
     def of(cls, texts: pa.Array, langs: pa.Array, hashing: Hashing) -> Iterator[Words]:
+        """The words of a batch of texts, a gap after each piece."""
         data, offs = strings(texts)
         names = langs.fill_null("und").dictionary_encode()
-        every, of_row = [x.encode() for x in names.dictionary.to_pylist()], names.indices.to_numpy()
+        every, of_row = names.dictionary.to_pylist(), names.indices.to_numpy()
         for i, j in chunks(offs, CHUNK):
             part, at = _LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
             kind = _KIND[part]
             inside = kind == 0
-            head, cut = inside.copy(), kind == 2
+            head = inside.copy()
             head[1:] &= ~inside[:-1]
             full = at[:-1][np.diff(at) > 0]
             head[full] = inside[full]
@@ -93,25 +99,46 @@ class Words:
             if not len(starts):
                 continue
             row = np.searchsorted(at, starts, "right") - 1
-            piece = np.cumsum(cut)[starts] + row  # grows from piece to piece, and from text to text
-            last = np.flatnonzero(np.diff(piece, append=-1))
-            run = last[np.searchsorted(last, np.arange(len(starts)))] - np.arange(len(starts)) + 1
-            size = np.add.reduceat(inside, starts, dtype=np.int64)
+            piece = np.searchsorted(np.flatnonzero(kind == 2), starts) + row  # grows from piece to piece, and from text to text
+            size = np.add.reduceat(inside, starts, dtype=np.int32)
             text = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(part[inside])])
             words = text.dictionary_encode()
             vocabulary, which = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
-            yield cls(vocabulary, which, hashing.of(vocabulary)[which], run, of_row[i:j][row], every)
+            hashes, lang = hashing.of(vocabulary), of_row[i:j][row]
+            for k in np.unique(lang).tolist():
+                mine = np.flatnonzero(lang == k)
+                ends = np.flatnonzero(np.diff(piece[mine])) + 1
+                yield cls(every[k], vocabulary, np.insert(which[mine], ends, GAP), hashes, len(mine))
+
+    @classmethod
+    def read(cls, b: pa.RecordBatch, hashing: Hashing) -> Iterator[Words]:
+        """From rows that `row` has made."""
+        for lang, words, which in zip(*(b.column(c).to_pylist() for c in ("lang", "vocabulary", "which")), strict=True):
+            vocabulary = words.split(b" ") if which else []
+            kind = np.uint16 if len(vocabulary) < 1 << 16 else np.uint32
+            yield cls(lang, vocabulary, np.frombuffer(which, kind).astype(np.int64) - 1, hashing.of(vocabulary), 0)
+
+    def row(self, keep: np.ndarray) -> tuple[str, int, bytes, bytes]:
+        """lang, n, vocabulary and which as bytes, of the words of the vocabulary that are to be kept; runs of others are a gap."""
+        keep = np.append(keep, False)  # the last one is for GAP
+        which = np.where(keep[self.which], self.which, GAP)
+        which = which[(which != GAP) | (np.append(GAP, which[:-1]) != GAP)]
+        seen = np.unique(which[which != GAP])
+        new = np.zeros(len(keep), np.int64)
+        new[seen] = np.arange(1, len(seen) + 1)
+        kind = np.uint16 if len(seen) < 1 << 16 else np.uint32
+        return self.lang, self.n, b" ".join(self.vocabulary[k] for k in seen.tolist()), new[which].astype(kind).tobytes()
 
     def phrases(self, hashing: Hashing, filters: dict[int, Filter], orders: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(order, places, keys) of the n-grams whose parts and, where there is a filter for their order, they themselves pass."""
-        key = hashing.of(self.langs, b"lang")[self.lang]
-        alive = np.ones(len(self.which), bool)
+        alive = self.which != GAP
+        key = np.tile(hashing.of([self.lang.encode()], b"lang"), (len(alive), 1))
         for order in range(1, orders + 1):
             if order > 1:
                 alive[:-1] &= alive[1:]
-                alive[self.run < order] = False
+                alive[-1:] = False
             at = np.flatnonzero(alive)
-            key[at] += self.hashes[at + order - 1] * hashing.odd[order - 1]
+            key[at] += self.hashes[self.which[at + order - 1]] * hashing.odd[order - 1]
             got = key[at]
             if order in filters:
                 ok = filters[order].has(got)
@@ -216,6 +243,12 @@ def summed(docs: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarr
     return {r.segment: np.frombuffer(bytes(r.part), done) for r in last.collect()}
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], hashing: Hashing) -> Iterator[Words]:
+    """Words of texts (columns text, lang) or of what `_stream` has written."""
+    for b in batches:
+        yield from Words.read(b, hashing) if "which" in b.schema.names else Words.of(b.column(0), b.column(1), hashing)
+
+
 def _filter(docs: DataFrame, hashing: Hashing, filters: dict[int, Filter], orders: tuple[int, ...], bits: int, least: int) -> Filter:
     """Buckets of n-grams of these orders that are counted `least` times or more."""
     kind, shared = ("uint8" if least < 256 else "uint32"), docs.sparkSession.sparkContext.broadcast(filters)
@@ -227,15 +260,14 @@ def _filter(docs: DataFrame, hashing: Hashing, filters: dict[int, Filter], order
             b, n = np.unique(np.concatenate(held), return_counts=True)
             out[b] = np.minimum(out[b].astype(np.int64) + n, least)
 
-        for b in batches:
-            for w in Words.of(b.column(0), b.column(1), hashing):
-                for order, _, keys in w.phrases(hashing, shared.value, max(orders)):
-                    if order in orders:
-                        held.append(buckets(keys, bits).astype(np.int32))
-                        size += len(keys)
-                if size > 1 << 22:
-                    add()
-                    held, size = [], 0
+        for w in _chunks(batches, hashing):
+            for order, _, keys in w.phrases(hashing, shared.value, max(orders)):
+                if order in orders:
+                    held.append(buckets(keys, bits).astype(np.int32))
+                    size += len(keys)
+            if size > 1 << 21:
+                add()
+                held, size = [], 0
         if held:
             add()
         return out
@@ -247,36 +279,69 @@ def _filter(docs: DataFrame, hashing: Hashing, filters: dict[int, Filter], order
     return Filter(bits, packed)
 
 
+def _stream(docs: DataFrame, hashing: Hashing, filters: dict[int, Filter]) -> DataFrame:
+    """Rows of numbered words that pass the filter of order 1, written once."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w in _chunks(batches, hashing):
+            keys = hashing.of([w.lang.encode()], b"lang") + w.hashes * hashing.odd[0]
+            cols = zip(w.row(shared.value[1].has(keys)), (pa.string(), pa.int64(), pa.binary(), pa.binary()))
+            yield _batch([pa.array([v], t) for v, t in cols], ["lang", "n", "vocabulary", "which"])
+
+    return through_parquet(docs.mapInArrow(run, _STREAM))
+
+
 _CANDIDATE = "a bigint, b bigint, lang string, words int, phrase string"
 
 
-def _candidates(docs: DataFrame, hashing: Hashing, filters: dict[int, Filter]) -> DataFrame:
-    """The distinct n-grams that pass; and, with words = 0, a row for each language and task: a is its number of words there."""
-    shared, shape = docs.sparkSession.sparkContext.broadcast(filters), ["a", "b", "lang", "words", "phrase"]
+def _handed_out(stream: DataFrame, hashing: Hashing, filters: dict[int, Filter], mine: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """The distinct n-grams that pass, of those the ones for which mine(keys, task) holds."""
+    shared = stream.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        seen, total = np.zeros((0, 2), np.uint64), {}
-        for batch in batches:
-            for w in Words.of(batch.column(0), batch.column(1), hashing):
-                for k, n in enumerate(np.bincount(w.lang, minlength=len(w.langs)).tolist()):
-                    total[w.langs[k]] = total.get(w.langs[k], 0) + n
-                got = [(np.full(len(at), order), at, keys) for order, at, keys in w.phrases(hashing, shared.value)]
-                order, at, keys = (np.concatenate(x) for x in zip(*got))
-                every, first = _unique(np.concatenate([seen, keys]))
-                new = first[first >= len(seen)] - len(seen)
-                seen = every
-                phrase = [b" ".join(w.vocabulary[v] for v in w.which[i : i + n]) for i, n in zip(at[new].tolist(), order[new].tolist())]
-                lang = [w.langs[k] for k in w.lang[at[new]]]
-                lanes = keys[new].view(np.int64)
-                yield _batch([pa.array(lanes[:, 0]), pa.array(lanes[:, 1]), pa.array(lang, pa.binary()).cast(pa.string()), pa.array(order[new].astype(np.int32)), pa.array(phrase, pa.binary()).cast(pa.string())], shape)
-        if total:
-            n = len(total)
-            task = pa.array([TaskContext.get().partitionId()] * n, pa.int64())
-            yield _batch([pa.array(list(total.values()), pa.int64()), task, pa.array([x.decode() for x in total]), pa.array([0] * n, pa.int32()), pa.array([""] * n)], shape)
-
-    return through_parquet(docs.mapInArrow(run, _CANDIDATE).distinct())
+        seen, task = np.zeros((0, 2), np.uint64), TaskContext.get().partitionId()
+        for w in _chunks(batches, hashing):
+            got = [(np.full(len(at), order), at, keys) for order, at, keys in w.phrases(hashing, shared.value)]
+            order, at, keys = (np.concatenate(x) for x in zip(*got))
+            ok = mine(keys, task)
+            order, at, keys = order[ok], at[ok], keys[ok]
+            held = len(seen)
+            seen, first = _unique(np.concatenate([seen, keys]))
+            new = first[first >= held] - held
+            which = w.which.tolist()
+            phrase = [b" ".join([w.vocabulary[v] for v in which[i : i + n]]) for i, n in zip(at[new].tolist(), order[new].tolist())]
+            lanes = keys[new].view(np.int64)
+            cols = [pa.array(lanes[:, 0]), pa.array(lanes[:, 1]), pa.array([w.lang] * len(new), pa.string()), pa.array(order[new].astype(np.int32)), pa.array(phrase, pa.binary()).cast(pa.string())]
+            yield _batch(cols, ["a", "b", "lang", "words", "phrase"])
+
+    return stream.mapInArrow(run, _CANDIDATE).distinct()
+
+
+def _candidates(stream: DataFrame, hashing: Hashing, filters: dict[int, Filter], slots: int) -> DataFrame:
+    """The distinct n-grams that pass all filters."""
+    tasks, sc = stream.rdd.getNumPartitions(), stream.sparkSession.sparkContext
+    one_in = np.uint64(min(ONE_IN, max(1, round(tasks**0.5))))
+
+    def chosen(keys: np.ndarray, task: int) -> np.ndarray:
+        return mix(keys[:, 0] ^ mix(np.uint64([task + 1]))) % one_in == 0
+
+    every = through_parquet(_handed_out(stream, hashing, filters, chosen))
+    if one_in == 1:
+        return every
+    shards, out = max(1, -(-every.count() // slots)), every
+    for s in range(shards):
+        known = sc.broadcast(Slots(_lanes(_shard(every, s, shards).select("a", "b").toArrow())))
+
+        def left(keys: np.ndarray, task: int, s: int = s, known=known) -> np.ndarray:
+            ok = keys[:, 0].view(np.int64) % shards == s
+            ok[ok] = known.value.of(keys[ok]) < 0
+            return ok
+
+        out = out.unionByName(through_parquet(_handed_out(stream, hashing, filters, left)))
+    return out
 
 
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,9 +366,9 @@ def _shard(df: DataFrame, shard: int, shards: int) -> DataFrame:
     return df.filter(F.pmod("a", F.lit(shards)) == shard) if shards > 1 else df
 
 
-def counted(docs: DataFrame, candidates: DataFrame, n: int, hashing: Hashing, filters: dict[int, Filter], slots: int = SLOTS) -> DataFrame:
-    """candidates (n rows) with their exact counts f; `slots` of them, about, in each pass over the texts."""
-    sc, shards, out = docs.sparkSession.sparkContext, max(1, -(-n // slots)), []
+def counted(stream: DataFrame, candidates: DataFrame, n: int, hashing: Hashing, filters: dict[int, Filter], slots: int = SLOTS) -> DataFrame:
+    """candidates (n rows) with their exact counts f; `slots` of them, about, in each pass over the words."""
+    sc, shards, out = stream.sparkSession.sparkContext, max(1, -(-n // slots)), []
     for s in range(shards):
         mine = _shard(candidates, s, shards)
         table = Slots(_lanes(mine.select("a", "b").toArrow()))
@@ -313,15 +378,14 @@ def counted(docs: DataFrame, candidates: DataFrame, n: int, hashing: Hashing, fi
         def count(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> np.ndarray:
             table, filters = shared.value
             total = np.zeros(size, np.int64)
-            for b in batches:
-                for w in Words.of(b.column(0), b.column(1), hashing):
-                    for _, _, keys in w.phrases(hashing, filters):
-                        at = table.of(keys)
-                        total += np.bincount(at[at >= 0], minlength=size)
+            for w in _chunks(batches, hashing):
+                for _, _, keys in w.phrases(hashing, filters):
+                    at = table.of(keys)
+                    total += np.bincount(at[at >= 0], minlength=size)
             return total
 
         got, each = np.zeros(size, np.int64), SEGMENT // 8
-        for k, part in summed(docs, count, "int64", None, lambda a: a, "int64").items():
+        for k, part in summed(stream, count, "int64", None, lambda a: a, "int64").items():
             got[k * each : k * each + len(part)] = part
         read = sc.broadcast((table, got))
 
@@ -411,12 +475,12 @@ def mined(docs: DataFrame, least: int = 100, top: int = 2_000, percent: int = 10
     filters: dict[int, Filter] = {}
     for orders in LEVELS:
         filters |= dict.fromkeys(orders, _filter(docs, hashing, filters, orders, bits, least))
-    every = _candidates(docs, hashing, filters)
-    candidates = every.filter("words > 0")
+        docs = _stream(docs, hashing, filters) if 1 in orders else docs
+    candidates = _candidates(docs, hashing, filters, slots)
     n = candidates.count()
     often = counted(docs, candidates, n, hashing, filters, slots).filter(F.col("f") >= least)
     found = often.filter("words > 1")
-    sums = every.filter("words = 0").groupBy("lang").agg(F.sum("a").alias("n")).withColumnRenamed("lang", "_l")
+    sums = docs.groupBy("lang").agg(F.sum("n").alias("n")).withColumnRenamed("lang", "_l")
     parts = with_cuts(found.select("lang", "words", "phrase", F.col("f").alias("a")), often, often.count(), hashing, slots)
     scored = _scored(parts.join(sums, F.col("lang") == F.col("_l")).drop("_l"))
     less_last, less_first = F.expr("substring_index(phrase, ' ', words - 1)"), F.expr("substr(phrase, instr(phrase, ' ') + 1)")
