@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe import constants as c
-from veilframe.functions.textfn import bound
+from veilframe.operators import leakscan
 
 
 def weight(field: Column) -> Column:
@@ -39,43 +39,22 @@ def ordered_union(*parts: Column) -> Column:
     return F.array_distinct(F.concat(*(F.coalesce(p, F.expr("cast(array() as array<string>)")) for p in parts)))
 
 
-def history(df: DataFrame, key: str, order: str, facts: str) -> Column:
-    """Union of the facts of strictly earlier rows of a key, first seen first. Partitioned by key: users, never all rows."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.array_distinct(F.flatten(F.collect_list(facts).over(w)))
-
-
 def leaking(payload: Column, facts: Column) -> Column:
     """Facts of three characters or more that the payload holds, whatever the case."""
     low = F.lower(payload)
     return F.transform(F.array(low), lambda p: F.filter(facts, lambda f: (F.length(f) >= 3) & F.contains(p, F.lower(f))))[0]
 
 
-def leaks(payloads: DataFrame, facts: DataFrame, text: str, fact: str, gram: int = 12, few: int = 2_000) -> DataFrame:
+def leaks(payloads: DataFrame, facts: DataFrame, text: str, fact: str, few: int = 2_000) -> DataFrame:
     """Pairs of a payload and a fact in it, for fact tables of any size; both tables' columns.
 
-    At most `few` facts of 1,000 characters are broadcast (2 MB, checked) and looked for one by one. Else facts are keyed by
-    their first `gram` characters, and each text gives the hashes of its distinct parts of that length beside its own hash;
-    that equi join finds the candidates without their texts, which are joined to them afterwards and decide. Facts shorter
-    than `gram` are keyed by all of their characters, in a part length of their own."""
+    At most `few` facts of 1,000 characters are broadcast (2 MB, checked) and looked for one by one; more of them are the
+    business of automata (`leakscan`)."""
     f = facts.withColumn("_f", F.lower(fact)).filter(F.length("_f") >= 3)
     size = f.agg(F.count(F.lit(1)), F.max(F.length("_f"))).first()
-    p = payloads.withColumn("_p", F.lower(text))
     if size[0] <= few and (size[1] or 0) <= 1_000:
-        return p.join(F.broadcast(f), F.contains("_p", F.col("_f"))).drop("_p", "_f")
-    f = f.withColumn("_n", F.least(F.length("_f"), F.lit(gram)))
-    lengths = sorted(r[0] for r in f.select("_n").distinct().collect())  # at most gram - 2 values
-    f = f.withColumn("_k", F.xxhash64("_n", F.substr("_f", F.lit(1), "_n")))
-    p = p.withColumn("_t", F.xxhash64("_p")).withColumn("_c", F.length("_p"))
-
-    def parts(chars: Column) -> Column:
-        each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars) - n + 1)), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(chars, i, F.lit(n)), "")))
-        return F.array_distinct(F.concat(*(each(n) for n in lengths)))
-
-    keys = p.select("_t", "_c", F.explode(bound(F.split("_p", ""), parts)).alias("_k"))
-    near = keys.join(f.select("_k", F.xxhash64("_f").alias("_g")), "_k").select("_t", "_c", "_g").distinct()
-    f = f.withColumn("_g", F.xxhash64("_f")).drop("_n", "_k")
-    return p.join(near, ["_t", "_c"]).join(f, "_g").filter(F.contains("_p", F.col("_f"))).drop("_t", "_c", "_g", "_p", "_f")
+        return payloads.withColumn("_p", F.lower(text)).join(F.broadcast(f), F.contains("_p", F.col("_f"))).drop("_p", "_f")
+    return leakscan.leaks(payloads, facts, text, fact)
 
 
 def ratio(leaked: Column, facts: Column, empty: float | None = None) -> Column:
@@ -208,3 +187,22 @@ def first_per_seed(tasks: DataFrame, seed: str, position: str) -> DataFrame:
 def coverage(prompt: Column, items: Column) -> Column:
     """array<struct<item, covered>>."""
     return F.transform(items, lambda x: F.struct(x.alias("item"), F.contains(F.lower(prompt), F.lower(x)).alias("covered")))
+
+
+def rollups(results: DataFrame, dims: list[str], metrics: list[str]) -> DataFrame:
+    """Means of the metrics, those that are null left out, for every combination of the dims: dims, level (a bit for each dim
+    that is taken together, the first one the highest), n and, for each metric, its mean and n_<metric>."""
+    rows = results.select(*dims, *metrics).cube(*dims)
+    each = [x for m in metrics for x in (F.avg(m).alias(m), F.count(m).alias(f"n_{m}"))]
+    return rows.agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"), *each)
+
+
+def distinct_sketches(rows: DataFrame, by: list[str], value: str, lg_k: int = 12) -> DataFrame:
+    """by, sketch: a HyperLogLog sketch of the distinct values of each group, 2**lg_k registers, to be stored and merged later.
+    The relative standard error of an estimate is about 1.04 / sqrt(2**lg_k)."""
+    return rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.hll_sketch_agg(value, F.lit(lg_k)).alias("sketch"))
+
+
+def merged_counts(sketches: DataFrame, by: list[str], name: str = "n_distinct") -> DataFrame:
+    """by, name: estimates for the union of stored sketches."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(name))

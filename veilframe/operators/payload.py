@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe import constants as c
 from veilframe.functions.textfn import bound, cloud_ready
-from veilframe.operators.spans import filled, pattern_spans, recognized_spans, resolve
+from veilframe.operators.spans import filled, pattern_spans, recognized_spans, resolve_few
 
 
 _TEXTS = "array<string>"
@@ -208,7 +208,7 @@ def redacted(text: Column, recognizer: Callable[[Column], Column] | None = None,
     spans = pattern_spans(text) if found is None else found
     if recognizer is not None:
         spans = F.concat(spans, recognized_spans(text, recognizer))
-    return cloud_ready(filled(text, bound(spans, resolve), lambda s: F.lit("")))
+    return cloud_ready(filled(text, bound(spans, resolve_few), lambda s: F.lit("")))
 
 
 def rewritten(answer: Column | None) -> Column:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from veilframe import constants as c
 from veilframe.functions.textfn import bound, find_all
+from veilframe.operators import conflicts
 from veilframe.schemas import SPANS
 
+FEW = 64  # spans of a text that are compared with each other
+
 Recognizer = Callable[[Column], Column]
 """text -> array<struct<text, start, end, label, is_chunk>>: a pluggable entity recogniser (an expression or a pandas UDF)."""
 
@@ -93,9 +96,18 @@ def once(spans: Column) -> Column:
     return bound(keys, picked)
 
 
-def resolve(spans: Column) -> Column:
+def resolve(spans: Column, few: int = FEW) -> Column:
     """Greedy conflict resolution: exact copies once, then withheld spans, longer, earlier first; a span that overlaps none
-    of those accepted is accepted; the result is in order of start."""
+    of those accepted is accepted; the result is in order of start.
+
+    Texts of more than `few` spans go to an ordered structure (n log n), the others stay in the JVM. spans is read twice, so
+    where it is much work it should be a column of the table."""
+    many = conflicts.resolved(bound(spans, lambda x: F.when(F.size(x) > few, x)))
+    return F.coalesce(many, bound(spans, lambda x: F.when(F.size(x) <= few, resolve_few(x))))
+
+
+def resolve_few(spans: Column) -> Column:
+    """The same in the JVM alone, for use inside other expressions: each span is compared with those accepted."""
     ranked = F.transform(
         once(spans),
         lambda s, i: F.struct(F.when(s["bucket"] == "U_loc", 0).otherwise(1).alias("p"), (s["start"] - s["end"]).alias("l"), s["start"].alias("o"), i.alias("i"), s.alias("s")),
@@ -131,7 +143,7 @@ def extract(df: DataFrame, payload: str = "payload", profile: dict[str, Column]
     spans = F.concat(profile_spans(text, profile or {}), patterns)
     if recognizer is not None:
         spans = F.concat(spans, recognized_spans(text, recognizer))
-    df = df.withColumn("all_spans", bound(spans, resolve))
+    df = df.withColumn("all_spans", spans).withColumn("all_spans", resolve(F.col("all_spans")))
     df = df.withColumn("u_loc", F.filter("all_spans", lambda s: s["bucket"] == "U_loc")).withColumn("u_med", F.filter("all_spans", lambda s: s["bucket"] == "U_med"))
     tag = lambda s: F.concat(F.lit("["), F.upper(s["bucket"]), F.lit(":"), s["span_type"], F.lit("]"))
     return df.withColumns({

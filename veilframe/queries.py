@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilframe import constants as c
 from veilframe.functions import textfn
-from veilframe.operators import abstraction, carryover, facts, generate, payload, recognizers, spans
+from veilframe.operators import abstraction, carryover, facts, generate, payload, recognizers, spans, timeline
 from veilframe.plans import governor
 from veilframe.session import spread, table
 from veilframe.sources import state
@@ -373,8 +373,7 @@ def payload_reduction(spark: SparkSession, d: str) -> DataFrame:
 @query("select a.conv_id, a.turn, count(distinct b.text) as n_hist from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn < a.turn group by all")
 def history_running_union(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "conversations").withColumn("cur", F.array("text"))
-    h = t.withColumn("h", facts.history(t, "conv_id", "turn", "cur"))
-    return h.select("conv_id", "turn", F.size("h").cast("bigint").alias("n_hist"))
+    return timeline.history(t, "conv_id", "turn", "cur").select("conv_id", "turn", F.col("n_before").alias("n_hist"))
 
 
 @query("select id, b as backstory_size, cast(k as int) as abs_leak, case when b = 0 then 0 else k / least(b, 4) end as hist_ls from (select id, b, case when b >= 1 then 1 else 0 end + case when b >= 2 and id % 3 = 0 then 1 else 0 end + case when b >= 4 and id % 7 = 2 then 1 else 0 end as k from (select id, unnest([0, 2, 3, 5]) as b from {PAYLOADS}))")
@@ -705,3 +704,6 @@ def _judge():
 def inference_attack(spark: SparkSession, d: str) -> DataFrame:
     rows = _sql(spark, d, "select s_suppkey as id, s_name as name, case when s_suppkey % 2 = 0 then 'I am ' || s_name || '.' else 'Book a table.' end as sanitized from {supplier}")
     return governor.inference_attack(rows, {"name": F.col("name"), "age": F.lit(30)}, _attacker, _judge).select("id", "field", "guess", "score")
+
+
+from veilframe import queries_time as queries_time  # noqa: E402  registers its queries here
