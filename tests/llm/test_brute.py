@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from test_operators import prose
 
@@ -84,7 +85,7 @@ def test_equal_entropies_give_the_first_language(spark):
     from veilframe.llm import langid
 
     m = langid.train(spark.createDataFrame([(i, prose(i % 20, 40), "b" if i < 20 else "a") for i in range(40)] * 2, "doc_id bigint, text string, lang string"), docs_per=10**6)
-    k = np.unique(np.concatenate([m.keys[5][:50]]))
+    k = m.parts[0].keys[5][:50]
     m = langid.fit(["a", "b"], {x: (k, np.ones(len(k), np.int64)) for x in "ab"})
     got = langid.predicted(spark.createDataFrame([(1, prose(3, 20))], "i int, text string"), m).first()
     assert (got.lang_pred, got.score) == ("a", 0.5)
@@ -159,18 +160,67 @@ def test_classifier_is_ftrl_and_a_sparse_dot_product(spark):
 
 
 def test_classifier_fit_is_bounded(spark, monkeypatch):
-    """Rows that share a doc_id don't escape the bound, and long texts give a window."""
+    """Rows that share a doc_id don't escape the bound, and texts are whole."""
     from veilframe.llm import quality_classifier as q
 
-    monkeypatch.setattr(q, "WINDOW", 500)
     d = spark.range(4000).selectExpr("id % 40 as doc_id", "repeat(concat('w', id, ' '), 400) as text")
     y = spark.range(40).selectExpr("id as doc_id", "int(id % 2) as y")
     seen = []
     own = q.examples
     monkeypatch.setattr(q, "examples", lambda df: seen.append(df) or own(df))
     q.train(d, y, sample=100)
-    got = seen[0].selectExpr("count(*) as n", "max(length(text)) as m").first()
-    assert 50 <= got.n <= 160 and got.m == 500
+    got = seen[0].selectExpr("count(*) as n", "min(length(text)) as m").first()
+    assert 50 <= got.n <= 160 and got.m >= 400 * 3
+
+
+@pytest.mark.parametrize("part", [8_000_000, 3_000])
+def test_classifier_reads_long_texts_to_their_ends(spark, monkeypatch, part):
+    """The sign of the label stands behind 60,000 characters; the fit in parts learns it too."""
+    from veilframe.llm import quality_classifier as q
+
+    monkeypatch.setattr(q, "PART", part)
+    tail = {0: " ##!! JUNK ##!!" * 400, 1: " fine words here" * 400}
+    rows = [(i, prose(i, 20) * (1 + 600 * (i < 20)) + tail[i % 2]) for i in range(80)]
+    assert len(rows[0][1]) > 60_000
+    w = q.train(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, y int"))
+    out = {r.doc_id: r.score for r in q.scored(spark.createDataFrame(rows, "doc_id bigint, text string"), w).collect()}
+    assert all((out[i] > 0.5) == (i % 2 == 1) for i in range(80))
+
+
+def test_many_languages_make_a_small_model(spark):
+    """Sixty languages of random letters: what they take is linear in the n-grams that each has seen."""
+    from veilframe.llm import langid
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for lang in range(60):
+        letters = rng.permutation(list("abcdefghijklmnopqrstuvwxyzäöüßéèñçåøλμνπρσ"))
+        rows += [(lang * 100 + i, " ".join("".join(rng.choice(letters[:20], 6)) for _ in range(60)), f"l{lang:02}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    m = langid.train(df)
+    assert len(m.langs) == 60 and m.nbytes < 200 << 20
+    few = langid.train(df, most=100_000)
+    assert len(few.langs) == 60 and 90_000 < sum(len(p.keys[langid.ORDER]) for p in few.parts) <= 100_000
+    got = langid.predicted(df.filter("doc_id % 10 = 0").select("doc_id", "text"), m).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id // 100:02}" for r in got) > 0.95 * len(got)
+
+
+def test_every_language_gives_a_row(spark, monkeypatch):
+    from veilframe.llm import langid
+
+    monkeypatch.setattr(langid, "TOTAL", 10)
+    rows = [(i, "abc def " + chr(0x3B1 + i % 20), f"l{i % 20}") for i in range(400)]
+    assert len(langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).langs) == 20
+
+
+def test_word_counts(spark):
+    from veilframe.llm import mixing
+
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("ab \t\n\x0b\x0c\ré\u00a0\u3000"), rng.integers(0, 12))) for _ in range(3000)] + [None, "", " ", "  a", "a  ", "a b c d e", "x " * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    got = {r.i: r.n for r in df.select("i", mixing.word_count(df.t).alias("n")).collect()}
+    assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
 
 
 def test_mix_against_a_plain_plan(spark):

@@ -310,12 +310,11 @@ def test_letters_beyond_the_basic_plane(spark):
     assert len(code) >= 2 and code[-1] == code[-2] >= 0xC00  # one letter in both cases
 
 
-def test_rare_languages_are_learned(spark, monkeypatch):
+def test_rare_languages_are_learned(spark):
     from pyspark.sql import functions as F
 
     from veilframe.llm import langid
 
-    monkeypatch.setattr(langid, "WINDOW", 2_000)
     one = "ñandú señor mañana niño " * 20
     of = spark.range(1000, 1100).select(F.col("id").alias("doc_id"), F.lit(one).alias("text"))
     held = [r.doc_id for r in of.filter(F.pmod(langid._hash(12), F.lit(8)) == 0).collect()]

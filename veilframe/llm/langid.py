@@ -1,16 +1,18 @@
 """Language ID by interpolated Kneser-Ney character models, one a language.
 
 Texts become letters of 12 bits (lower-cased; code points from 4096 on folded into the upper quarter) with one 0 between
-runs of letters. An n-gram of five letters is thus a 60-bit key. For each order the n-grams that any language has seen
-stand in one sorted array of keys beside a matrix of their interpolated log-probabilities, a column a language; contexts
-stand beside their back-off weights in the same way. A position of a text costs one binary search, and another for each
-shorter order where the longer n-gram is unknown to all. The language of least cross-entropy a letter wins; the score is
-a softmax of the cross-entropies whose temperature is fitted on documents left out of the counts. `rejected` is true
-where the cross-entropy strays from theirs, in proportion to the root of the letters, further than all but REJECTED of them.
-
-The fit is bounded: DOCS documents a language and TOTAL together, about, those with the least hashes; of each, if it is
-longer, WINDOW characters at a place that a hash chooses. Discounts are estimated from the counts of counts, by language
-and order. Every text is scored, whole.
+runs of letters. An n-gram of five letters is thus a 60-bit key. For each language and order the n-grams that it has seen
+stand in a sorted array of keys beside one of their interpolated log-probabilities; contexts stand beside their back-off
+weights in the same way, so a model takes what its n-grams take, whatever the number of languages. The distinct n-grams of
+some texts cost each language one binary search, and another for each shorter order where it hasn't seen the longer one. The
+language of least cross-entropy a letter wins; the score is a softmax of the cross-entropies whose temperature is fitted on
+documents left out of the counts. `rejected` is true where the cross-entropy strays from theirs, in proportion to the root of
+the letters, further than all but REJECTED of them.
+
+The fit is bounded by rows, which are counted whole: DOCS documents a language and TOTAL together, about, those with the
+least hashes (the least of each language always), and HELD documents for calibration. Of more than MOST distinct n-grams
+those with the least counts are left out (for memory; not met by a few dozen languages). Discounts are estimated from the counts of counts, by language and order. Every
+text is scored, whole.
 
 Edge cases: null, empty and letterless texts are `und` with score 0; languages are the non-null values of the training
 rows; with none of them everything is `und`; equal entropies give the first language by name; repeated rows are scored
@@ -29,13 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.bytesview import chunks, strings
+from veilframe.llm.bytesview import chunks, strings, sums
 from veilframe.llm.names import without
+from veilframe.session import through_parquet
 
 ORDER, BITS = 5, 12
 DOCS = 2_500  # training documents a language
-TOTAL = 20_000  # training documents of all languages (one a language at least)
-WINDOW = 10_000  # characters of a training document
+TOTAL = 20_000  # training documents of all languages, and one a language at least
+HELD = 400  # documents that calibration uses
+MOST = 24_000_000  # n-grams of full order in all models together
+AT_ONCE = 4_000_000  # n-grams that the driver collects at once, about
 REJECTED = 0.005  # share of known texts that may be rejected
 LETTERS = 2_000  # size of the uniform model below the unigrams
 
@@ -90,12 +95,41 @@ def grams(code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 @dataclass
-class Model:
-    langs: list[str]
-    keys: list[np.ndarray]  # n-grams by order, sorted
+class Language:
+    """One model: by order, sorted n-grams with their log-probabilities, and contexts with their back-off weights."""
+
+    keys: list[np.ndarray]
     logp: list[np.ndarray]
-    contexts: list[np.ndarray]  # contexts by order of their n-grams, sorted
+    contexts: list[np.ndarray]
     weight: list[np.ndarray]
+
+    def position(self, key: np.ndarray) -> np.ndarray:
+        """Log-probability of the last letter of each n-gram of full order; fast where keys are sorted."""
+        lp, rest = np.zeros(len(key)), np.arange(len(key))
+        for order in range(ORDER, 0, -1):
+            k = key[rest] & ((1 << (BITS * order)) - 1)
+            at, hit = _found(self.keys[order], k)
+            lp[rest[hit]] += self.logp[order][at[hit]]
+            rest, k = rest[~hit], k[~hit]
+            at, seen = _found(self.contexts[order], k >> BITS)
+            lp[rest[seen]] += self.weight[order][at[seen]]
+        lp[rest] -= np.log(LETTERS)
+        return lp
+
+
+def _found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in the sorted array, and whether it stands there."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return at, known[at] == keys
+
+
+@dataclass
+class Model:
+    langs: list[str]
+    parts: list[Language]
     temperature: float = 1.0
     usual: float = 0.0  # cross-entropy of texts in a known language
     reject: float = np.inf  # times the root of the letters: what a text may have above it
@@ -103,43 +137,25 @@ class Model:
     def rejects(self, least: np.ndarray, letters: np.ndarray) -> np.ndarray:
         return (least - self.usual) * np.sqrt(np.maximum(letters, 1)) > self.reject
 
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for p in self.parts for x in (p.keys, p.logp, p.contexts, p.weight) for a in x)
+
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy a letter (texts x languages) and number of letters."""
         out, letters = [np.zeros((0, len(self.langs)))], [np.zeros(0, np.int64)]
         for i, j in chunks(offsets):
             code, bounds = coded(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             key, at = grams(code, bounds)
-            lp = self.position(key)
-            total = np.zeros((len(key) + 1, len(self.langs)))
-            np.cumsum(lp, axis=0, out=total[1:])
-            n = np.diff(at)
-            out.append(-(total[at[1:]] - total[at[:-1]]) / np.maximum(1, n)[:, None])
+            key, which = np.unique(key, return_inverse=True)
+            n = np.maximum(1, np.diff(at))
+            out.append(np.stack([-sums(p.position(key)[which], at) / n for p in self.parts], 1))
             letters.append(np.diff(np.concatenate([[0], np.cumsum(code > 0)])[bounds]))
         return np.concatenate(out), np.concatenate(letters)
 
     def position(self, key: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys[ORDER], key)
-        at[at == len(self.keys[ORDER])] = 0
-        lp = self.logp[ORDER][at]
-        rest = np.flatnonzero(self.keys[ORDER][at] != key)
-        if not len(rest):
-            return lp
-        lp[rest] = 0
-        for order in range(ORDER, 0, -1):
-            k = key[rest] & ((1 << (BITS * order)) - 1)
-            if order < ORDER:
-                at = np.searchsorted(self.keys[order], k)
-                at[at == len(self.keys[order])] = 0
-                hit = self.keys[order][at] == k
-                lp[rest[hit]] += self.logp[order][at[hit]]
-                rest, k = rest[~hit], k[~hit]
-            c = k >> BITS
-            at = np.searchsorted(self.contexts[order], c)
-            at[at == len(self.contexts[order])] = 0
-            seen = self.contexts[order][at] == c
-            lp[rest[seen]] += self.weight[order][at[seen]]
-        lp[rest] -= np.log(LETTERS)
-        return lp
+        """Log-probabilities (n-grams x languages)."""
+        return np.stack([p.position(key) for p in self.parts], 1)
 
 
 def discount(c: np.ndarray) -> float:
@@ -148,68 +164,52 @@ def discount(c: np.ndarray) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
-def fit(langs: list[str], counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model from each language's n-grams of full order and their counts."""
-    n = len(langs)
-    keys = [np.zeros(0, np.int64)] * (ORDER + 1)
-    logp, contexts, weight = list(keys), list(keys), list(keys)
-    by = {}  # (lang, order) -> keys, counts (continuation counts below the full order)
-    for li, lang in enumerate(langs):
-        k, c = counted[lang]
-        for order in range(ORDER, 0, -1):
-            by[li, order] = k, c
-            k, c = np.unique(k & ((1 << (BITS * (order - 1))) - 1), return_counts=True)
+def fit_one(k: np.ndarray, c: np.ndarray) -> Language:
+    """The model of one language from its n-grams of full order (sorted) and their counts."""
+    none = np.zeros(0, np.int64)
+    counted = [(none, none)] * (ORDER + 1)  # n-grams and counts by order (continuation counts below the full one)
+    for order in range(ORDER, 0, -1):
+        counted[order] = k, c
+        k, c = np.unique(k & ((1 << (BITS * (order - 1))) - 1), return_counts=True)
+    m = Language(*([none] * (ORDER + 1) for _ in range(4)))
     for order in range(1, ORDER + 1):
-        keys[order] = np.unique(np.concatenate([by[li, order][0] for li in range(n)]))
-        contexts[order] = np.unique(keys[order] >> BITS)
-        logp[order] = np.zeros((len(keys[order]), n), np.float32)
-        weight[order] = np.zeros((len(contexts[order]), n), np.float32)
-        low = keys[order] & ((1 << (BITS * (order - 1))) - 1)
-        for li in range(n):
-            k, c = by[li, order]
-            d = discount(c)
-            ctx, first, kinds = np.unique(k >> BITS, return_index=True, return_counts=True)
-            total = np.add.reduceat(c, first)
-            lam = np.ones(len(contexts[order]))
-            tot = np.ones(len(contexts[order]))
-            at = np.searchsorted(contexts[order], ctx)
-            lam[at], tot[at] = d * kinds / total, total
-            here = np.searchsorted(contexts[order], keys[order] >> BITS)
-            own = np.zeros(len(keys[order]))
-            own[np.searchsorted(keys[order], k)] = c
-            below = np.exp(_lower(keys, logp, weight, contexts, order - 1, low, li))
-            logp[order][:, li] = np.log(np.maximum(own - d, 0) / tot[here] + lam[here] * below)
-            weight[order][:, li] = np.log(lam)
-    return Model(langs, keys, logp, contexts, weight)
-
-
-def _lower(keys: list, logp: list, weight: list, contexts: list, order: int, k: np.ndarray, li: int) -> np.ndarray:
-    if order == 0:
-        return np.full(len(k), -np.log(LETTERS))
-    return logp[order][np.searchsorted(keys[order], k), li]  # a suffix of a known n-gram is known
+        k, c = counted[order]
+        d = discount(c)
+        ctx, first, kinds = np.unique(k >> BITS, return_index=True, return_counts=True)
+        total = np.add.reduceat(c, first) if len(c) else c
+        lam = d * kinds / total
+        here = np.repeat(np.arange(len(ctx)), kinds)
+        if order == 1:
+            below = np.full(len(k), 1 / LETTERS)
+        else:  # a suffix of a known n-gram is known
+            below = np.exp(m.logp[order - 1][np.searchsorted(m.keys[order - 1], k & ((1 << (BITS * (order - 1))) - 1))].astype(float))
+        m.keys[order], m.contexts[order] = k, ctx
+        m.logp[order] = np.log(np.maximum(c - d, 0) / total[here] + lam[here] * below).astype(np.float32)
+        m.weight[order] = np.log(lam).astype(np.float32)
+    return m
 
 
-def _hash(seed: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), F.lit(1 << 30))
+def fit(langs: list[str], counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    return Model(langs, [fit_one(*counted[x]) for x in langs])
 
 
-def _window(most: int) -> Column:
-    """A text, or `most` characters of it."""
-    n = F.length("text")
-    return F.when(n <= most, F.col("text")).otherwise(F.substr("text", F.pmod(_hash(13), F.greatest(F.lit(1), n - most + 1)).cast("int") + 1, F.lit(most)))
+def _hash(seed: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), F.lit(1 << 30))
 
 
-def train(docs: DataFrame, docs_per: int = DOCS, window: int = WINDOW) -> Model | None:
+def train(docs: DataFrame, docs_per: int = DOCS, held_docs: int = HELD, most: int = MOST) -> Model | None:
     """From rows docs(doc_id, text, lang); rows without text or language are left out.
 
-    One row in eight is left out of the counts, for calibration; a language whose sampled rows that leaves without a counted
-    letter is counted on all of them."""
+    One row in eight is left out of the counts, for calibration on held_docs of them at most; a language whose sampled rows
+    that leaves without a counted letter is counted on all of them. Above `most` distinct n-grams those of the least counts go
+    (1,000 and more are alike), and of those at the limit a share that a hash chooses."""
     docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    rows = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    rows = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.min(_hash(11)).alias("_least"))
     langs = rows.count()
     per = max(1, min(docs_per, TOTAL // max(1, langs)))
     of = docs.join(F.broadcast(rows) if langs <= 10_000 else rows, "lang")
-    few = of.filter(_hash(11) < per / F.col("_n") * (1 << 30)).select("doc_id", _window(window).alias("text"), "lang", (F.pmod(_hash(12), F.lit(8)) == 0).alias("held"))
+    few = of.filter((_hash(11) < per / F.col("_n") * (1 << 30)) | (_hash(11) == F.col("_least")))
+    few = few.select("doc_id", "text", "lang", (F.pmod(_hash(12), F.lit(8)) == 0).alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[tuple, list] = {}
@@ -220,28 +220,64 @@ def train(docs: DataFrame, docs_per: int = DOCS, window: int = WINDOW) -> Model
                 for i, j in chunks(offs):
                     key, _ = grams(*coded(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
                     parts.setdefault(one, []).append(np.unique(key, return_counts=True))
+                if len(parts[one]) > 64:
+                    parts[one] = [_together(parts[one])]
         for (lang, held), p in parts.items():
-            key, at = np.unique(np.concatenate([k for k, _ in p]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([c for _, c in p])).astype(np.int64)
+            key, n = _together(p)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array([held] * len(key)), pa.array(key), pa.array(n)], ["lang", "held", "k", "n"])
 
     found = few.select("text", "lang", "held").mapInArrow(run, "lang string, held boolean, k bigint, n bigint")
-    got = found.groupBy("lang", "k").agg(F.sum(F.when(~F.col("held"), F.col("n"))).alias("n"), F.sum("n").alias("every")).toPandas()
-    got["n"] = got["n"].fillna(0).astype(np.int64)
-    learned = set(got["lang"][(got["k"] > 0) & (got["n"] > 0)])
-    if rest := set(got["lang"]) - learned:
-        own = got["lang"].isin(list(rest))
-        got.loc[own, "n"] = got.loc[own, "every"]
-    got = got[got["n"] > 0].sort_values(["lang", "k"])
-    if got.empty:
+    got = through_parquet(found.groupBy("lang", "k").agg(F.coalesce(F.sum(F.when(~F.col("held"), F.col("n"))), F.lit(0)).alias("n"), F.sum("n").alias("every")))
+    per_lang = got.groupBy("lang").agg(F.sum(F.when(F.col("k") > 0, F.col("n")).otherwise(0)).alias("own"), F.count(F.lit(1)).alias("kinds")).collect()
+    rest = sorted(r.lang for r in per_lang if not r.own)
+    if rest:
+        got = got.withColumn("n", F.when(F.col("lang").isin(rest), F.col("every")).otherwise(F.col("n")))
+    got = got.filter("n > 0").select("lang", "k", "n")
+    if sum(r.kinds for r in per_lang) > most:
+        room, times = most, F.least("n", F.lit(1000))
+        for r in sorted(got.groupBy(times.alias("n")).count().collect(), reverse=True):
+            if r["count"] > room:  # of those counted so often a share has room, chosen by hash
+                chosen = F.pmod(F.xxhash64("lang", "k"), F.lit(1 << 30)) < int(room / r["count"] * 0.99 * (1 << 30))
+                got = got.filter((times > r.n) | ((times == r.n) & chosen))
+                break
+            room -= r["count"]
+    parts: dict[str, Language] = {}
+    for some in _groups({r.lang: r.kinds for r in per_lang}):
+        t = got.filter(F.col("lang").isin(some)).toArrow()
+        t = t.set_column(0, "lang", t.column("lang").combine_chunks().dictionary_encode()).combine_chunks()
+        lang = t.column("lang").combine_chunks()
+        code, names = lang.indices.to_numpy(), lang.dictionary.to_pylist()
+        k, n = t.column("k").to_numpy(), t.column("n").to_numpy()
+        for x, name in enumerate(names):
+            mine = np.flatnonzero(code == x)
+            mine = mine[np.argsort(k[mine])]
+            parts[name] = fit_one(k[mine], n[mine])
+    if not parts:
         return None
-    langs = sorted(got["lang"].unique())
-    m = fit(langs, {x: (g["k"].to_numpy(), g["n"].to_numpy()) for x, g in got.groupby("lang")})
-    held = few.filter(F.col("held") & ~F.col("lang").isin(list(rest)))
-    calibrate(m, held.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(400).select("text", "lang").toPandas())
+    m = Model(sorted(parts), [parts[x] for x in sorted(parts)])
+    held = few.filter(F.col("held") & ~F.col("lang").isin(rest))
+    calibrate(m, held.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(held_docs).select("text", "lang").toPandas())
     return m
 
 
+def _together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
+
+
+def _groups(sizes: dict[str, int], most: int = AT_ONCE) -> list[list[str]]:
+    """Names in runs of `most` together, about; a larger one stands alone."""
+    out: list[list[str]] = []
+    held = most + 1
+    for name in sorted(sizes):
+        if held + sizes[name] > most:
+            out.append([])
+            held = 0
+        out[-1].append(name)
+        held += sizes[name]
+    return out
+
+
 def confidence(h: np.ndarray, n: np.ndarray, temperature: float) -> np.ndarray:
     """Share of the best language, from cross-entropies and numbers of letters."""
     z = -(h - h.min(1, keepdims=True)) * np.sqrt(np.maximum(n, 1))[:, None] * temperature

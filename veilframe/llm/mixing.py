@@ -42,9 +42,15 @@ WEIGHTS = (1, 2, 3)  # dealt to the sources in order, repeating
 
 
 def sized(docs: DataFrame, text: str = "text", size: str = "size", drop_text: bool = True) -> DataFrame:
-    """docs with the number of words of each text."""
-    n = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("bigint")
-    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text or not drop_text), n.alias(size))
+    """docs with the number of words of each text, and a hash of it that settles ties."""
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text or not drop_text), word_count(F.col(text)).alias(size), F.xxhash64(text).alias("_m_hash"))
+
+
+def word_count(text: Column) -> Column:
+    """Words of a text: what its separators leave, but for nothing before the first and behind the last."""
+    parts = F.split(text.cast("string"), r"[\x20\x09-\x0D]+", -1)
+    n = F.transform(F.array(parts), lambda p: F.size(p) - (F.get(p, 0) == "").cast("int") - (F.get(p, F.size(p) - 1) == "").cast("int"))[0]
+    return F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)).cast("bigint")
 
 
 def targets(sizes: dict[str | None, int]) -> dict[str | None, Fraction]:
@@ -199,7 +205,7 @@ def drawn(sizes: DataFrame, seed: int = 0, shards: int = 64, planned: DataFrame
     at = with_block(sizes, facts["hot"], seed)
     at = at.join(F.broadcast(blocks) if facts["blocks"] <= 2 * BLOCKS else blocks, ["_m_key", "_m_block"])
     plain = at.filter("_m_part < 2").withColumn("_m_extra", F.when(F.col("_m_part") == 1, F.col("size")).otherwise(0).cast("bigint"))
-    w = Window.partitionBy("_m_key", "_m_block").orderBy(_salted(seed + 1, F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("_m_key", "_m_block").orderBy(_salted(seed + 1, F.col("doc_id")), "doc_id", "size", "_m_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = at.filter("_m_part = 2").withColumn("_m_sum", F.sum("size").over(w))
     edge = edge.withColumn("_m_extra", F.greatest(F.lit(0), F.least("size", F.col("_m_need") - (F.col("_m_sum") - F.col("size")))).cast("bigint")).drop("_m_sum")
     return plain.unionByName(edge)

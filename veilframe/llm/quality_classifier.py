@@ -5,8 +5,8 @@ upper case, digits, letters beyond ASCII, and other characters as they are), wor
 of magnitude of its length. Each is hashed to one of 2**BITS coordinates; its value is its share of the text's words, so
 a score is a sparse dot product and long texts need no special case.
 
-The fit uses about SAMPLE labelled rows at most (those with the least hash of doc_id) and of a longer text WINDOW characters
-at a place that a hash chooses, so what the driver collects has a fixed bound; every text is scored, whole.
+The fit uses about SAMPLE labelled rows at most (those with the least hash of doc_id), each with its whole text. Their
+coordinates are written once, in parts of PART together, and the driver holds one part at a time; every text is scored, whole.
 
 Edge cases: null and empty texts have the length feature only and are scored; labels whose quality is null are not used;
 a document with several labels, or several rows of one doc_id, are a training row each; without any labelled row all scores
@@ -25,10 +25,11 @@ from pyspark.sql import types as T
 
 from veilframe.llm.bytesview import chunks, mix, powers, strings, sums, word_hashes, words
 from veilframe.llm.names import without
+from veilframe.session import through_parquet
 
 BITS = 18
 SAMPLE = 8_000  # labelled rows that the fit uses at most
-WINDOW = 10_000  # characters of a training row
+PART = 8_000_000  # coordinates of training rows that the driver holds at once, about
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.002, 0.001
 SCALE = 20.0  # of the shares
 
@@ -103,21 +104,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     if rows > sample:
         joined = joined.filter(F.pmod(F.xxhash64("doc_id", "y", F.xxhash64("text")), F.lit(rows)) < sample)
-    place = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
-    part = F.when(F.length("text") > WINDOW, F.substr("text", place, F.lit(WINDOW))).otherwise(F.col("text"))
-    t = examples(joined.select(part.alias("text"), "y")).toArrow()
+    every = through_parquet(examples(joined.select("text", "y")))
+    parts = -(-(every.agg(F.sum(F.size("idx"))).first()[0] or 0) // PART)
+    part = F.pmod(F.xxhash64("idx", "val", "y"), F.lit(max(1, parts)))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i: np.ndarray | slice) -> np.ndarray:
         return np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    if len(t):
-        y = t.column("y").to_numpy()
-        # views of the collected lists; the last coordinate is the bias
-        idx, val = ([x.values.to_numpy() for x in t.column(k)] for k in ("idx", "val"))
-        order = sorted(range(len(t)), key=lambda k: (int(y[k]), hashlib.sha256(idx[k]).digest(), hashlib.sha256(val[k]).digest()))
-        rng, b = np.random.default_rng(7), 1 << BITS
-        for _ in range(EPOCHS):
+    rng, b = np.random.default_rng(7), 1 << BITS
+    for epoch in range(EPOCHS if parts else 0):
+        for p in range(parts):
+            if parts > 1 or not epoch:
+                t = every.filter(part == p).toArrow()
+                y = t.column("y").to_numpy()
+                # views of the collected lists; the last coordinate is the bias
+                idx, val = ([x.values.to_numpy() for x in t.column(k)] for k in ("idx", "val"))
+                order = sorted(range(len(t)), key=lambda k: (int(y[k]), hashlib.sha256(idx[k]).digest(), hashlib.sha256(val[k]).digest()))
             for k in rng.permutation(len(order)):
                 i, x = idx[order[k]], val[order[k]]
                 w, wb = weights(i), float(weights(np.array([b]))[0])
