@@ -83,6 +83,21 @@ def test_very_many_spans_in_one_text(spark):
     assert len(out) > n / 4 and all(a.end <= b.start for a, b in zip(out, out[1:]))
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 64, 65, 128, 200])
+def test_filled_in_blocks(spark, n):
+    rng, text, at, rows, want = random.Random(n), [], 0, [], []
+    for i in range(n):
+        gap, body = "é" * rng.randrange(4), "日x" * rng.randrange(1, 3)
+        rows.append((body, at + len(gap), at + len(gap) + len(body), f"k{i}", "s", "b", "t"))
+        text += [gap, body]
+        want += [gap, f"<k{i}>"]
+        at += len(gap) + len(body)
+    df = spark.createDataFrame([("".join(text) + "end", rows)], f"t string, s {spans.SPANS}")
+    for block in (64, 3):
+        out = df.select(spans.filled(F.col("t"), F.col("s"), lambda s: F.concat(F.lit("<"), s["span_type"], F.lit(">")), block)).first()[0]
+        assert out == "".join(want) + "end"
+
+
 # History
 
 

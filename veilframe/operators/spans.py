@@ -118,15 +118,27 @@ def resolve_few(spans: Column) -> Column:
     return F.transform(order, lambda x: x["s"])
 
 
-def filled(text: Column, spans: Column, slot: Callable[[Column], Column]) -> Column:
-    """text with each of the disjoint, sorted spans replaced by slot(span)."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def filled(text: Column, spans: Column, slot: Callable[[Column], Column], block: int = FEW) -> Column:
+    """text with each of the disjoint, sorted spans replaced by slot(span).
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.concat(acc["out"], gap, slot(s)).alias("out"), s["end"].alias("at"))
+    Many spans are filled `block` at a time, each time in the stretch of text up to the next block's: near linear work."""
 
-    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.greatest(F.lit(0), F.length(text) - a["at"]))))
+    def fold(part: Column, some: Column, base: Column) -> Column:
+        zero = F.struct(F.lit("").alias("out"), base.alias("at"))
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substr(part, acc["at"] - base + 1, s["start"] - acc["at"])
+            return F.struct(F.concat(acc["out"], gap, slot(s)).alias("out"), s["end"].alias("at"))
+
+        return F.aggregate(some, zero, step, lambda a: F.concat(a["out"], F.substr(part, a["at"] - base + 1, F.greatest(F.lit(0), F.length(part) - (a["at"] - base)))))
+
+    def stretch(k: Column) -> Column:
+        begin = F.when(k == 0, 0).otherwise(F.get(spans, k * block - 1)["end"])
+        end = F.when((k + 1) * block < F.size(spans), F.get(spans, (k + 1) * block - 1)["end"]).otherwise(F.length(text))
+        return F.transform(F.array(F.substr(text, begin + 1, end - begin)), lambda part: fold(part, F.slice(spans, k * block + 1, F.lit(block)), begin))[0]
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / block).cast("int"))
+    return F.when(F.size(spans) <= block, fold(text, spans, F.lit(0))).otherwise(F.array_join(F.transform(blocks, stretch), ""))
 
 
 def placeholder(s: Column) -> Column:

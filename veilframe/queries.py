@@ -147,20 +147,32 @@ def mask_working(spark: SparkSession, d: str) -> DataFrame:
     return spans.extract(payloads(spark, d), profile=_profile()).select("id", F.col("working").alias("v"))
 
 
+def _dealt(spark: SparkSession, d: str, values: list[tuple], names: str) -> DataFrame:
+    """The parts as id, each with one of the values, dealt by key."""
+    rows = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(v, names.split()))) for v in values))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    return parts.select("id", F.element_at(rows, (F.col("id") % len(values)).cast("int") + 1).alias("v")).select("id", "v.*")
+
+
+def _dealt_sql(values: list[tuple], names: str) -> str:
+    shown = ", ".join(f"({i}, {', '.join(str(x) if isinstance(x, int) else chr(39) + _q(x) + chr(39) for x in v)})" for i, v in enumerate(values))
+    return f"(select p_partkey as id, {', '.join(names.split())} from part join (values {shown}) v(i, {', '.join(names.split())}) on p_partkey % {len(values)} = i)"
+
+
 # ── Stages 2 and 3 ───────────────────────────────────────────────────────────
 
 _TYPES = tuple(dict.fromkeys((*c.KEEP_TYPES, *c.DROP_TYPES, "age", "phone", "email")))
-_VALUES = ", ".join(f"('{t}')" for t in _TYPES)
+_TYPE_ROWS = [(t,) for t in _TYPES]
 
 
 _GONE = "('organization', 'facility', 'person', 'group')"
 
 
-@query(f"select t as span_type, t not in {_GONE} as kept, case when t in {_GONE} then 'rule:drop' else 'rule:keep' end as reason from (values {_VALUES}) v(t)")
+@query(f"select id, t as span_type, t not in {_GONE} as kept, case when t in {_GONE} then 'rule:drop' else 'rule:keep' end as reason from {_dealt_sql(_TYPE_ROWS, 't')}")
 def carryover_rule(spark: SparkSession, d: str) -> DataFrame:
     one = F.array(F.struct(*(F.lit("x").alias(k) if k == "text" else F.lit(0).alias(k) if k in ("start", "end") else F.col("t").alias(k) if k == "span_type" else F.lit("").alias(k) for k in ("text", "start", "end", "span_type", "source", "bucket", "subsource"))))
-    rows = spark.createDataFrame([(t,) for t in _TYPES], "t string").select(F.inline(carryover.decide(one)))
-    return rows.select("span.span_type", "kept", "reason")
+    rows = _dealt(spark, d, _TYPE_ROWS, "t").select("id", F.inline(carryover.decide(one)))
+    return rows.select("id", "span.span_type", "kept", "reason")
 
 
 @query(f"{_ACCEPTED} select id, 'book a dinner table; constraints: ' || concat_ws(', ', case when bool_or(span_type = 'date') then 'date availability' end, case when bool_or(span_type = 'time') then 'time preference' end, case when bool_or(span_type in ('address', 'location', 'zip')) then 'location' end, case when bool_or(span_type = 'insurance_name') then 'insurance coverage' end, case when bool_or(span_type = 'money') then 'budget limit' end, case when bool_or(span_type = 'party_size') then 'party size' end) as frame from accepted where bucket = 'U_med' group by id")
@@ -216,10 +228,12 @@ def rule_age(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", "level", abstraction.rule_age(F.col("age"), F.col("level")).alias("v"))
 
 
-@query("select * from (values " + ", ".join(f"('{k}', {i}, '{_q(p)}')" for k, ps in c.PHRASES.items() for i, p in enumerate(ps)) + ") v(kind, level, phrase)")
+_PHRASE_ROWS = [(k, i) for k, ps in c.PHRASES.items() for i in range(len(ps))]
+
+
+@query(f"select id, kind, level, phrase from {_dealt_sql([(k, i, c.PHRASES[k][i]) for k, i in _PHRASE_ROWS], 'kind level phrase')}")
 def fallback_phrase(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, i) for k, ps in c.PHRASES.items() for i in range(len(ps))], "kind string, level int")
-    return rows.withColumn("phrase", abstraction.fallback_phrase(F.col("kind"), F.col("level")))
+    return _dealt(spark, d, _PHRASE_ROWS, "kind level").withColumn("phrase", abstraction.fallback_phrase(F.col("kind"), F.col("level")))
 
 
 # Expected levels, written out.
@@ -231,9 +245,12 @@ _LEVEL = """case
  end"""
 
 
-@query(f"select kind, {_LEVEL} as level from (values {', '.join(f'({k!r})' for k in c.LEVELS)}) v(kind)")
+_KINDS = [(k,) for k in c.LEVELS]
+
+
+@query(f"select id, kind, {_LEVEL} as level from {_dealt_sql(_KINDS, 'kind')}")
 def level_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in c.LEVELS], "kind string").withColumn("level", abstraction.level_of(F.col("kind")))
+    return _dealt(spark, d, _KINDS, "kind").withColumn("level", abstraction.level_of(F.col("kind")))
 
 
 def _chain(rules: list[tuple[str, str]], t: str, passes: int, trim: bool = False) -> list[str]:
@@ -357,12 +374,12 @@ def wls(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", facts.weighted(F.col("payload"), facts.profile_facts(F.col("m"))).alias("wls"))
 
 
-_FIELDS = ", ".join(f"('{f}')" for f in (*c.DIRECT_FIELDS, *c.SOFT_FIELDS))
+_FIELD_ROWS = [(f,) for f in (*c.DIRECT_FIELDS, *c.SOFT_FIELDS)]
 
 
-@query(f"select field, case when field in ('address', 'insurance') then 0.6 when field in ('doctor_gender_preference', 'dietary_preference', 'seat_preference') then 0.3 else 1.0 end::double as weight from (values {_FIELDS}) v(field)")
+@query(f"select id, field, case when field in ('address', 'insurance') then 0.6 when field in ('doctor_gender_preference', 'dietary_preference', 'seat_preference') then 0.3 else 1.0 end::double as weight from {_dealt_sql(_FIELD_ROWS, 'field')}")
 def fact_tiers(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(f,) for f in (*c.DIRECT_FIELDS, *c.SOFT_FIELDS)], "field string").withColumn("weight", facts.weight(F.col("field")))
+    return _dealt(spark, d, _FIELD_ROWS, "field").withColumn("weight", facts.weight(F.col("field")))
 
 
 @query("select id, (n - k) / n as pr from (select id, len(list_filter(string_split_regex(payload, '\\s+'), lambda w: w <> '')) as n, len(list_filter(string_split_regex(task, '\\s+'), lambda w: w <> '')) as k from {PAYLOADS})")
@@ -460,9 +477,10 @@ _FORMS = "(values " + ", ".join(f"('{k}', '{f}', {i}, {str(n).lower()})" for k,
 _OVER = "('medical', 'ssn', 5), ('medical', 'dob', 6), ('dental', 'ssn', 5), ('dental', 'dob', 6), ('restaurant', 'credit_card', 5), ('garage', 'driver_license', 4), ('general', 'ssn', 4)"
 
 
-@query(f"select category, field, position, false as necessary from (values {_OVER}) v(category, field, position)")
+@query(f"select id, category, field, position, false as necessary from (values {_OVER}) v(category, field, position) join (select c_custkey as id, case c_custkey % 5 when 0 then 'medical' when 1 then 'dental' when 2 then 'restaurant' when 3 then 'garage' else 'general' end as category from customer) using (category)")
 def over_disclosed(spark: SparkSession, d: str) -> DataFrame:
-    return payload.over_disclosed(payload.form_fields(spark)).select("category", "field", "position", "necessary")
+    asked = _sql(spark, d, "select c_custkey as id, case c_custkey % 5 when 0 then 'medical' when 1 then 'dental' when 2 then 'restaurant' when 3 then 'garage' else 'general' end as category from {customer}")
+    return asked.join(payload.over_disclosed(payload.form_fields(spark)), "category").select("id", "category", "field", "position", "necessary")
 
 
 @query(f"select c_custkey as id, category, field, case field when 'name' then c_name else 'x' end as value from {_FORMS}, customer where field in ('name', 'phone')")
@@ -612,9 +630,13 @@ def dataset_numbering(spark: SparkSession, d: str) -> DataFrame:
     return generate.dataset(generate.seeds(_domains(spark, d), 4), 3).groupBy("seed_id").agg(F.count(F.lit(1)).alias("variants"), F.countDistinct("prompt").alias("prompts"))
 
 
-@query("select category, count(*) as n, max(distance_miles)::double as far, min(url) as first from (values ('medical', 1.0, 'http://localhost:8000/medical/rochester-general'), ('medical', 1.5, 'http://localhost:8000/medical/elmwood-family'), ('medical', 2.0, 'http://localhost:8000/medical/highland'), ('dental', 0.8, 'http://localhost:8000/dental/bright-smile'), ('dental', 1.2, 'http://localhost:8000/dental/rochester-dental'), ('dental', 2.5, 'http://localhost:8000/dental/lakeview'), ('restaurant', 1.1, 'http://localhost:8000/restaurant/tonys'), ('garage', 1.8, 'http://localhost:8000/garage/quicklube')) v(category, distance_miles, url) group by 1")
+_PROVIDERS = """(values ('medical', 1.0, 'http://localhost:8000/medical/rochester-general'), ('medical', 1.5, 'http://localhost:8000/medical/elmwood-family'), ('medical', 2.0, 'http://localhost:8000/medical/highland'), ('dental', 0.8, 'http://localhost:8000/dental/bright-smile'), ('dental', 1.2, 'http://localhost:8000/dental/rochester-dental'), ('dental', 2.5, 'http://localhost:8000/dental/lakeview'), ('restaurant', 1.1, 'http://localhost:8000/restaurant/tonys'), ('garage', 1.8, 'http://localhost:8000/garage/quicklube')) v(category, distance_miles, url)"""
+
+
+@query(f"select id, category, count(*) as n, max(distance_miles)::double as far, min(url) as first from {_PROVIDERS} join (select s_suppkey as id, case s_suppkey % 4 when 0 then 'medical' when 1 then 'dental' when 2 then 'restaurant' else 'garage' end as category from supplier) using (category) group by all")
 def static_providers(spark: SparkSession, d: str) -> DataFrame:
-    return state.providers(spark).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.max("distance_miles").alias("far"), F.min("url").alias("first"))
+    asked = _sql(spark, d, "select s_suppkey as id, case s_suppkey % 4 when 0 then 'medical' when 1 then 'dental' when 2 then 'restaurant' else 'garage' end as category from {supplier}")
+    return asked.join(state.providers(spark), "category").groupBy("id", "category").agg(F.count(F.lit(1)).alias("n"), F.max("distance_miles").alias("far"), F.min("url").alias("first"))
 
 
 @query("select s_suppkey as id, 'KEEP|DROP|' || case when s_suppkey % 2 = 0 then 'KEEP' else 'DROP' end as said, case when s_suppkey % 2 = 0 then 'b|a' else 'none' end as told from supplier")
