@@ -238,3 +238,41 @@ def test_stored_sketches_merge(spark, tmp_path):
         exact = {tuple(r)[:-1]: r.n for r in df.groupBy(*by).agg(F.count_distinct("v").alias("n")).collect()}
         got = {tuple(r)[:-1]: r.n_distinct for r in facts.merged_counts(stored, by).collect()}
         assert got.keys() == exact.keys() and all(abs(got[k] - n) <= 4 * 1.04 / 64 * n for k, n in exact.items())
+
+
+# Nested facts, table functions
+
+
+def leaves(v, path="$"):
+    import re
+
+    if isinstance(v, dict):
+        for k, x in v.items():
+            yield from leaves(x, path + (f".{k}" if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", k) else "['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']"))
+    elif isinstance(v, list):
+        for i, x in enumerate(v):
+            yield from leaves(x, f"{path}[{i}]")
+    else:
+        yield path, "null" if v is None else "boolean" if isinstance(v, bool) else "string" if isinstance(v, str) else "number", v if isinstance(v, str) else None
+
+
+def test_nested_facts_have_paths(spark):
+    import json
+
+    from veilframe.operators import nested
+
+    texts = ['{"a":{"b":[[1,"xy"],["z\\"q\\u00e9\\n",[[null]]]],"it\'s":"  long fact  ","a b":true,"c\\\\d":"e"},"a2":1.5}', '{"k":"one","k":"last"}', '"alone"', "[]", "{}", '{"x":[]}', "broken {", None, '{"":"empty key"}', "[" * 30 + '"deep"' + "]" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, j string")
+    got = {(r.i, r.path, r.kind, r.value if r.kind == "string" else None) for r in nested.walked(df, "j", "i").collect()}
+    want = {(i, *x) for i, t in enumerate(texts) if t and t != "broken {" for x in leaves(json.loads(t))}
+    assert got == want and (1, "$.k", "string", "last") in got
+    assert {(r.i, r.path, r.fact) for r in nested.facts(df.limit(1), "j", "i").collect()} == {(0, "$.a['it\\'s']", "long fact"), (0, "$.a.b[1][0]", 'z"qé')}
+
+
+def test_recogniser_in_sql(spark):
+    from veilframe.operators import tables
+
+    tables.registered(spark, "caps", tables.by_patterns({"CAP": r"[A-Z]\w+", "NUM": r"\d+"}))
+    df = spark.createDataFrame([(1, "é Bob has 12 Cats"), (2, None), (3, "none"), (4, "")], "i int, t string")
+    got = [tuple(r) for r in spark.sql("select i, s.* from {d}, lateral caps(t) s order by i, start", d=df).collect()]
+    assert got == [(1, 2, 5, "CAP", "Bob"), (1, 10, 12, "NUM", "12"), (1, 13, 17, "CAP", "Cats")]

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.operators import facts, leakscan, timeline
-from veilframe.queries import query
+from veilframe.operators import facts, leakscan, nested, tables, timeline
+from veilframe.queries import payloads, query
 from veilframe.session import shared_folder, spread, table
 from veilframe.streaming import history
 
@@ -91,3 +91,23 @@ def history_stream(spark: SparkSession, d: str) -> DataFrame:
     history.drained(history.first_seen_exact(rows, "user_id", "fact", "ts"), f"{folder}/out", f"{folder}/state", "update")
     found = spark.read.parquet(f"{folder}/out").groupBy("user", "fact").agg(F.min("at").alias("at"))
     return found.select(F.col("user").cast("bigint").alias("user_id"), "fact", F.unix_micros("at").alias("first_us"))
+
+
+_NESTED = "'{\"e\":' || props || ',\"t y\":[\"' || event_type || '\",[' || cast(event_id as varchar) || ',null]],\"e2\":{},\"e2\":{\"z\":true}}'"
+
+
+@query("""with e as (select event_id, event_type, json_extract_string(props, '$.k') as k from events)
+ select event_id, '$.e.k' as path, 'number' as kind, k as value from e union all select event_id, '$[''t y''][0]', 'string', event_type from e
+ union all select event_id, '$[''t y''][1][0]', 'number', event_id::varchar from e union all select event_id, '$[''t y''][1][1]', 'null', null from e union all select event_id, '$.e2.z', 'boolean', 'true' from e""")
+def json_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves of nested JSON made of each event: arrays in arrays, a key that is no name, a key given twice."""
+    rows = table(spark, d, "events").select("event_id", F.expr(_NESTED.replace("varchar", "string")).alias("j"))
+    return nested.walked(rows, "j", "event_id")
+
+
+@query("select id, 'MAIL' as label, email as text, position(email in payload) - 1 as start_at from {PAYLOADS} union all select id, 'PHONE', phone, position(phone in payload) - 1 from {PAYLOADS}")
+def recognized_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """A recogniser plugged in from SQL."""
+    tables.registered(spark, "veilframe_spans", tables.by_patterns({"MAIL": r"[\w.]+@[\w-]+\.com", "PHONE": r"\b\d{3}-\d{3}-\d{4}\b"}))
+    found = spark.sql("select p.id, s.label, s.text, s.start as start_at from {p} p, lateral veilframe_spans(p.payload) s", p=payloads(spark, d))
+    return found
