@@ -1,13 +1,16 @@
 """Every query of the subpackage on small tables: the contracts' columns, rows and fixed rules."""
 
 import hashlib
+import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
 
 from test_operators import BASE, TEXTS, prose
+from veilframe.llm import mixing
 from veilframe.llm import queries as q
 
 COLUMNS = {
@@ -47,7 +50,7 @@ def tables(spark, tmp_path_factory):
 def test_contract(spark, tables, name):
     df = q.QUERIES[name](spark, tables)
     want = COLUMNS[name].split()
-    assert df.columns[: len(want)] == want or set(want) <= set(df.columns)
+    assert df.columns[: len(want)] == want
     source, key = ("embeddings", "vec_id") if name.startswith("op3") else ("documents", "doc_id")
     rows = df.collect()
     own = spark.read.parquet(f"{tables}/{source}.parquet").collect()
@@ -104,19 +107,54 @@ def test_clashing_columns(spark, tables):
     assert p.tokens(spark, docs, tables).count() == 12
 
 
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
 def test_stages_on_edges(spark, tables):
-    """Nulls, empty and long texts, ties, repeats and an empty table go through every stage."""
+    """Nulls, empty and long texts, ties, repeats and an empty table: what each stage makes of them, row by row."""
     import corpus_pipeline as p
+    from veilframe.llm import quality_classifier
     from veilframe.session import table
 
-    for docs in (table(spark, tables, "documents"), table(spark, tables, "documents").filter("false")):
-        n = docs.count()
-        for k, (name, stage) in enumerate(p.STAGES):
-            out = stage(spark, docs, tables)
-            rows = out.count()
-            assert rows >= 0 and (n or not rows), name
-            if k + 1 < len(p.STAGES):
-                assert out.columns == docs.columns
+    every = table(spark, tables, "documents")
+    twice = every.unionByName(every.filter("doc_id in (1, 2, 100)"))  # repeated rows
+    rows, words = rows_of(twice), lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for stage in dict(p.STAGES).values():
+        assert stage(spark, every.filter("false"), tables).count() == 0
+    # quality: rows go by their scores alone, and of all kinds
+    labels = table(spark, tables, "labels").filter(q.remainder("doc_id", 5) != 0)
+    w = quality_classifier.train(twice, labels.selectExpr("doc_id", "quality as y"))
+    want = rows_of(quality_classifier.scored(twice, w).filter(f"score >= {p.QUALITY}").drop("score"))
+    got = p.quality(spark, twice, tables)
+    assert got.columns == twice.columns and rows_of(got) == want and want
+    # near copies: rows without words stay, of equal texts that of the least doc_id stays with its repeats
+    got = p.near_dedup(spark, twice, tables)
+    kept, place = rows_of(got), twice.columns.index("text")
+    assert got.columns == twice.columns and not kept - rows
+    assert all(kept[r] == n for r, n in rows.items() if not words(r[place]) or r[0] is None)
+    least = {}
+    for r in rows:
+        if r[0] is not None and words(r[place]):
+            least[r[place]] = min(r[0], least.get(r[place], r[0]))
+    assert all(r[0] is None or not words(r[place]) or least[r[place]] == r[0] for r in kept) and len(kept) < len(rows)
+    # secrets: all rows stay, all but the text as it was, texts without a secret too
+    got = p.secret_scan(spark, twice, tables)
+    other = lambda c: Counter((r[0], *r[2:4]) for r in c.elements())
+    masked = rows_of(got)
+    assert twice.columns == ["doc_id", "text", "lang", "source", "n_chars"] and all(r[4] == len(r[1] or "") for r in masked)
+    assert got.columns == twice.columns and other(masked) == other(rows)
+    assert {r for r in rows if r[place] is None or "=" not in r[place] and len(r[place]) < 16} <= set(masked)
+    # mix: sources meet their targets within a word, no row is taken more than three times its own
+    got = p.mixture(spark, twice, tables)
+    taken, at = Counter(), twice.columns.index("source")
+    for r, n in rows_of(got).items():
+        taken[r[at]] += n * words(r[place])
+    plan = {r.source: r.target for r in mixing.planned_mix(twice).collect()}
+    assert got.columns == twice.columns and all(abs(taken[s] - t) <= 1 for s, t in plan.items())
+    # tokens: a row each, decoding to its text
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in p.tokens(spark, twice, tables).collect()) == Counter((r[0], sha(r[place])) for r in rows.elements())
 
 
 SAID = [  # texts, and what personal data they hold beside the base formats
