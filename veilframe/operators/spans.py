@@ -132,13 +132,18 @@ def filled(text: Column, spans: Column, slot: Callable[[Column], Column], block:
 
         return F.aggregate(some, zero, step, lambda a: F.concat(a["out"], F.substr(part, a["at"] - base + 1, F.greatest(F.lit(0), F.length(part) - (a["at"] - base)))))
 
-    def stretch(k: Column) -> Column:
-        begin = F.when(k == 0, 0).otherwise(F.get(spans, k * block - 1)["end"])
-        end = F.when((k + 1) * block < F.size(spans), F.get(spans, (k + 1) * block - 1)["end"]).otherwise(F.length(text))
-        return F.transform(F.array(F.substr(text, begin + 1, end - begin)), lambda part: fold(part, F.slice(spans, k * block + 1, F.lit(block)), begin))[0]
-
-    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / block).cast("int"))
-    return F.when(F.size(spans) <= block, fold(text, spans, F.lit(0))).otherwise(F.array_join(F.transform(blocks, stretch), ""))
+    def stretch(t: Column, sp: Column, k: Column) -> Column:
+        begin = F.when(k == 0, 0).otherwise(F.get(sp, k * block - 1)["end"])
+        end = F.when((k + 1) * block < F.size(sp), F.get(sp, (k + 1) * block - 1)["end"]).otherwise(F.length(t))
+        part = F.struct(F.substr(t, begin + 1, end - begin).alias("t"), begin.alias("b"))
+        return bound(part, lambda x: fold(x["t"], F.slice(sp, k * block + 1, F.lit(block)), x["b"]))
+
+    def whole(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v["s"]) - 1) / block).cast("int"))
+        many = F.array_join(F.transform(blocks, lambda k: stretch(v["t"], v["s"], k)), "")
+        return F.when(F.size(v["s"]) <= block, fold(v["t"], v["s"], F.lit(0))).otherwise(many)
+
+    return bound(F.struct(text.alias("t"), spans.alias("s")), whole)
 
 
 def placeholder(s: Column) -> Column:
