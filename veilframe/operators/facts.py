@@ -184,6 +184,21 @@ def first_per_seed(tasks: DataFrame, seed: str, position: str) -> DataFrame:
     return tasks.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def first_tasks(tasks: DataFrame, seed: str, position: str, n: int, offset: int = 0) -> DataFrame:
+    """The first task of each seed, and of these n in order of position after the first `offset`."""
+    return first_per_seed(tasks, seed, position).orderBy(position, seed).offset(offset).limit(n)
+
+
+def costs(results: DataFrame, *keys: str, provider: str = "provider", latency: str = "latency_s", tokens: str = "token_count", answer: str = "out_tokens") -> DataFrame:
+    """keys, avg_latency_s, avg_token_count, avg_clm_tokens (a map by provider), n_answers, of rows by task, key and provider.
+    Nulls are left out of the means; a provider without any figure has a null one. Null providers have no entry."""
+    parts = [x for m in (latency, tokens) for x in (F.sum(m).alias(f"_s_{m}"), F.count(m).alias(f"_n_{m}"))]
+    each = results.groupBy(*keys, provider).agg(F.avg(answer).alias("_a"), F.count(F.lit(1)).alias("_n"), *parts)
+    mean = lambda m: F.try_divide(F.sum(f"_s_{m}"), F.sum(f"_n_{m}"))
+    entries = F.collect_list(F.when(F.col(provider).isNotNull(), F.struct(provider, "_a")))
+    return each.groupBy(*keys).agg(mean(latency).alias("avg_latency_s"), mean(tokens).alias("avg_token_count"), F.map_from_entries(entries).alias("avg_clm_tokens"), F.sum("_n").alias("n_answers"))
+
+
 def coverage(prompt: Column, items: Column) -> Column:
     """array<struct<item, covered>>."""
     return F.transform(items, lambda x: F.struct(x.alias("item"), F.contains(F.lower(prompt), F.lower(x)).alias("covered")))

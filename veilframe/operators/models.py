@@ -4,6 +4,7 @@ Answers count as nondeterministic: each prompt is asked once, and no lambda is m
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,20 +18,24 @@ Generate = Callable[[list[str]], list[str]]
 
 
 Factory = Callable[[], Generate]
-ANSWER = "text string, in_tokens int, out_tokens int, ok boolean"
+ANSWER = "text string, in_tokens int, out_tokens int, ok boolean, seconds double"
 
 
 def _asked(generate: Generate, prompts: pd.Series, error: str) -> pd.DataFrame:
-    """An answer for each prompt that is not null, by one call. If it fails, each has the error as its text and ok is false."""
-    out = pd.DataFrame({"text": pd.Series(None, index=prompts.index, dtype=object), "in_tokens": 0, "out_tokens": 0, "ok": False})
+    """An answer for each prompt that is not null, by one call. If it fails, each has the error as its text and ok is false.
+
+    seconds: the call's share of each prompt, null where none was asked."""
+    out = pd.DataFrame({"text": pd.Series(None, index=prompts.index, dtype=object), "in_tokens": 0, "out_tokens": 0, "ok": False, "seconds": float("nan")})
     some = prompts[prompts.notna()]
     if len(some):
+        begun = time.monotonic()
         try:
             texts, ok = list(generate(some.tolist())), True
             if len(texts) != len(some):
                 raise ValueError(f"{len(texts)} answers to {len(some)} prompts")
         except Exception as e:  # a model is a remote thing
             texts, ok = [error.format(e)] * len(some), False
+        out.loc[some.index, "seconds"] = (time.monotonic() - begun) / len(some)
         out.loc[some.index, "text"] = texts
         out.loc[some.index, "ok"] = ok
         if ok:
@@ -40,7 +45,7 @@ def _asked(generate: Generate, prompts: pd.Series, error: str) -> pd.DataFrame:
 
 
 def answered(df: DataFrame, prompt: str, out: str, factory: Factory, error: str = "[model error: {}]") -> DataFrame:
-    """df with a struct column: text, in_tokens, out_tokens (white-space words), ok. A null prompt is not asked and has a null
+    """df with a struct column: text, in_tokens, out_tokens (white-space words), ok, seconds. A null prompt is not asked and has a null
     text; a failing batch is answered with the error."""
 
     @F.pandas_udf(ANSWER)

@@ -189,9 +189,9 @@ def filled_form(forms: DataFrame, profile: DataFrame) -> DataFrame:
     return forms.join(profile, "field")
 
 
-def booked(forms: DataFrame, submitted: DataFrame) -> DataFrame:
-    """Every field of a form with the submitted value, '' where there is none."""
-    return forms.join(submitted, "field", "left").withColumn("value", F.coalesce("value", F.lit("")))
+def booked(forms: DataFrame, submitted: DataFrame, *keys: str) -> DataFrame:
+    """Every field of a form with the submitted value, '' where there is none; keys tell apart several submissions."""
+    return forms.join(submitted, [*keys, "field"], "left").withColumn("value", F.coalesce("value", F.lit("")))
 
 
 def over_disclosed(fields: DataFrame) -> DataFrame:

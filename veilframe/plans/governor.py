@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import constants as c
 from veilframe.operators import abstraction, carryover, facts, models, payload, spans
+from veilframe.session import through_parquet
 
 
 def sanitize_with_trace(df: DataFrame, text: str = "payload", task: str = "task", profile: dict[str, Column] | None = None, recognizer: spans.Recognizer | None = None, **kw) -> DataFrame:
@@ -81,10 +84,11 @@ def sanitize_with_model(df: DataFrame, factory: models.Factory, text: str = "pay
 
 
 def compared(rows: DataFrame, factories: dict[str, models.Factory], text: str = "sanitized") -> DataFrame:
-    """rows of by_method times the service's models: what each answers, and the tokens of its question and answer."""
+    """rows of by_method times the service's models: what each answers, the tokens of its question and answer, and
+    its latency."""
     some = rows.withColumn("provider", F.explode(F.array(*map(F.lit, factories))))
     some = models.routed(some, text, "provider", "_answer", factories)
-    return some.select(*rows.columns, "provider", F.col("_answer.text").alias("answer"), F.col("_answer.in_tokens").alias("in_tokens"), F.col("_answer.out_tokens").alias("out_tokens"))
+    return some.select(*rows.columns, "provider", F.col("_answer.text").alias("answer"), F.col("_answer.in_tokens").alias("in_tokens"), F.col("_answer.out_tokens").alias("out_tokens"), F.col("_answer.seconds").alias("latency_s"))
 
 
 def inference_attack(rows: DataFrame, truth: dict[str, Column], attacker: models.Factory, judge: models.Factory, text: str = "sanitized") -> DataFrame:
@@ -101,3 +105,28 @@ def inference_attack(rows: DataFrame, truth: dict[str, Column], attacker: models
     out = df.withColumn("field", F.explode(F.array(*map(F.lit, fields))))
     pick = lambda m: F.try_element_at(m, F.col("field"))
     return out.select(*rows.columns, "field", F.coalesce(pick(F.col("_guess")), F.lit("unknown")).alias("guess"), F.coalesce(pick(F.col("_score")), F.lit(0.0)).alias("score"))
+
+
+def stage_timings(df: DataFrame, text: str = "payload", task: str = "task", profile: dict[str, Column] | None = None, recognizer: spans.Recognizer | None = None, model: str = "rules", factory: models.Factory | None = None) -> DataFrame:
+    """One row of what a payload costs by stage: model, n, stage1_s, stage2_s, stage3b_s, total_s (seconds of the whole job
+    over n), spans_kept and tokens (means). For facts.stage_shares.
+
+    Each stage's rows are written and read again, so a stage's time is its own, with that of its files. Without rows the
+    means are null. factory: the local model of stages 2 and 3, if any."""
+    marks = [time.monotonic()]
+
+    def done(rows: DataFrame) -> DataFrame:
+        out = through_parquet(rows)
+        marks.append(time.monotonic())
+        return out
+
+    found = done(spans.extract(df, text, profile, recognizer))
+    verdicts = None if factory is None else F.col("_verdicts")
+    chosen = done(carryover.carry_over(found if factory is None else models.decided(found, task, "_verdicts", factory), task, verdicts))
+    answers = None if factory is None else F.col("_phrases")
+    safe = done(abstraction.abstract(chosen if factory is None else models.phrased(chosen, text, "_phrases", factory), text, answers))
+    n = F.count(F.lit(1))
+    took = [b - a for a, b in zip(marks, marks[1:])]
+    per = lambda seconds, name: F.try_divide(F.lit(seconds), n).alias(name)
+    stages = [per(t, k) for t, k in zip((*took, sum(took)), ("stage1_s", "stage2_s", "stage3b_s", "total_s"))]
+    return safe.agg(F.lit(model).alias("model"), n.alias("n"), *stages, F.avg(F.size("kept")).alias("spans_kept"), F.avg(facts.tokens(F.col("cloud_payload"))).alias("tokens"))

@@ -730,3 +730,4 @@ def inference_attack(spark: SparkSession, d: str) -> DataFrame:
 
 from veilframe import queries_time as queries_time  # noqa: E402  registers its queries here
 from veilframe import queries_tagger as queries_tagger  # noqa: E402
+from veilframe import queries_runs as queries_runs  # noqa: E402

@@ -60,6 +60,21 @@ def traces(backstory: DataFrame, runtime: DataFrame) -> DataFrame:
     return backstory.withColumn("part", F.lit(0)).unionByName(runtime.withColumn("part", F.lit(1)), allowMissingColumns=True)
 
 
+def merged(profile: DataFrame, all_traces: DataFrame, user: str) -> DataFrame:
+    """The merged state: a row for each trace with its user's profile (a struct user_profile, null where there is none) and
+    contacts (none: an empty array), and a row with null trace columns for each user without traces.
+
+    profile: user, contacts (optional) and the profile's fields, a row a user. Traces of a null user keep their rows. The join
+    keeps a user's many traces on its left side, where AQE splits them."""
+    fields = [x for x in profile.columns if x not in (user, "contacts")]
+    contacts = F.col("contacts") if "contacts" in profile.columns else F.lit(None).cast("array<string>")
+    own = profile.select(user, F.struct(*fields).alias("user_profile"), contacts.alias("contacts"))
+    told = all_traces.join(own, user, "left")
+    silent = own.join(all_traces.select(user).distinct(), user, "left_anti")
+    both = told.unionByName(silent, allowMissingColumns=True)
+    return both.withColumn("contacts", F.coalesce("contacts", F.array().cast(own.schema["contacts"].dataType)))
+
+
 def save_runtime(all_traces: DataFrame, path: str) -> None:
     """Runtime traces only: backstory written with them would double at the next load."""
     all_traces.filter("part = 1").drop("part").write.mode("overwrite").json(path)
@@ -87,6 +102,26 @@ def summaries(results: DataFrame, metrics: list[str], *keys: str) -> DataFrame:
     return results.groupBy(*keys).agg(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*(F.avg(m).cast("double") for m in metrics))).alias("metrics"))
 
 
+def task_summaries(rows: DataFrame, task: list[str], method: str = "method", text: str = "sanitized", response: str = "answer", provider: str | None = "provider") -> DataFrame:
+    """A row a task: payloads (map of method to text) and clm_responses (map of method to a map of provider to answer, or to
+    the one answer where provider is None). rows: by task, method and provider. As many entries as methods and providers."""
+    keys = [*task, method]
+    if provider is None:
+        each = rows.groupBy(*keys).agg(F.first(text, True).alias("_t"), F.first(response, True).alias("_r"))
+    else:
+        each = rows.groupBy(*keys, provider).agg(F.first(text, True).alias("_t"), F.first(response, True).alias("_r"))
+        each = each.groupBy(*keys).agg(F.first("_t", True).alias("_t"), F.map_from_entries(F.collect_list(F.struct(provider, "_r"))).alias("_r"))
+    pairs = lambda x: F.map_from_entries(F.collect_list(F.struct(method, F.coalesce(x, F.lit("")) if x == "_t" else F.col(x))))
+    return each.groupBy(*task).agg(pairs("_t").alias("payloads"), pairs("_r").alias("clm_responses"))
+
+
+def write_summary(spark: SparkSession, path: str, metadata: dict[str, str], aggregates: DataFrame, tasks: DataFrame) -> None:
+    """The compact report beside the full results: metadata, aggregates and tasks as JSON lines in folders of their own."""
+    spark.createDataFrame([(metadata,)], "metadata map<string,string>").write.mode("overwrite").json(f"{path}/metadata")
+    aggregates.write.mode("overwrite").json(f"{path}/aggregates")
+    tasks.write.mode("overwrite").json(f"{path}/tasks")
+
+
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "-"), "^-|-$", "")
 
