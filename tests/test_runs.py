@@ -99,3 +99,12 @@ def test_kept_payload(spark):
     done = carryover.carry_over(done.drop("decisions", "kept", "dropped", "task_frame"), verdicts=F.transform("u_med", lambda s: s["span_type"] != "money"))
     text = done.select(carryover.kept_payload(done).alias("v")).first().v
     assert "30 years old" in text and "[PHONE]" in text and "$90" not in text and "585" not in text
+
+
+def test_unreadable_files_are_told(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"x": 1}, {"x": 2}]')
+    (tmp_path / "b.json").write_text('{"x": 3')
+    assert sorted(r.x for r in state.read_json(spark, str(tmp_path), "x int").collect()) == [1, 2]
+    bad = state.unreadable(spark, str(tmp_path), "x int").collect()
+    assert [(r.path.rsplit("/", 1)[1], r.record) for r in bad] == [("b.json", '{"x": 3')]
+    assert state.unreadable(spark, str(tmp_path / "none"), "x int").collect() == []

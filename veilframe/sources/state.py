@@ -13,7 +13,7 @@ from veilframe.operators.payload import form_fields
 
 
 def read_json(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """Rows of a JSON file; a missing or corrupt one gives none. Field order is the schema's, so first-seen orders hold."""
+    """Rows of a JSON file; a missing or corrupt one gives none (`unreadable` tells which). Field order is the schema's, so first-seen orders hold."""
     try:
         df = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("encoding", encoding).json(path)
         df.schema  # noqa: B018
@@ -22,6 +22,18 @@ def read_json(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-
         return spark.createDataFrame([], schema)
 
 
+def unreadable(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """path, record: what read_json leaves out of the files of a path, a row a document that is no JSON of the schema.
+    A missing path has none."""
+    try:
+        raw = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+        # Spark reads the column of bad records only beside others, so they are named too.
+        read = F.to_json(F.struct(*(x for x in raw.columns if x != "_bad"))).isNotNull()
+        return raw.filter(F.col("_bad").isNotNull() & read).select(F.col("_metadata.file_path").alias("path"), F.col("_bad").alias("record"))
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, record string")
+
+
 #: Bytes 0x80 to 0x9F of Windows-1252; five of them mean nothing there.
 _HIGH = [bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)]
 _KNOWN = [b for b in range(32) if _HIGH[b] != "\ufffd"]
