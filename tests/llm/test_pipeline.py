@@ -32,6 +32,23 @@ def test_stages(spark):
     assert [n for n, _ in p.STAGES][0] == "quality classifier" and len(p.STAGES) == 5
 
 
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    """A round reads its edges four times at most; the driver plans and keeps every reading of near-dedup's rounds."""
+    from veilframe.llm import graph
+
+    plans, write = [], graph.checkpointed
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(graph, "checkpointed", noted)
+    edges = [(i + 1, i) for i in range(6)] + [(i, 10) for i in range(11, 30)] + [(40, 41), (41, 40), (50, 50)]
+    got = dict(graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    assert got == {i: 0 for i in range(7)} | {i: 10 for i in range(10, 30)} | {40: 40, 41: 40}
+    assert len(plans) > 2 and max(p.count("LogicalRDD") for p in plans) <= 4
+
+
 def test_run_against_plain_python(spark, tmp_path):
     import base64
     import hashlib

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.session import checkpointed
 
 
+def _twice(*pairs: tuple[str, str]) -> Column:
+    """Rows (a, b) for each pair of columns. A union would hold its input's plan once for each pair, and
+    unions of unions of it make plans that burden the driver."""
+    return F.inline(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs)))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """node, component (least node that can be reached) of every node of edges(a, b), both bigint.
 
@@ -19,12 +25,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = e.select(_twice(("a", "b"), ("b", "a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(least, F.col("a") == F.col("u"))
-        moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
+        moved = small.select(_twice(("b", "m"), ("a", "m")))
         e = checkpointed(moved.filter("a <> b").distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
