@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import constants as c
 from veilframe.functions.textfn import bound, find_all
-from veilframe.operators import conflicts
+from veilframe.operators import conflicts, plain
 from veilframe.schemas import SPANS
 
 FEW = 64  # spans of a text that are compared with each other
@@ -153,14 +154,19 @@ def placeholder(s: Column) -> Column:
 def extract(df: DataFrame, payload: str = "payload", profile: dict[str, Column] | None = None, recognizer: Recognizer | None = None, found: str | None = None) -> DataFrame:
     """df with all_spans, u_loc, u_med and the views context ([SPAN] slots), tagged and working (only U_loc masked).
 
+    ASCII texts with ASCII values are searched in Arrow batches (`plain`), the others by column expressions.
     found: a column that keeps the structured detectors' spans as they were found."""
-    text, patterns = F.col(payload), pattern_spans(F.col(payload))
+    text, own = F.col(payload), profile or {}
+    patterns = None if found is None else F.col(found)
     if found is not None:
-        df, patterns = df.withColumn(found, patterns), F.col(found)
-    spans = F.concat(profile_spans(text, profile or {}), patterns)
+        df = df.withColumn(found, pattern_spans(text))
+    easy = F.coalesce(reduce(lambda a, v: a & F.coalesce(plain.ascii_only(v), F.lit(True)), own.values(), plain.ascii_only(text)), F.lit(False))
+    spans = F.when(~easy, F.concat(profile_spans(text, own), pattern_spans(text) if patterns is None else patterns))
     if recognizer is not None:
-        spans = F.concat(spans, recognized_spans(text, recognizer))
-    df = df.withColumn("all_spans", spans).withColumn("all_spans", resolve(F.col("all_spans")))
+        spans = F.concat(F.when(easy, F.expr(f"cast(array() as {SPANS})")).otherwise(spans), recognized_spans(text, recognizer))
+    # read twice, so that the optimiser keeps the column: it does not find an Arrow function over so large an expression
+    rest = F.when(F.size("all_spans") >= 0, F.col("all_spans"))
+    df = df.withColumn("all_spans", spans).withColumn("all_spans", plain.spans_of(F.when(easy, text), own, rest))
     df = df.withColumn("u_loc", F.filter("all_spans", lambda s: s["bucket"] == "U_loc")).withColumn("u_med", F.filter("all_spans", lambda s: s["bucket"] == "U_med"))
     tag = lambda s: F.concat(F.lit("["), F.upper(s["bucket"]), F.lit(":"), s["span_type"], F.lit("]"))
     return df.withColumns({
