@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe import constants as c
 from veilframe.functions.textfn import bound, cloud_ready
+from veilframe.operators import plain
 from veilframe.operators.spans import filled, pattern_spans, recognized_spans, resolve_few
 
 
@@ -205,10 +206,12 @@ def first_free_date(slots: Column, default: str = "2026-03-18") -> Column:
 def redacted(text: Column, recognizer: Callable[[Column], Column] | None = None, found: Column | None = None) -> Column:
     """Baseline: detected entities removed, the rest made cloud-ready. Detectors are the structured ones and a recogniser;
     found: their spans where they are known already."""
-    spans = pattern_spans(text) if found is None else found
+    easy = plain.ascii_only(text) if recognizer is None and found is None else F.lit(False)
+    rest = F.when(~easy, text)
+    spans = pattern_spans(rest) if found is None else found
     if recognizer is not None:
         spans = F.concat(spans, recognized_spans(text, recognizer))
-    return cloud_ready(filled(text, bound(spans, resolve_few), lambda s: F.lit("")))
+    return F.coalesce(plain.redacted(F.when(easy, text)), cloud_ready(filled(rest, bound(spans, resolve_few), lambda s: F.lit(""))))
 
 
 def rewritten(answer: Column | None) -> Column:
