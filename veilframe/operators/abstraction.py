@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe import constants as c
 from veilframe.functions.textfn import any_word, bound, cleaned, cloud_ready, low_words, proper_noun
+from veilframe.operators import plain
 from veilframe.operators.spans import filled, placeholder
 
 
@@ -198,7 +199,10 @@ def abstract(df: DataFrame, payload: str = "payload", answers: Column | None = N
     """df (after carry_over) with abstractions, internal_payload and cloud_payload.
 
     answers: a model's phrases, map of span start to text, used where neither the level nor a rule settles a span."""
-    df = df.withColumn("_typed", typed_spans(F.col("kept"))).withColumn("_groups", islands(F.col("_typed"), F.col(payload)))
+    easy = plain.ascii_only(F.col(payload)) if answers is None else F.lit(False)
+    df = df.withColumn("_easy", plain.abstracted(F.when(easy, F.col(payload)), F.col("all_spans"), F.transform("kept", lambda s: s["start"]), strict_age))
+    text, kept = (F.when(F.col("_easy.internal").isNull(), F.col(k)) for k in (payload, "kept"))
+    df = df.withColumn("_typed", typed_spans(kept)).withColumn("_groups", islands(F.col("_typed"), text))
 
     def settled(g: Column) -> Column:
         s, kind = g["span"], g["kind"]
@@ -227,9 +231,11 @@ def abstract(df: DataFrame, payload: str = "payload", answers: Column | None = N
         )
 
     steps = F.transform(F.transform(F.transform("_groups", settled), checked), told)
-    df = df.withColumn("abstractions", steps).drop("_typed", "_groups")
+    given = F.zip_with("kept", "_easy.told", lambda s, t: F.struct(s.alias("span"), *(t[k].alias(k) for k in ("abstraction_type", "level", "abstracted_text", "method", "validation"))))
+    df = df.withColumn("abstractions", F.when(F.col("_easy.internal").isNotNull(), given).otherwise(steps)).drop("_typed", "_groups")
     texts = F.map_from_arrays(F.transform("abstractions", lambda a: a["span"]["start"]), F.transform("abstractions", lambda a: a["abstracted_text"]))
     df = df.withColumn("_by", texts)
     slot = lambda s: F.when(s["bucket"] == "U_loc", placeholder(s)).otherwise(F.coalesce(F.col("_by")[s["start"]], F.lit("")))
-    df = df.withColumn("internal_payload", cleaned(filled(F.col(payload), F.col("all_spans"), slot))).drop("_by")
-    return df.withColumn("cloud_payload", cloud_ready(F.col("internal_payload")))
+    df = df.withColumn("internal_payload", F.coalesce("_easy.internal", cleaned(filled(text, F.col("all_spans"), slot)))).drop("_by")
+    rest = F.when(F.col("_easy.cloud").isNull(), F.col("internal_payload"))
+    return df.withColumn("cloud_payload", F.coalesce("_easy.cloud", cloud_ready(rest))).drop("_easy")
