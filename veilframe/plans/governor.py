@@ -26,8 +26,8 @@ def sanitize(df: DataFrame, text: str = "payload", task: str = "task", **kw) ->
 
 def by_method(df: DataFrame, text: str = "payload", task: str = "task", profile: dict[str, Column] | None = None, rewrite: Column | None = None) -> DataFrame:
     """A row for each payload and method; all methods of a payload come from one pass over it."""
-    done = sanitize_with_trace(df, text, task, profile=profile, found="_found")
-    parts = {"naive": F.col(text), "redaction": payload.redacted(F.col(text), found=F.col("_found")), "governor": F.col("cloud_payload")}
+    done = sanitize_with_trace(df, text, task, profile=profile).withColumn("_redacted", payload.redacted(F.col(text)))
+    parts = {"naive": F.col(text), "redaction": F.col("_redacted"), "governor": F.col("cloud_payload")}
     if rewrite is not None:
         parts["rewrite"] = payload.rewritten(rewrite)
     made = F.array(*(F.struct(F.lit(m).alias("method"), parts[m].alias("sanitized")) for m in c.METHODS if m in parts))
