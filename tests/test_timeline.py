@@ -219,6 +219,21 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert first.count() == first.select("user", "fact").distinct().count() == want.count() < told.count()
 
 
+def test_first_times_go_on_from_their_checkpoint(spark, tmp_path):
+    """As above, without a Python step: state is merged in the JVM."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot"] * 5 + ["u", None]), rng.choice(["a", "b", "c", "d", None]), rng.choice([at(rng.randrange(900)), None])) for _ in range(150)]
+    schema, log = "user string, fact string, at timestamp", str(tmp_path / "log")
+    for k in range(3):
+        spark.createDataFrame(rows[50 * k : 50 * k + 50], schema).coalesce(1).write.mode("append").parquet(log)
+        s = history.first_times(spark.readStream.schema(schema).parquet(log))
+        assert "Pandas" not in s._jdf.queryExecution().analyzed().toString()
+        history.drained(s, str(tmp_path / "out"), str(tmp_path / "state"), "update")
+    told = spark.read.parquet(str(tmp_path / "out"))
+    want = spark.createDataFrame(rows, schema).filter("fact is not null and at is not null").groupBy("user", "fact").agg(F.min("at").alias("at"))
+    assert {tuple(r) for r in told.groupBy("user", "fact").agg(F.min("at")).collect()} == {tuple(r) for r in want.collect()}
+
+
 # Cubes and sketches
 
 

@@ -56,6 +56,17 @@ class _FirstSeen(StatefulProcessor):
         pass
 
 
+def first_times(log: DataFrame, user: str = "user", fact: str = "fact", at: str = "at") -> DataFrame:
+    """user (of its own type), fact, at: the first time of each fact of a user so far, told anew with each batch that shows the fact; the least
+    `at` told is that of the batch, in whatever order rows came. For the update mode.
+
+    State: one time a user and fact, kept for good and merged in the JVM; the shuffle is by user and fact, so no user is hot.
+    Rows without fact or time hold nothing; a null user is a user. `first_seen_exact` tells changes alone, at the price of
+    a Python state access a fact."""
+    rows = log.select(F.col(user).alias("user"), F.col(fact).cast("string").alias("fact"), F.col(at).alias("at")).filter("fact is not null and at is not null")
+    return rows.groupBy("user", "fact").agg(F.min("at").alias("at"))
+
+
 def first_seen_exact(log: DataFrame, user: str = "user", fact: str = "fact", at: str = "at", ttl_ms: int | None = None) -> DataFrame:
     """user, fact, at, earlier: a row for each fact that is new to a user, and one more (earlier = true) whenever a late row
     moves its first time back. The least `at` of a user and fact is thus what the batch has, in whatever order rows came.
