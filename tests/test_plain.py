@@ -59,3 +59,12 @@ def test_rows_wait_only_while_their_texts_are_sent(spark, rows):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         sent = [x for x in plan.splitlines() if "ArrowEvalPython" in x]
         assert sent and all("THEN payload" in x for x in sent)
+
+
+def test_stages_write_a_column_once_where_no_later_one_reads_it(spark, rows, monkeypatch):
+    written = []
+    kept = governor.through_parquet
+    monkeypatch.setattr(governor, "through_parquet", lambda df: written.append(df.columns) or kept(df))
+    assert governor.stage_timings(rows, profile={"name": F.lit("Bob Smith")}).first().n == len(TEXTS) + 1
+    assert {"context", "tagged", "working"} <= set(written[0]) and not {"context", "tagged", "working"} & {*written[1], *written[2]}
+    assert {"decisions", "dropped"} <= set(written[1]) and not {"decisions", "dropped"} & set(written[2]) and "abstractions" in written[2]

@@ -111,7 +111,8 @@ def stage_timings(df: DataFrame, text: str = "payload", task: str = "task", prof
     """One row of what a payload costs by stage: model, n, stage1_s, stage2_s, stage3b_s, total_s (seconds of the whole job
     over n), spans_kept and tokens (means). For facts.stage_shares.
 
-    Each stage's rows are written and read again, so a stage's time is its own, with that of its files. Without rows the
+    Each stage's rows are written and read again, so a stage's time is its own, with that of its files; columns that no later
+    stage reads are written by their own stage alone. Without rows the
     means are null. factory: the local model of stages 2 and 3, if any."""
     marks = [time.monotonic()]
 
@@ -120,9 +121,9 @@ def stage_timings(df: DataFrame, text: str = "payload", task: str = "task", prof
         marks.append(time.monotonic())
         return out
 
-    found = done(spans.extract(df, text, profile, recognizer))
+    found = done(spans.extract(df, text, profile, recognizer)).drop("context", "tagged", "working")
     verdicts = None if factory is None else F.col("_verdicts")
-    chosen = done(carryover.carry_over(found if factory is None else models.decided(found, task, "_verdicts", factory), task, verdicts))
+    chosen = done(carryover.carry_over(found if factory is None else models.decided(found, task, "_verdicts", factory), task, verdicts)).drop("decisions", "dropped", "u_loc", "u_med")
     answers = None if factory is None else F.col("_phrases")
     safe = done(abstraction.abstract(chosen if factory is None else models.phrased(chosen, text, "_phrases", factory), text, answers))
     n = F.count(F.lit(1))
