@@ -199,8 +199,10 @@ def abstract(df: DataFrame, payload: str = "payload", answers: Column | None = N
     """df (after carry_over) with abstractions, internal_payload and cloud_payload.
 
     answers: a model's phrases, map of span start to text, used where neither the level nor a rule settles a span."""
-    easy = plain.ascii_only(F.col(payload)) if answers is None else F.lit(False)
-    df = df.withColumn("_easy", plain.abstracted(F.when(easy, F.col(payload)), F.col("all_spans"), F.transform("kept", lambda s: s["start"]), strict_age))
+    easy = F.lit(None).cast(plain.ABSTRACTED)
+    if answers is None:
+        easy = plain.abstracted(F.when(plain.ascii_only(F.col(payload)), F.col(payload)), F.col("all_spans"), F.transform("kept", lambda s: s["start"]), strict_age)
+    df = df.withColumn("_easy", easy)
     text, kept = (F.when(F.col("_easy.internal").isNull(), F.col(k)) for k in (payload, "kept"))
     df = df.withColumn("_typed", typed_spans(kept)).withColumn("_groups", islands(F.col("_typed"), text))
 

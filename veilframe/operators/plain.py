@@ -324,6 +324,7 @@ def told(text: str, kept: list[tuple[int, int, str, str]], strict_age: bool) ->
 
 
 _TOLD = "array<struct<abstraction_type:string,level:int,abstracted_text:string,method:string,validation:string>>"
+ABSTRACTED = f"struct<told:{_TOLD},internal:string,cloud:string>"
 
 
 def abstracted(text: Column, all_spans: Column, kept: Column, strict_age: bool) -> Column:
@@ -355,4 +356,4 @@ def abstracted(text: Column, all_spans: Column, kept: Column, strict_age: bool)
         made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=mask), pa.array(internal, pa.string()), pa.array(cloud, pa.string())]
         return pa.StructArray.from_arrays(made, ["told", "internal", "cloud"], mask=mask)
 
-    return arrow_udf(run, f"struct<told:{_TOLD},internal:string,cloud:string>")(text, all_spans, kept)
+    return arrow_udf(run, ABSTRACTED)(text, all_spans, kept)
